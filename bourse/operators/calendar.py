@@ -25,9 +25,9 @@ def add_sessions(df: DataFrame, sessions: DataFrame, n: int, date: str = "date",
 
 def roll_forward(df: DataFrame, sessions: DataFrame, date: str = "date", out: str = "session") -> DataFrame:
     """The first session on or after each date: one range of days per session, joined by day."""
-    w = Window.orderBy("date")
-    gap = F.coalesce(F.date_add(F.lag("date").over(w), 1), F.date_sub("date", 31))
-    days = sessions.select(F.explode(F.sequence(gap, F.col("date"))).alias(date), F.col("date").alias(out))
+    since = F.coalesce(F.date_add(F.lag("date").over(Window.orderBy("date")), 1), F.date_sub("date", 3660))
+    spread = sessions.select("date", since.alias("_since"))
+    days = spread.select(F.explode(F.sequence("_since", "date")).alias(date), F.col("date").alias(out))
     return df.join(days, date, "left")
 
 

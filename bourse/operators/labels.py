@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.frames import clamp, ratio
+from bourse.operators.asof import asof_join
 from bourse.operators.indicators import true_range
+from bourse.operators.xsection import percentile_rank, winsorize
 
 
 def forward_return(panel: DataFrame, sessions: DataFrame, horizon: int, entry: str = "open") -> DataFrame:
@@ -222,16 +224,17 @@ def trend_scan(bars: DataFrame, least: int = 3, hold: int = 20, adverse: float =
 
 
 def movement_label(bars: DataFrame, share: float = 0.10, min_price: float = 20.0, min_turnover: float = 0.0) -> DataFrame:
-    """Whether the session's range is in the top share of the eligible cross-section; features lag one row."""
+    """Whether the session's range, as a percent of the last close, ranks in the top share of the
+    eligible cross-section; features are those of the symbol's prior row."""
     w = Window.partitionBy("symbol").orderBy("date")
-    turnover = F.avg(F.col("close") * F.col("volume")).over(w.rowsBetween(-20, -1))
-    rows = bars.withColumns({"_p": F.lag("close").over(w), "_t": turnover})
-    rows = rows.withColumn("range_pct", 100 * ratio(F.col("high") - F.col("low"), "_p"))
-    rows = rows.withColumn("lag_range_pct", F.lag("range_pct").over(w))
-    rows = rows.where((F.col("_p") >= min_price) & (F.col("_t") >= min_turnover) & F.col("range_pct").isNotNull())
-    day = Window.partitionBy("date")
-    cut = F.percentile("range_pct", F.lit(1 - share)).over(day)
-    return rows.withColumn("moved", (F.col("range_pct") >= cut).cast("int")).drop("_p", "_t")
+    turnover = F.col("close") * F.col("volume")
+    span = w.rowsBetween(-19, 0)
+    rows = bars.withColumns({
+        "range_pct": 100 * ratio(F.col("high") - F.col("low"), F.lag("close").over(w)),
+        "_t": F.when(F.count(turnover).over(span) >= 20, F.avg(turnover).over(span)),
+    }).withColumn("lag_range_pct", F.lag("range_pct").over(w))
+    rows = rows.where((F.col("close") >= min_price) & (F.col("_t") >= min_turnover) & F.col("range_pct").isNotNull())
+    return rows.withColumn("moved", (percentile_rank("range_pct") >= 1 - share).cast("int")).drop("_t")
 
 
 def average_uniqueness(entries: DataFrame, sessions: DataFrame, horizon: int, keys=()) -> DataFrame:
@@ -256,30 +259,133 @@ def average_uniqueness(entries: DataFrame, sessions: DataFrame, horizon: int, ke
     return joined.withColumn("uniqueness", (F.col("_s") - F.col("_before")) / horizon).drop("_s", "_before")
 
 
-def sample_weights(df: DataFrame, label: str, half_life: float, loss_weight: float = 2.0) -> DataFrame:
-    """Losses weighted up, each session weighing the same in total, and recent sessions more."""
-    day = Window.partitionBy("date")
-    latest = df.agg(F.max("idx")).scalar()
+def sample_weights(df: DataFrame, label: str, half_life_days: float, loss_weight: float = 2.0) -> DataFrame:
+    """Non-wins weighted up, each session weighing the same in total, and recent sessions more."""
+    latest = df.agg(F.max("date")).scalar()
     return df.withColumns({
-        "w_asymmetric": F.when(F.col(label) == 0, loss_weight).otherwise(1.0),
-        "w_date": 1 / F.count("*").over(day),
-        "w_recency": F.pow(F.lit(0.5), (latest - F.col("idx")) / half_life),
+        "w_asymmetric": F.when(F.col(label) == 1, 1.0).otherwise(loss_weight),
+        "w_date": 1 / F.count("*").over(Window.partitionBy("date")),
+        "w_recency": F.pow(F.lit(0.5), F.datediff(latest, "date") / half_life_days),
     })
 
 
 def walk_forward_folds(sessions: DataFrame, folds: int, horizon: int, min_train: int) -> DataFrame:
-    """Expanding folds over sessions: a training label is realised before its test block starts."""
-    last = sessions.agg(F.max("idx")).scalar()
-    size = F.floor((last - min_train) / folds)
-    base = sessions.agg(F.max("idx").alias("_n")).select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
-    bounds = base.withColumn("test_from", min_train + 1 + F.col("fold") * size)
-    bounds = bounds.withColumn("test_to", F.when(F.col("fold") == folds - 1, last).otherwise(F.col("test_from") + size - 1))
-    return bounds.withColumn("train_to", F.col("test_from") - 1 - horizon - 1)
+    """Expanding folds over session numbers: a training label is realised before its test block starts."""
+    first = min_train + horizon + 1
+    size = sessions.agg((F.max("idx") - first).alias("_n"))
+    edge = lambda i: first + F.bround(F.col("_n") * i / folds).cast("bigint")
+    bounds = size.select("_n", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
+    bounds = bounds.select("fold", (edge(F.col("fold")) + 1).alias("test_from"), edge(F.col("fold") + 1).alias("test_to"))
+    return bounds.where("test_to >= test_from").withColumn("train_to", F.col("test_from") - 1 - horizon)
+
+
+def fold_rows(df: DataFrame, folds: DataFrame) -> DataFrame:
+    """Every row once per fold in which it trains or tests. Folds are a handful of ranges of `idx`."""
+    inside = df.join(folds, F.col("idx") <= F.col("test_to"))
+    part = F.when(F.col("idx") >= F.col("test_from"), "TEST").when(F.col("idx") <= F.col("train_to"), "TRAIN")
+    return inside.withColumn("part", part).where(F.col("part").isNotNull()).drop("test_from", "test_to", "train_to")
 
 
 def embargo_split(df: DataFrame, sessions: DataFrame, share: float, horizon: int) -> DataFrame:
-    """TRAIN, EMBARGO or TEST by session number: the last share of sessions, minus an embargo."""
+    """TRAIN, EMBARGO or TEST by session number: the last share of sessions, minus an embargo before it."""
     last = sessions.agg(F.max("idx")).scalar()
-    cut = F.floor(last * (1 - share))
+    cut = last - F.greatest(F.lit(1), F.floor(last * share))
     part = F.when(F.col("idx") > cut, "TEST").when(F.col("idx") > cut - horizon, "EMBARGO").otherwise("TRAIN")
     return df.withColumn("part", part)
+
+
+def first_touch(trades: DataFrame, horizon: int) -> DataFrame:
+    """Stop before target on each bar; a gap fills at the open; otherwise the last close or still open.
+
+    `trades` carry bars, entry, target, stop; the level side follows from entry and target.
+    """
+    long = F.col("target") > F.col("entry")
+    worse = lambda b: F.when(long, b["low"] <= F.col("stop")).otherwise(b["high"] >= F.col("stop"))
+    better = lambda b: F.when(long, b["high"] >= F.col("target")).otherwise(b["low"] <= F.col("target"))
+    past = lambda b, level, up: F.when(up, b["open"] >= F.col(level)).otherwise(b["open"] <= F.col(level))
+    touched = F.get(F.filter("bars", lambda b: worse(b) | better(b)), F.lit(0))
+    rows = trades.withColumn("_b", touched)
+    b, last = F.col("_b"), F.element_at("bars", -1)
+    stopped = worse(b)
+    fill = F.when(stopped, F.when(past(b, "stop", ~long), b["open"]).otherwise(F.col("stop"))).otherwise(
+        F.when(past(b, "target", long), b["open"]).otherwise(F.col("target")))
+    done = F.size("bars") >= horizon
+    return rows.withColumns({
+        "status": F.when(b.isNull(), F.when(done, "EXPIRED").otherwise("OPEN")).when(stopped, "FAILED").otherwise("COMPLETED"),
+        "exit_reason": F.when(b.isNull(), F.when(done, "TIME_EXIT")).when(stopped, "STOP").otherwise("TARGET"),
+        "exit_date": F.when(b.isNull(), F.when(done, last["date"])).otherwise(b["date"]),
+        "exit_price": F.when(b.isNull(), F.when(done, last["close"])).otherwise(fill),
+    }).drop("_b", "bars")
+
+
+def same_day_trade(trades: DataFrame, slippage_bps: float = 10.0, commission_bps: float = 20.0, neutral: float = 0.2) -> DataFrame:
+    """Same-day stop, target or close after the entry bar, long and short, net of slippage and commission."""
+    long = F.col("direction") != "SHORT"
+    fill = F.col("entry") * F.when(long, 1 + slippage_bps / 1e4).otherwise(1 - slippage_bps / 1e4)
+    worse = lambda b: F.when(long, b["low"] <= F.col("stop")).otherwise(b["high"] >= F.col("stop"))
+    better = lambda b: F.when(long, b["high"] >= F.col("target")).otherwise(b["low"] <= F.col("target"))
+    later = F.slice("bars", 2, F.greatest(F.size("bars") - 1, F.lit(0)))
+    rows = trades.withColumn("_b", F.get(F.filter(later, lambda b: worse(b) | better(b)), F.lit(0)))
+    b = F.col("_b")
+    price = F.when(b.isNull(), F.element_at("bars", -1)["close"]).when(worse(b), F.col("stop")).otherwise(F.col("target"))
+    rows = rows.withColumns({
+        "exit_reason": F.when(b.isNull(), "CLOSE").when(worse(b), "STOP").otherwise("TARGET"), "exit_price": price,
+    })
+    gross = F.when(long, F.col("exit_price") - fill).otherwise(fill - F.col("exit_price")) / fill * 100
+    rows = rows.withColumn("pnl_pct", gross - 2 * commission_bps / 100)
+    return rows.withColumn("outcome", F.when(F.col("pnl_pct") > neutral, "WIN").when(F.col("pnl_pct") < -neutral, "LOSS").otherwise("NEUTRAL")).drop("_b", "bars")
+
+
+def target_replay(trades: DataFrame, multiples, cost_pct: float) -> DataFrame:
+    """Net result of every trade with its target distance scaled by each multiple, by side."""
+    rows = trades.withColumn("multiple", F.explode(F.array(*[F.lit(float(m)) for m in multiples])))
+    sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
+    entry = F.col("entry")
+    target = entry * (1 + sign * F.abs(F.col("target") - entry) / entry * F.col("multiple"))
+    stopped = F.when(sign > 0, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
+    reached = F.when(sign > 0, F.col("high") >= target).otherwise(F.col("low") <= target)
+    kind = F.when(stopped, "STOP").when(reached, "TARGET").otherwise("CLOSE")
+    price = F.when(stopped, F.col("stop")).when(reached, target).otherwise(F.col("close"))
+    rows = rows.withColumns({"kind": kind, "net": sign * (price - entry) / entry * 100 - cost_pct})
+    share = lambda k: 100 * F.avg((F.col("kind") == k).cast("double"))
+    return rows.groupBy("direction", "multiple").agg(
+        F.count("*").alias("n"), share("TARGET").alias("target_pct"), share("STOP").alias("stop_pct"), F.avg("net").alias("net"))
+
+
+def resolve_outcomes(decisions: DataFrame, bars: DataFrame, sessions: DataFrame, horizons, winsor: float = 0.01) -> DataFrame:
+    """Grade every open decision at each horizon: entry at the next open, exit n sessions later at the
+    open or at the last close of a name that stopped, over the session's mean; PENDING while incomplete."""
+    last = sessions.agg(F.max("idx")).scalar()
+    w = Window.partitionBy("symbol").orderBy("idx")
+    rows = bars.join(sessions, "date")
+    at = lambda c, n: F.first(c).over(w.rangeBetween(n, n))
+    rows = rows.withColumns({"_in": at("open", 1)} | {f"_o{h}": at("open", 1 + h) for h in horizons}
+                            | {f"_c{h}": F.last("close", ignorenulls=True).over(w.rangeBetween(1, h)) for h in horizons})
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_o{h}").alias("out"), F.col(f"_c{h}").alias("stop")) for h in horizons])
+    graded = decisions.join(rows.select("symbol", "date", "idx", "_in", F.explode(each).alias("_e")).select("*", "_e.*"), ["symbol", "date"])
+    done = F.col("idx") + 1 + F.col("horizon") <= last
+    gone = done & F.col("out").isNull() & F.col("_in").isNotNull() & F.col("stop").isNotNull()
+    graded = graded.withColumns({
+        "stopped": F.coalesce(gone, F.lit(False)),
+        "fwd": F.when(done, ratio(F.coalesce("out", "stop"), "_in") - 1),
+        "pending": ~done,
+    })
+    graded = winsorize(graded, "fwd", winsor, "fwd_w", by=("date", "horizon"))
+    mean = F.avg("fwd_w").over(Window.partitionBy("date", "horizon"))
+    status = F.when(F.col("pending"), "PENDING").when(F.col("fwd").isNull(), "UNGRADEABLE").when(F.col("stopped"), "STOPPED_TRADING").otherwise("HORIZON")
+    return graded.withColumns({"excess": F.col("fwd_w") - mean, "status": status}).select(
+        *decisions.columns, "horizon", "fwd_w", "excess", "stopped", "status")
+
+
+def resolve_appearances(appearances: DataFrame, bars: DataFrame) -> DataFrame:
+    """Same-session, one- and five-bar returns after each appearance, from the first bar on or after it."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    path = bars.select("symbol", "date", F.col("close").alias("entry_close"), F.lead("close", 1).over(w).alias("_c1"), F.lead("close", 5).over(w).alias("_c5"))
+    out = asof_join(appearances, path, "symbol", "appeared", "date", ["entry_close", "_c1", "_c5"], direction="forward")
+    same = F.when(F.col("matched") == F.col("appeared"), F.col("entry_close"))
+    return out.withColumns({
+        "return_same": 100 * (ratio(same, "entry_price") - 1),
+        "return_1": 100 * (ratio("_c1", "entry_close") - 1), "return_5": 100 * (ratio("_c5", "entry_close") - 1),
+    }).drop("_c1", "_c5", "matched")
+
+
