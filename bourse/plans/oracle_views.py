@@ -67,6 +67,12 @@ VIEWS: dict[str, tuple[str, str]] = {
     SELECT event_id, event_type AS symbol, user_id, ts, value AS price,
            CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
     FROM events"""),
+    "outcomes": ("bars_s", """
+    SELECT symbol, date, return_pct, CASE WHEN return_pct IS NULL THEN 'PENDING' WHEN return_pct <= -8 THEN 'STOP_LOSS' WHEN return_pct <= -2 THEN 'LOSS'
+             WHEN return_pct >= 2 THEN 'WIN' ELSE 'NEUTRAL' END AS outcome,
+           'P' || (n % 3) AS source, CASE WHEN month(date) <= 6 THEN 'BULL' ELSE 'BEAR' END AS regime, CASE WHEN n % 2 = 0 THEN 5 ELSE 15 END AS horizon_days,
+           'L' || (substr(symbol, 2)::INTEGER % 10) AS screener_id, n AS prints, 1.0 / (1.0 + exp(-(volume - 250) / 200.0)) AS p, last_day(date) AS resolved_on
+    FROM (SELECT *, 100 * (lead(close) OVER (PARTITION BY symbol ORDER BY date) / close - 1) AS return_pct FROM bars_s)"""),
     "nodes": ("", """
     SELECT 'C' || c_custkey AS key, 'customer' AS kind, coalesce(CAST(first_seen AS DATE), DATE '1995-01-01') AS available_at
     FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_seen FROM orders GROUP BY 1) f ON o_custkey = c_custkey

@@ -2,7 +2,7 @@
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bourse.operators.calendar import session_table
@@ -168,6 +168,23 @@ class Tables:
             F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("int").alias("k"),
         )
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """Next-month results of every supplier bar, graded, with invented source, regime and horizon."""
+        w = Window.partitionBy("symbol").orderBy("date")
+        ret = F.col("return_pct")
+        rows = self.bars_s.withColumn("return_pct", 100 * (F.lead("close").over(w) / F.col("close") - 1))
+        return rows.select(
+            "symbol", "date", "return_pct",
+            F.when(ret.isNull(), "PENDING").when(ret <= -8, "STOP_LOSS").when(ret <= -2, "LOSS").when(ret >= 2, "WIN").otherwise("NEUTRAL").alias("outcome"),
+            F.concat(F.lit("P"), F.col("n") % 3).alias("source"),
+            F.when(F.month("date") <= 6, "BULL").otherwise("BEAR").alias("regime"),
+            F.when(F.col("n") % 2 == 0, 5).otherwise(15).alias("horizon_days"),
+            F.concat(F.lit("L"), F.substring("symbol", 2, 20).cast("int") % 10).alias("screener_id"),
+            F.col("n").alias("prints"), (1.0 / (1.0 + F.exp(-(F.col("volume") - 250) / 200.0))).alias("p"),
+            F.last_day("date").alias("resolved_on"),
+        )
+
     @cached_property
     def nodes(self) -> DataFrame:
         seen = self.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
