@@ -45,16 +45,21 @@ def finite(c) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
 
 
-NUDGE = 1 + 1e-11  # moves exact halves off the rounding edge, so two engines round them alike
+def comparable(c: Column) -> Column:
+    """A double rounded for comparison between engines.
 
+    Six decimals, after a step that moves exact halves off the rounding edge; two decimals from
+    100,000 up, where sums taken in different orders differ further left. Negative zero is zero.
+    """
+    x = c.cast("double")
+    return F.when(F.abs(x) >= 1e5, F.round(x, 2)).otherwise(F.round(x + 3e-10, 6)) + F.lit(0.0)
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column, with negative zero as zero, for comparisons."""
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Every floating column made comparable."""
     return df.select(
         *[
-            (F.round(F.col(f"`{f.name}`").cast("double") * NUDGE, digits) + F.lit(0.0)).alias(f.name)
-            if isinstance(f.dataType, (DoubleType, FloatType))
-            else F.col(f"`{f.name}`")
+            comparable(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )

@@ -10,6 +10,10 @@ from bourse.plans.oracle_views import with_views
 from bourse.sources.tables import Tables
 
 
+# The SQL form of frames.comparable.
+COMPARABLE = """CASE WHEN abs(CAST({c} AS DOUBLE)) >= 1e5 THEN round(CAST({c} AS DOUBLE), 2) ELSE round(CAST({c} AS DOUBLE) + 3e-10, 6) END + 0.0 AS {c}"""
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -33,7 +37,7 @@ def query(name: str, sql: str | None = None, uses: str = "", doubles: str = ""):
         if sql is not None:
             text = with_views(uses, sql)
             if doubles:
-                fixes = ", ".join(f"round(CAST({c} AS DOUBLE) * (1 + 1e-11), 6) + 0.0 AS {c}" for c in doubles.split())
+                fixes = ", ".join(COMPARABLE.format(c=c) for c in doubles.split())
                 text = f"SELECT * REPLACE ({fixes}) FROM ({text}) answer"
         REGISTRY[name] = Query(name, build, text)
         return build
