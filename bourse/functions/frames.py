@@ -52,7 +52,7 @@ def comparable(c: Column) -> Column:
     100,000 up, where sums taken in different orders differ further left. Negative zero is zero.
     """
     x = c.cast("double")
-    return F.when(F.abs(x) >= 1e5, F.round(x, 2)).otherwise(F.round(x + 3e-10, 6)) + F.lit(0.0)
+    return F.when(F.abs(x) >= 1e5, F.round(x + 1e-5, 2)).otherwise(F.round(x + 3e-10, 6)) + F.lit(0.0)
 
 
 def rounded(df: DataFrame) -> DataFrame:

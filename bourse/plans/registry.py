@@ -11,7 +11,7 @@ from bourse.sources.tables import Tables
 
 
 # The SQL form of frames.comparable.
-COMPARABLE = """CASE WHEN abs(CAST({c} AS DOUBLE)) >= 1e5 THEN round(CAST({c} AS DOUBLE), 2) ELSE round(CAST({c} AS DOUBLE) + 3e-10, 6) END + 0.0 AS {c}"""
+COMPARABLE = """CASE WHEN abs(CAST({c} AS DOUBLE)) >= 1e5 THEN round(CAST({c} AS DOUBLE) + 1e-5, 2) ELSE round(CAST({c} AS DOUBLE) + 3e-10, 6) END + 0.0 AS {c}"""
 
 
 @dataclass(frozen=True)
