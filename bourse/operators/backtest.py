@@ -73,7 +73,7 @@ def factor_backtest(scores: DataFrame, panel: DataFrame, sessions: DataFrame, ev
     eligible = sessions.join(panel.where("eligible").select("date").distinct(), "date", "left_semi")
     no = F.row_number().over(Window.orderBy("date")) - 1
     grid = eligible.withColumn("_no", no).where(F.col("_no") % every == 0).select("date", (F.col("_no") / every).cast("bigint").alias("period"))
-    grid = grid.withColumn("exit_date", F.lead("date").over(Window.orderBy("period"))).where("exit_date IS NOT NULL")
+    grid = grid.withColumn("exit_date", F.lead("date").over(Window.orderBy("period"))).where("exit_date IS NOT NULL").persist()
 
     priced = panel.where(F.col("next_open") > 0)
     alive = priced.groupBy("symbol").agg(F.max("date").alias("_alive"))

@@ -60,7 +60,7 @@ LONG = PERIODS.replace("{short}", "")
 
 def periods(t, long_short=False):
     p = panel(t)
-    return bt.factor_backtest(bt.factor_scores(p), p, t.sessions_m, 3, 10, long_short=long_short)
+    return bt.factor_backtest(bt.factor_scores(p), p, t.sessions_m, 3, 10, long_short=long_short).persist()
 
 
 @query("K8_factor_backtest", uses="bars_s", doubles="gross_pct cost_pct net_pct universe_pct turnover", sql=PANEL + SCORES + LONG + "SELECT * FROM pd")
