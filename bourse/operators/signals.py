@@ -1,5 +1,7 @@
 """Chart signals: rules over indicator columns, collected per row as an array of (type, strength)."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from bourse.operators.rank import lookup
 from bourse.operators.recurrences import recurrences
 
 
+def recent_days(test, n: int = 5) -> Column:
+    """How many of the last n bars pass, each measured against the current bar's average."""
+    return reduce(lambda a, b: a + b, [F.coalesce(test(i).cast("int"), F.lit(0)) for i in range(n)])
+
+
 def signal_panel(bars: DataFrame) -> DataFrame:
     """The indicator columns the rules read. Optional column: pcr."""
     w = per_symbol()
@@ -22,7 +29,8 @@ def signal_panel(bars: DataFrame) -> DataFrame:
         "bb_width": ratio(4 * F.col("_sd"), "_mid"), "vol_ratio": F.coalesce(ratio("volume", "_v20"), F.lit(1.0)),
         "above": F.coalesce(F.col("close") > F.col("sma200"), F.lit(False)), "strong": F.coalesce(F.col("adx") >= 20, F.lit(False)),
         "_last_down": F.max(F.when(~F.col("_up"), F.col("_no"))).over(w.rowsBetween(-5, 0)),
-        "_heavy": F.sum((F.col("volume") > 2 * F.col("_v20")).cast("int")).over(trailing(w, 5)),
+        "_heavy": recent_days(lambda i: prev("volume", i) > 2 * F.col("_v20")),
+        "_sold": recent_days(lambda i: (prev("close", i) < prev("open", i)) & (prev("volume", i) > 1.5 * F.col("_v20"))),
     })
     rows = rows.withColumn("streak", F.least(F.lit(6), F.col("_no") - 1, F.when(F.col("_last_down").isNotNull(), F.col("_no") - F.col("_last_down")).otherwise(6)))
     return rows if "pcr" in bars.columns else rows.withColumn("pcr", F.lit(None).cast("double"))
@@ -67,8 +75,8 @@ def rules() -> dict[str, tuple[Column, Column]]:
         "ATR_CONTRACTION": (above & (full >= 76) & (F.col("atr_wilder") > 0) & (F.col("atr_wilder") <= calm_lo * 1.05), graded(tight > 50, tight > 30)),
         "PCR_EXTREME": ((pcr > 1.3) | (pcr < 0.7), graded((pcr > 1.8) | (pcr < 0.4), (pcr > 1.5) | (pcr < 0.55))),
         "DEATH_CROSS": ((full >= 202) & (F.col("sma50") < F.col("sma200")) & (back("sma50", 1) >= back("sma200", 1)), lit("HIGH")),
-        "BEARISH_DIVERGENCE": ((full >= 7) & (c > back("close", 5)) & (rsi < back("rsi_wilder", 5)) & rsi.between(55, 75), F.when(back("rsi_wilder", 5) - rsi > 3, "HIGH").otherwise("MEDIUM")),
-        "DISTRIBUTION": ((full >= 22) & (c < back("close", 1)) & (v > 2) & (F.col("_range") > 0) & (ratio(c - F.col("low"), "_range") < 0.3), F.when(v > 3, "HIGH").otherwise("MEDIUM")),
+        "RSI_BEARISH_DIVERGENCE": ((full >= 7) & (c > back("close", 5)) & (rsi < back("rsi_wilder", 5)) & rsi.between(55, 75), graded(back("rsi_wilder", 5) - rsi > 4, back("rsi_wilder", 5) - rsi > 2)),
+        "DISTRIBUTION_DAY": ((full >= 22) & (F.col("_sold") >= 3), F.when(F.col("_sold") >= 4, "HIGH").otherwise("MEDIUM")),
     }
 
 

@@ -157,7 +157,7 @@ def _(t):
 
 @query("E38_technical_signals")
 def _(t):
-    rows = technical_signals(t.bars_w, blocked=("DISTRIBUTION",))
+    rows = technical_signals(t.bars_w, blocked=("DISTRIBUTION_DAY",))
     return rows.select("symbol", "date", F.array_join(F.transform("signals", lambda s: F.concat_ws(":", s["type"], s["strength"])), ",").alias("signals"))
 
 
