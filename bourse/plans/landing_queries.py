@@ -19,6 +19,19 @@ def _(t):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_shipdate").cast("date").alias("date"))
 
 
+@query("A2_land_exchange_csv", uses="bars_w", doubles="open high low close", sql="""
+SELECT date, symbol, 'EQ' AS series, open, high, low, close, CAST(volume AS BIGINT) AS volume FROM (SELECT symbol, date, round(open, 2) AS open, round(high, 2) AS high, CASE WHEN n % 4 = 0 THEN NULL ELSE round(low, 2) END AS low, round(close, 2) AS close, volume, n FROM bars_w) WHERE n % 3 <> 0""")
+def _(t):
+    """A padded day file written from the weekly bars and landed again."""
+    from bourse.streaming.sinks import work_folder
+    folder = work_folder(t.spark, "csv")
+    pad = lambda c: F.concat(F.lit(" "), c.cast("string"), F.lit(" "))
+    cells = {"SYMBOL": F.col("symbol"), " SERIES": pad(F.when(F.col("n") % 3 == 0, "GB").otherwise("EQ")), " DATE1": pad(F.date_format("date", "dd-MMM-yyyy")), " OPEN_PRICE": pad(F.round("open", 2)), " HIGH_PRICE": pad(F.round("high", 2)),
+             " LOW_PRICE": F.when(F.col("n") % 4 == 0, " -").otherwise(pad(F.round("low", 2))), " CLOSE_PRICE": pad(F.round("close", 2)), " TTL_TRD_QNTY": pad(F.col("volume").cast("bigint"))}
+    t.bars_w.select(*[c.alias(n) for n, c in cells.items()]).write.csv(folder, header=True)
+    return ld.land_exchange_csv(t.spark, folder, {"DATE1": ("date", "date"), "SYMBOL": ("symbol", "string"), "SERIES": ("series", "string"), "OPEN_PRICE": ("open", "double"), "HIGH_PRICE": ("high", "double"), "LOW_PRICE": ("low", "double"), "CLOSE_PRICE": ("close", "double"), "TTL_TRD_QNTY": ("volume", "long")})
+
+
 @query("A3_land_two_layouts", doubles="close", sql="""
 SELECT 'S' || l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS close, CAST(l_quantity AS BIGINT) AS oi, l_linestatus AS kind FROM lineitem WHERE l_shipdate < DATE '1998-01-01'
 UNION ALL SELECT 'S' || l_suppkey, CAST(l_shipdate AS DATE), l_extendedprice, CAST(l_quantity AS BIGINT), NULL FROM lineitem WHERE l_shipdate >= DATE '1998-01-01'""")
@@ -52,6 +65,14 @@ def _(t):
     return ld.explode_statement(t.customer.select("c_custkey", text.alias("payload")), "payload", ["q1", "q2"])
 
 
+@query("Y6_flatten_statement", sql="SELECT c_custkey, 0 AS level, 'Revenue' AS line_item, 'q1' AS period, CAST(c_nationkey AS VARCHAR) AS raw FROM customer UNION ALL SELECT c_custkey, 1, 'Domestic', 'q2', c_mktsegment FROM customer")
+def _(t):
+    ld.register_flatten_statement(t.spark)
+    text = F.concat(F.lit('[{"line_item":"Revenue","q1":'), F.col("c_nationkey").cast("string"), F.lit(',"items":[{"line_item":"Domestic","q2":"'), "c_mktsegment", F.lit('"}]}]'))
+    t.customer.select("c_custkey", text.alias("payload")).createOrReplaceTempView("statement_payloads")
+    return t.spark.sql("SELECT c_custkey, f.* FROM statement_payloads, LATERAL flatten_statement(payload) f")
+
+
 UPS = """
 , tg AS (SELECT o_custkey AS symbol, max(o_totalprice) AS value, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE max(o_orderpriority) END AS note FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1),
 up AS (SELECT o_custkey AS symbol, arg_max(o_totalprice, o_orderkey) AS value, arg_max(o_orderstatus, o_orderkey) AS note FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1),
@@ -84,6 +105,24 @@ def _(t):
     return ld.append_after_high_water(rows.where("o_orderkey % 2 = 1"), rows.where("o_orderkey % 2 = 0"), ["symbol"], "date")
 
 
+@query("A9_replace_partition", doubles="value", sql="""
+SELECT o_orderkey, year(o_orderdate) AS y, CASE WHEN year(o_orderdate) = 1998 THEN -o_totalprice ELSE o_totalprice END AS value FROM orders""")
+def _(t):
+    """Three partitions written, one of them replaced by a second batch."""
+    from bourse.streaming.sinks import work_folder
+    folder = work_folder(t.spark, "partitions")
+    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_totalprice").alias("value"))
+    ld.replace_partition(rows, folder, ["y"])
+    ld.replace_partition(rows.where("y = 1998").withColumn("value", -F.col("value")), folder, ["y"])
+    return t.spark.read.parquet(folder)
+
+
+@query("A10_snapshot_with_manifest")
+def _(t):
+    from bourse.streaming.sinks import work_folder
+    return ld.snapshot_with_manifest({"supplier": t.supplier, "part": t.part}, "2001-12-31", work_folder(t.spark, "snapshot"), 10_000_000)
+
+
 @query("A10_content_hash")
 def _(t):
     return ld.content_hash(t.orders)

@@ -194,3 +194,26 @@ def field_return_correlation(fields: DataFrame, returns: DataFrame, min_n: int)
     """Correlation of every numeric field with every return target across symbols."""
     both = fields.join(returns, "symbol").where(F.col("value").isNotNull() & F.col("ret").isNotNull())
     return both.groupBy("field", "target").agg(F.count("*").alias("n"), finite(F.corr("value", "ret")).alias("pearson")).where(F.col("n") >= min_n)
+
+
+def register_flatten_statement(spark: SparkSession, name: str = "flatten_statement") -> None:
+    """A table function for statements of unknown depth: flatten_statement(json) gives (level, line_item,
+    period, raw). One small walk per payload; SQL calls it with LATERAL."""
+    import json
+
+    class FlattenStatement:
+        def eval(self, payload: str):
+            try:
+                rows = [(0, r) for r in json.loads(payload or "[]")]
+            except ValueError:
+                return
+            while rows:
+                level, row = rows.pop(0)
+                if not isinstance(row, dict):
+                    continue
+                for key, value in row.items():
+                    if key not in ("line_item", "items") and row.get("line_item") and value is not None:
+                        yield level, row["line_item"], key, str(value)
+                rows.extend((level + 1, r) for r in row.get("items") or [])
+
+    spark.udtf.register(name, F.udtf(FlattenStatement, returnType="level int, line_item string, period string, raw string"))
