@@ -152,15 +152,14 @@ def decile_table(df: DataFrame, score: str, value: str, tie: str, n: int = 10) -
 
 def weighted_roc(df: DataFrame, keys, p: str, max_points: int, min_n: int = 1) -> DataFrame:
     """Tie-aware area and curve from outcomes folded to one row per probability, thinned to max_points."""
-    rows = running_totals(df, keys, p, {"w": F.count_if(is_("WIN")), "l": F.count_if(is_("LOSS"))})
+    # One folded row per probability, so the third sum counts distinct probabilities.
+    rows = running_totals(df, keys, p, {"w": F.count_if(is_("WIN")), "l": F.count_if(is_("LOSS")), "v": F.max(F.lit(1))})
     keep = (F.col("w_total") > 0) & (F.col("l_total") > 0) & (F.col("w_total") + F.col("l_total") >= min_n)
-    rows = rows.where(keep)
+    rows = rows.where(keep).withColumns({"n": F.col("w_total") + F.col("l_total"), "_points": F.col("v_total"), "_i": F.col("v_total") - F.col("v_before")})
     rank = F.col("w_before") + F.col("l_before") + (F.col("w") + F.col("l") + 1) / 2
     area = (F.sum(F.col("w") * rank) - F.max("w_total") * (F.max("w_total") + 1) / 2) / (F.max("w_total") * F.max("l_total"))
-    areas = rows.groupBy(*keys).agg(area.alias("auc"), (F.max("w_total") + F.max("l_total")).alias("n"), F.count("*").alias("_points"))
-    # The i-th point of the curve, counted from the highest probability, follows from how many values lie above.
-    places = running_totals(rows.select(*keys, p), keys, p, {"c": F.count("*")}).select(*keys, p, (F.col("c_total") - F.col("c_before")).alias("_i"))
-    curve = rows.join(places, [*keys, p]).join(areas, list(keys)) if keys else rows.join(places, p).withColumns({c: areas.select(c).scalar() for c in ("auc", "n", "_points")})
+    areas = rows.groupBy(*keys).agg(area.alias("auc"))
+    curve = rows.join(areas, list(keys)) if keys else rows.withColumn("auc", areas.scalar())
     step = F.col("_points") / (max_points - 1)
     nearest = F.round(F.round(F.col("_i") / step) * step)
     kept = curve.where((F.col("_points") + 1 <= max_points) | (nearest == F.col("_i")))

@@ -6,16 +6,11 @@ offset, and the window then runs inside a range. Where a group's order values re
 folded to one per value before any window, so neither a hot group nor a hot value lands in one task.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 64
-
-
-def _same(a: str, b: str, keys) -> "F.Column":
-    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+STEP = 8  # cut points are searched in two steps of about the square root of their number
 
 
 def ranges_of(folded: DataFrame, keys, order: str, ranges: int = RANGES) -> DataFrame:
@@ -28,8 +23,10 @@ def ranges_of(folded: DataFrame, keys, order: str, ranges: int = RANGES) -> Data
         F.percentile_approx(order, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 1000).alias("_cuts")
     )
     joined = folded.join(cuts, list(keys)) if keys else folded.withColumn("_cuts", cuts.scalar())
-    place = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    return joined.withColumn("_range", place).drop("_cuts")
+    coarse = F.array(*[F.get("_cuts", F.lit(i - 1)) for i in range(STEP, ranges, STEP)])
+    joined = joined.withColumn("_at", F.size(F.filter(coarse, lambda c: c < F.col(order))) * STEP)
+    place = F.col("_at") + F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, F.lit(STEP)), lambda c: c < F.col(order)))
+    return joined.withColumn("_range", place).drop("_cuts", "_at")
 
 
 def running_totals(df: DataFrame, keys, order: str, sums: dict, ranges: int = RANGES) -> DataFrame:

@@ -20,14 +20,14 @@ def _(t):
 
 
 @query("A2_land_exchange_csv", uses="bars_w", doubles="open high low close", sql="""
-SELECT date, symbol, 'EQ' AS series, open, high, low, close, CAST(volume AS BIGINT) AS volume FROM (SELECT symbol, date, round(open, 2) AS open, round(high, 2) AS high, CASE WHEN n % 4 = 0 THEN NULL ELSE round(low, 2) END AS low, round(close, 2) AS close, volume, n FROM bars_w) WHERE n % 3 <> 0""")
+SELECT date, symbol, 'EQ' AS series, open, high, low, close, CAST(volume AS BIGINT) AS volume FROM (SELECT symbol, date, open, high, CASE WHEN n % 4 = 0 THEN NULL ELSE low END AS low, close, volume, n FROM bars_w) WHERE n % 3 <> 0""")
 def _(t):
     """A padded day file written from the weekly bars and landed again."""
     from bourse.streaming.sinks import work_folder
     folder = work_folder(t.spark, "csv")
     pad = lambda c: F.concat(F.lit(" "), c.cast("string"), F.lit(" "))
-    cells = {"SYMBOL": F.col("symbol"), " SERIES": pad(F.when(F.col("n") % 3 == 0, "GB").otherwise("EQ")), " DATE1": pad(F.date_format("date", "dd-MMM-yyyy")), " OPEN_PRICE": pad(F.round("open", 2)), " HIGH_PRICE": pad(F.round("high", 2)),
-             " LOW_PRICE": F.when(F.col("n") % 4 == 0, " -").otherwise(pad(F.round("low", 2))), " CLOSE_PRICE": pad(F.round("close", 2)), " TTL_TRD_QNTY": pad(F.col("volume").cast("bigint"))}
+    cells = {"SYMBOL": F.col("symbol"), " SERIES": pad(F.when(F.col("n") % 3 == 0, "GB").otherwise("EQ")), " DATE1": pad(F.date_format("date", "dd-MMM-yyyy")), " OPEN_PRICE": pad(F.col("open")), " HIGH_PRICE": pad(F.col("high")),
+             " LOW_PRICE": F.when(F.col("n") % 4 == 0, " -").otherwise(pad(F.col("low"))), " CLOSE_PRICE": pad(F.col("close")), " TTL_TRD_QNTY": pad(F.col("volume").cast("bigint"))}
     t.bars_w.select(*[c.alias(n) for n, c in cells.items()]).write.csv(folder, header=True)
     return ld.land_exchange_csv(t.spark, folder, {"DATE1": ("date", "date"), "SYMBOL": ("symbol", "string"), "SERIES": ("series", "string"), "OPEN_PRICE": ("open", "double"), "HIGH_PRICE": ("high", "double"), "LOW_PRICE": ("low", "double"), "CLOSE_PRICE": ("close", "double"), "TTL_TRD_QNTY": ("volume", "long")})
 

@@ -255,8 +255,8 @@ def _(t):
 
 
 ENG = EV + f"""
-, en AS (SELECT date, symbol, 'momentum' AS engine, 100.0 * {avg_rank('ret_5')} / count(ret_5) OVER (PARTITION BY date) AS score FROM ep WHERE ret_5 IS NOT NULL
-  UNION ALL SELECT date, symbol, 'volume', 100.0 * {avg_rank('vol_ratio')} / count(vol_ratio) OVER (PARTITION BY date) FROM ep WHERE vol_ratio IS NOT NULL AND symbol NOT LIKE '%3'
+, en AS (SELECT date, symbol, 'momentum' AS engine, 100 * ({avg_rank('ret_5')} / count(ret_5) OVER (PARTITION BY date)) AS score FROM ep WHERE ret_5 IS NOT NULL
+  UNION ALL SELECT date, symbol, 'volume', 100 * ({avg_rank('vol_ratio')} / count(vol_ratio) OVER (PARTITION BY date)) FROM ep WHERE vol_ratio IS NOT NULL AND symbol NOT LIKE '%3'
   UNION ALL SELECT date, symbol, 'flat', 50.0 FROM ep)"""
 
 
@@ -296,7 +296,7 @@ def _(t):
 
 
 GATE_IN = EV + f"""
-, gi AS (SELECT date, symbol, 100.0 * {avg_rank('ret_5')} / count(ret_5) OVER (PARTITION BY date) AS score, vol, n % 10 AS piotroski, CASE WHEN n % 4 <> 0 THEN gap END AS roe, n % 17 = 0 AS red_flag, n % 3 AS bullish, CASE WHEN n > 12 THEN 1 ELSE 0 END AS bearish,
+, gi AS (SELECT date, symbol, 100 * ({avg_rank('ret_5')} / count(ret_5) OVER (PARTITION BY date)) AS score, vol, n % 10 AS piotroski, CASE WHEN n % 4 <> 0 THEN gap END AS roe, n % 17 = 0 AS red_flag, n % 3 AS bullish, CASE WHEN n > 12 THEN 1 ELSE 0 END AS bearish,
   50 + 50 * close_loc AS f1, 50 + 400 * gap AS f2 FROM ep WHERE ret_5 IS NOT NULL)"""
 
 
