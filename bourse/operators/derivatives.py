@@ -1,7 +1,10 @@
 """Option chains and futures."""
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,9 @@ from bourse.functions.scalar import last_weekday_of_month
 from bourse.operators.calendar import roll_forward
 from bourse.operators.indicators import per_symbol, prev
 
+# Tasks get these functions by value, so they need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHAIN = ("symbol", "expiry")
 
 

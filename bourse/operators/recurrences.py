@@ -4,10 +4,16 @@ A group is one symbol's bars, one row per session of the calendar (about 250 a y
 number of prints behind them; Spark spreads the symbols over tasks and Arrow moves the columns.
 """
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+# Tasks get these functions by value, so they need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COLUMNS = ("ema_8", "ema_21", "ema_50", "macd", "macd_signal", "rsi_wilder", "rsi_ewm", "atr_wilder", "adx", "di_plus", "di_minus", "supertrend_up")
 
 

@@ -262,7 +262,7 @@ def _(t):
 
 
 @query("C10_coverage_check", uses="bars_s", doubles="coverage", sql="""
-, e AS (SELECT DISTINCT 'S' || s_suppkey AS symbol FROM supplier) SELECT date, 100 AS expected, count(*) AS present, count(*) / 100.0 AS coverage, CASE WHEN count(*) < 100 THEN 'warn' ELSE 'pass' END AS status FROM bars_s GROUP BY 1""")
+, e AS (SELECT count(*) AS e FROM supplier) SELECT date, any_value(e) AS expected, count(*) AS present, count(*) / any_value(e) AS coverage, CASE WHEN count(*) < any_value(e) THEN 'warn' ELSE 'pass' END AS status FROM bars_s, e GROUP BY 1""")
 def _(t):
     expected = t.supplier.agg(F.count("*")).scalar()
     rows = t.bars_s.groupBy("date").agg(F.count("*").alias("present")).withColumn("expected", expected)

@@ -562,7 +562,7 @@ def _(t):
 @query("K43_tenure_mover_study", uses="bars_s sessions_m", doubles="gainers universe t", sql=EV + """
 , st AS (SELECT symbol, idx + 1 AS idx, CAST(n AS DOUBLE) AS lists, CAST(row_number() OVER (PARTITION BY symbol ORDER BY date) AS DOUBLE) AS tenure FROM ep), m AS (SELECT symbol, idx, row_number() OVER (PARTITION BY idx ORDER BY ret_1 DESC, symbol) AS rn FROM ep WHERE ret_1 IS NOT NULL),
 l AS (UNPIVOT (SELECT m.idx, rn, lists, tenure FROM m JOIN st ON st.symbol = m.symbol AND st.idx = m.idx) ON lists, tenure INTO NAME metric VALUE v), d AS (SELECT metric, idx, avg(v) FILTER (WHERE rn <= 10) AS t, avg(v) AS a FROM l GROUP BY 1, 2)
-SELECT metric, count(t) AS dates, avg(t) AS gainers, avg(a) AS universe, avg(t - a) / (stddev_samp(t - a) / sqrt(count(t - a))) AS t FROM d GROUP BY 1""")
+SELECT metric, count(t) AS dates, avg(t) AS gainers, avg(a) AS universe, avg(t - a) / (nullif(stddev_samp(t - a), 0) / sqrt(count(t - a))) AS t FROM d GROUP BY 1""")
 def _(t):
     p = eval_panel(t)
     state = p.select("symbol", "idx", F.col("n").alias("lists"), F.row_number().over(ind.per_symbol()).alias("tenure"))
