@@ -188,10 +188,10 @@ def _(t):
     return t.customer.select(F.col("c_custkey").alias("symbol")).exceptAll(t.orders.where("o_totalprice > 400000").select(F.col("o_custkey").alias("symbol")).distinct())
 
 
-@query("F1_parse_money_size", doubles="a b c d", sql="SELECT o_orderkey, floor(o_totalprice) AS a, round(o_totalprice / 1000.0, 2) * 1e6 AS b, -round(o_totalprice, 2) AS c, NULL AS d FROM orders")
+@query("F1_parse_money_size", doubles="a b c d", sql="SELECT o_orderkey, floor(o_totalprice) AS a, floor(o_totalprice / 10) / 100 * 1e6 AS b, -round(o_totalprice, 2) AS c, NULL AS d FROM orders")
 def _(t):
     price = F.col("o_totalprice")
-    texts = {"a": F.format_number(F.floor(price), 0), "b": F.concat(F.round(price / 1000.0, 2).cast("decimal(20,2)").cast("string"), F.lit("m")),
+    texts = {"a": F.format_number(F.floor(price), 0), "b": F.concat((F.floor(price / 10) / 100).cast("decimal(20,2)").cast("string"), F.lit("m")),
              "c": F.concat(F.lit(" -"), F.round(price, 2).cast("decimal(20,2)").cast("string")), "d": F.lit("NA")}
     return t.orders.select("o_orderkey", *[scalar.parse_number(v).alias(k) for k, v in texts.items()])
 
