@@ -134,7 +134,7 @@ AUC = """avg(CASE WHEN x.p > y.p THEN 1.0 WHEN x.p = y.p THEN 0.5 ELSE 0.0 END)"
 
 @query("AG12_auc_rank", uses="preds", doubles="auc", sql=f"""
 , n AS (SELECT stratum, count(*) AS n FROM preds GROUP BY 1)
-SELECT n.stratum, n.n, {AUC} AS auc FROM n JOIN preds x ON x.stratum = n.stratum AND x.y = 1 JOIN preds y ON y.stratum = n.stratum AND y.y = 0 GROUP BY 1, 2""")
+SELECT n.stratum, n.n, avg(CASE WHEN x.p IS NULL OR y.p IS NULL THEN NULL WHEN x.p > y.p THEN 1.0 WHEN x.p = y.p THEN 0.5 ELSE 0.0 END) AS auc FROM n LEFT JOIN preds x ON x.stratum = n.stratum AND x.y = 1 LEFT JOIN preds y ON y.stratum = n.stratum AND y.y = 0 GROUP BY 1, 2""")
 def _(t):
     return oc.auc_by_rank(t.preds, ["stratum"], "p", "y")
 
