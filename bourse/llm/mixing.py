@@ -42,10 +42,10 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("_full"), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("_lambda") * F.col("_x"))))
 
 
-def solve_tilts(histogram: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-9) -> DataFrame:
+def solve_tilts(histogram: DataFrame, sources: DataFrame, cap: float, tolerance: float = 1e-7) -> DataFrame:
     """sources with `_lambda`, the tilt of each. histogram: (_source, _size > 0, _n).
 
-    Newton's step on the logarithm of the tokens a tilt gives, inside a bracket that every step narrows; each third
+    Newton's step on the logarithm of the tokens a tilt gives, inside a bracket that every step narrows; each eighth
     step halves a closed bracket, so the loop ends for any input. It stops once every source is met or cannot move.
     """
     state = stored(
@@ -78,7 +78,7 @@ def solve_tilts(histogram: DataFrame, sources: DataFrame, cap: float, tolerance:
         middle = (F.col("_lo") + F.col("_hi")) / 2
         inside = F.when((F.col("_h") > 0) & (F.coalesce(newton > F.col("_lo"), F.lit(True))) & (F.coalesce(newton < F.col("_hi"), F.lit(True))), newton)
         far = F.when(low, F.col("_lambda") + 1.0).otherwise(F.col("_lambda") - 1.0)
-        chosen = F.coalesce(middle, inside, far) if step % 3 == 0 else F.coalesce(inside, middle, far)
+        chosen = F.coalesce(middle, inside, far) if step % 8 == 0 else F.coalesce(inside, middle, far)
         met = F.abs(F.col("_g") - goal) <= F.lit(tolerance) * goal
         stuck = (F.col("_hi") - F.col("_lo")) <= F.lit(1e-14) * (F.abs("_hi") + F.abs("_lo"))
         done = F.col("_done") | F.coalesce(met, F.lit(False)) | F.coalesce(stuck, F.lit(False))

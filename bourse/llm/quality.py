@@ -145,21 +145,19 @@ def ablations(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: t
 
 def keep_good(docs: DataFrame, policy: Policy = CURRENT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows that the policy keeps, with all their columns. Rows are measured where they lie; nothing is shuffled."""
-    schema = docs.schema
-    mask = mask_of(policy)
-    at = docs.columns.index(text)
-    rules = [r for r in RULES if r.name in policy.rules]
-    measured = [f"_m_{m}" for m in MEASURES]
+    at, mask = docs.columns.index(text), mask_of(policy)
+    places = [f"_{k}" for k in range(len(docs.columns))]  # names of any kind travel as places
 
     def widened(batches):
         for batch in batches:
             rows = [measure(t.as_py()) for t in batch.column(at)]
             own = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *measured])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*places, *MEASURES])
 
-    wide = docs.mapInArrow(widened, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{m} bigint" for m in measured)]))
-    inner = wide.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_doc"), *[F.col(f"_m_{m}").alias(m) for m in MEASURES])
+    kinds = [f"{p} {f.dataType.simpleString()}" for p, f in zip(places, docs.schema, strict=True)]
+    wide = docs.toDF(*places).mapInArrow(widened, ", ".join(kinds + [f"{m} bigint" for m in MEASURES]))
     failed = F.lit(0).cast("long")
-    for r in rules:
-        failed = failed.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return inner.where(failed.bitwiseAND(F.lit(mask).cast("long")) == 0).select("_doc.*")
+    for r in RULES:
+        if r.name in policy.rules:
+            failed = failed.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return wide.where(failed.bitwiseAND(F.lit(mask).cast("long")) == 0).select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns, strict=True)])
