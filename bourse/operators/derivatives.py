@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.frames import clamp, ratio, roll
+from bourse.functions.normal import cdf_array
 from bourse.functions.scalar import last_weekday_of_month
 from bourse.operators.calendar import roll_forward
 from bourse.operators.indicators import per_symbol, prev
@@ -106,14 +107,8 @@ def black76(forward, strike, years, sigma, call, rate):
     """Discounted option price on a forward, vectorised."""
     root = sigma * np.sqrt(years)
     d1 = (np.log(forward / strike) + 0.5 * sigma * sigma * years) / root
-    cdf = lambda x: 0.5 * (1 + _erf(x / np.sqrt(2.0)))
     sign = np.where(call, 1.0, -1.0)
-    return np.exp(-rate * years) * sign * (forward * cdf(sign * d1) - strike * cdf(sign * (d1 - root)))
-
-
-def _erf(x):
-    from math import erf
-    return np.vectorize(erf, otypes=[float])(x)
+    return np.exp(-rate * years) * sign * (forward * cdf_array(sign * d1) - strike * cdf_array(sign * (d1 - root)))
 
 
 def implied_vol(rows: DataFrame, rate: float = 0.065, lo: float = 0.001, hi: float = 5.0) -> DataFrame:

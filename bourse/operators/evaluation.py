@@ -110,11 +110,11 @@ def attribute_calls(calls: DataFrame, bars: DataFrame, horizon: int, cost: float
     b = F.col("bars")
     stop_at = F.array_min(F.transform(F.filter(b, lambda x: x["low"] <= F.col("stop")), lambda x: x["at"]))
     later = F.exists(b, lambda x: (x["at"] >= F.col("_stop_at")) & (x["high"] >= F.col("target")))
-    first = b[0]
+    first = F.get(b, F.lit(0))
     locked = (first["open"] == first["high"]) & (first["high"] == first["low"]) & (first["low"] == first["close"]) & (first["open"] > F.col("close"))
     rows = rows.withColumn("_stop_at", stop_at).withColumns({
         "excess": F.col("fwd") - cost - F.col("_u"), "gross_excess": F.col("fwd") - F.col("_u"), "excess_2h": F.col("fwd2") - cost - F.col("_u2"),
-        "sector_rel": F.col("_s") - F.col("_u"), "idio": F.col("fwd") - F.col("_s"), "unfillable": locked,
+        "sector_rel": F.col("_s") - F.col("_u"), "idio": F.col("fwd") - F.col("_s"), "unfillable": F.coalesce(locked, F.lit(False)),
         "stop_hit": F.col("_stop_at").isNotNull(), "target_after_stop": F.coalesce(later, F.lit(False))})
     return classify_causes(rows).drop("_u", "_u2", "_s", "_stop_at", "bars")
 

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bourse.session import checkpoint_folder
+
 
 def valid_isin(c) -> Column:
     """The upper-cased code if its form and check digit are right, else NULL."""
@@ -47,20 +49,39 @@ def resolve_identifiers(queries: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("qid", "provider", "value", status.alias("status"), F.when(status == "resolved", F.col("_s")).alias("symbol"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-def symbol_chain(renames: DataFrame, max_rounds: int = 16) -> DataFrame:
-    """Current symbol of every old one and its distance, by pointer doubling over (old, new).
+def renames_by_end(renames: DataFrame) -> DataFrame:
+    """(old, current, hops, status) of every old symbol over (old, new), by pointer doubling.
 
-    Rename chains are short, so a few rounds reach the end; each round is checkpointed to the session's
-    checkpoint folder and the loop stops as soon as nothing moves.
+    status `settled`: current is where the chain ends. `fork`: it reaches a symbol with more than one new one, which is
+    current and where it stops (hops 0 for that symbol itself). `cycle`: it never ends, current and hops are NULL. After
+    r rounds an unsettled pointer has gone 2**r steps, so once that exceeds the number of symbols it is in a cycle:
+    the loop ends for any input, and no chain is too long.
     """
-    links = renames.select("old", F.col("new").alias("current"), F.lit(1).alias("hops")).checkpoint()
-    for _ in range(max_rounds):
+    checkpoint_folder(renames.sparkSession)
+    ends = renames.select("old", "new").distinct().groupBy("old").agg(F.count("*").alias("_n"), F.min("new").alias("current")).checkpoint()
+    forks = ends.where("_n > 1").select("old", F.col("old").alias("current"), F.lit(0).cast("bigint").alias("hops"))
+    links = ends.where("_n = 1").select("old", "current", F.lit(1).cast("bigint").alias("hops"))
+    symbols, steps, moving = links.count(), 1, True
+    while moving and steps <= symbols:
         ahead = links.select(F.col("old").alias("current"), F.col("current").alias("_next"), F.col("hops").alias("_more"))
         moved = links.join(ahead, "current", "left").select("old", F.coalesce("_next", "current").alias("current"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"), F.col("_next").isNotNull().alias("_moved")).checkpoint()
-        links = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            break
-    return links
+        links, steps, moving = moved.drop("_moved"), 2 * steps, not moved.where("_moved").isEmpty()
+    inside = links.select(F.col("old").alias("current"), F.lit(True).alias("_loops"))  # an end that still points on
+    at_fork = forks.select("current", F.lit(True).alias("_forks"))
+    out = links.join(inside, "current", "left").join(at_fork, "current", "left")
+    status = F.when(F.col("_loops"), "cycle").when(F.col("_forks"), "fork").otherwise("settled")
+    done = out.select("old", F.when(F.col("_loops").isNull(), F.col("current")).alias("current"), F.when(F.col("_loops").isNull(), F.col("hops")).alias("hops"), status.alias("status"))
+    return done.unionByName(forks.withColumn("status", F.lit("fork")))
+
+
+def symbol_chain(renames: DataFrame) -> DataFrame:
+    """Current symbol of every old one whose chain has a single end, and its distance."""
+    return renames_by_end(renames).where("status = 'settled'").drop("status")
+
+
+def predecessors(renames: DataFrame) -> DataFrame:
+    """(current, old, hops): all former symbols of each current one, the newest first in hops."""
+    return symbol_chain(renames).select("current", "old", "hops")
 
 
 def bitemporal_filter(df: DataFrame, as_of: Column) -> DataFrame:

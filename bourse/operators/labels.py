@@ -63,17 +63,20 @@ def vol_rank(bars: DataFrame, window: int = 14, lookback: int = 20) -> DataFrame
 
 
 def holding_windows(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """The `horizon` bars after each entry as an array of structs in session order.
+    """The `horizon` bars after each entry as an array of structs in session order; empty where none follows.
 
     `entries` carry (symbol, idx); the equi-join on the session number explodes each entry into its
     horizon, so an entry's window never exceeds `horizon` bars and hot symbols spread by session.
+    Equal entries are looked up once and come back as often as they were given.
     """
-    steps = entries.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_at", F.col("idx") + F.col("_step"))
+    alike = entries.groupBy(*entries.columns).agg(F.count("*").alias("_alike"))
+    steps = alike.withColumn("_step", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("_at", F.col("idx") + F.col("_step"))
     path = bars.select("symbol", F.col("idx").alias("_at"), F.col("date").alias("_d"), F.col("open").alias("_o"), F.col("high").alias("_h"), F.col("low").alias("_l"), F.col("close").alias("_c"))
-    joined = steps.join(path, ["symbol", "_at"])
+    joined = steps.join(path, ["symbol", "_at"], "left")
     keys = entries.columns
     bar = F.struct(F.col("_at").alias("at"), F.col("_d").alias("date"), F.col("_o").alias("open"), F.col("_h").alias("high"), F.col("_l").alias("low"), F.col("_c").alias("close"))
-    return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(bar)).alias("bars"))
+    found = joined.groupBy(*keys, "_alike").agg(F.array_sort(F.collect_list(F.when(F.col("_d").isNotNull(), bar))).alias("bars"))
+    return found.select(*keys, "bars", F.explode(F.sequence(F.lit(1).cast("long"), "_alike")).alias("_copy")).drop("_copy")
 
 
 EXIT_STATE = ("struct<anchor:double,mfe:double,mae:double,partial:boolean,booked:double,"
@@ -82,7 +85,8 @@ EXIT_STATE = ("struct<anchor:double,mfe:double,mae:double,partial:boolean,booked
 
 def exit_path(trades: DataFrame, scale: float = 0.5, mult: float = 3.0) -> DataFrame:
     """Replay each trade's bars: stop before target, chandelier trail from earlier extremes, half
-    booked at the target. `trades` carry bars, entry, stop, target, atr, direction.
+    booked at the target. `trades` carry bars, entry, stop, target, atr, direction; without bars yet a
+    trade is PENDING and its results are NULL.
 
     A fold over an array of at most the holding period: trades are independent rows.
     """
@@ -124,39 +128,39 @@ def exit_path(trades: DataFrame, scale: float = 0.5, mult: float = 3.0) -> DataF
         return F.when(s["done"], s).otherwise(moved)
 
     rows = trades.withColumn("_s", F.aggregate("bars", start.cast(EXIT_STATE), lambda s, b: step(s, b).cast(EXIT_STATE)))
-    s, last = F.col("_s"), F.element_at("bars", -1)
-    held = leg(last["close"])
+    s, last = F.col("_s"), F.try_element_at("bars", F.lit(-1))
+    held, some = leg(last["close"]), F.size("bars") > 0
     return rows.withColumns({
-        "exit_reason": F.coalesce(s["reason"], F.when(s["partial"], "TIME_EXIT_PARTIAL").otherwise("TIME_EXIT")),
+        "exit_reason": F.when(~some, "PENDING").otherwise(F.coalesce(s["reason"], F.when(s["partial"], "TIME_EXIT_PARTIAL").otherwise("TIME_EXIT"))),
         "exit_date": F.coalesce(s["date"], last["date"]),
         "exit_price": F.coalesce(s["price"], last["close"]),
         "gross_pct": F.coalesce(s["gross"], F.when(s["partial"], scale * s["booked"] + (1 - scale) * held).otherwise(held)),
-        "mfe_pct": leg(s["mfe"]), "mae_pct": leg(s["mae"]),
+        "mfe_pct": F.when(some, leg(s["mfe"])), "mae_pct": F.when(some, leg(s["mae"])),
     }).drop("_s", "bars")
 
 
 def excursions(trades: DataFrame, mult: float = 3.0, cap: float = 50.0) -> DataFrame:
-    """Largest favourable and adverse moves with their days, which came first, and the trailing exit."""
-    entry = F.col("entry")
+    """Largest favourable and adverse moves with their days, which came first, and the trailing exit; NULL without bars."""
+    entry, some = F.col("entry"), F.size("bars") > 0
     pct = lambda price: 100 * (price - entry) / entry
     bounded = lambda price: F.least(F.greatest(pct(price), F.lit(-cap)), F.lit(cap))
     moves = F.transform("bars", lambda b, i: F.struct(bounded(b["high"]).alias("up"), bounded(b["low"]).alias("down"), (i + 1).alias("day"), b["high"].alias("high"), b["low"].alias("low")))
     rows = trades.withColumn("_m", moves)
     rows = rows.withColumns({
-        "mfe_pct": F.greatest(F.array_max(F.transform("_m", lambda m: m["up"])), F.lit(0.0)),
-        "mae_pct": F.least(F.array_min(F.transform("_m", lambda m: m["down"])), F.lit(0.0)),
+        "mfe_pct": F.when(some, F.greatest(F.array_max(F.transform("_m", lambda m: m["up"])), F.lit(0.0))),
+        "mae_pct": F.when(some, F.least(F.array_min(F.transform("_m", lambda m: m["down"])), F.lit(0.0))),
     })
     day = lambda side, best: F.coalesce(F.array_min(F.transform(F.filter("_m", lambda m: m[side] == F.col(best)), lambda m: m["day"])), F.lit(0))
     rows = rows.withColumns({
-        "days_to_mfe": F.when(F.col("mfe_pct") > 0, day("up", "mfe_pct")).otherwise(0),
-        "days_to_mae": F.when(F.col("mae_pct") < 0, day("down", "mae_pct")).otherwise(0),
+        "days_to_mfe": F.when(F.col("mfe_pct") > 0, day("up", "mfe_pct")).when(some, 0),
+        "days_to_mae": F.when(F.col("mae_pct") < 0, day("down", "mae_pct")).when(some, 0),
     })
     def peak(i):
         return F.aggregate(F.slice("bars", 1, i), entry, lambda a, b: F.greatest(a, b["high"]))
     stopped = F.filter(F.transform("_m", lambda m: F.struct(m["day"].alias("day"), m["high"].alias("high"), m["low"].alias("low"), (peak(m["day"] - 1) - mult * F.col("atr")).alias("stop"))), lambda m: m["low"] <= m["stop"])
     first = F.when((F.col("atr") > 0) & (F.size(stopped) > 0), F.get(stopped, F.lit(0)))
     rows = rows.withColumn("_first", first)
-    close = bounded(F.element_at("bars", -1)["close"])
+    close = F.when(some, bounded(F.try_element_at("bars", F.lit(-1))["close"]))
     return rows.withColumns({
         "mfe_first": (F.col("days_to_mfe") > 0) & ((F.col("days_to_mae") == 0) | (F.col("days_to_mfe") <= F.col("days_to_mae"))),
         "horizon_close_pct": close,
@@ -305,7 +309,7 @@ def first_touch(trades: DataFrame, horizon: int) -> DataFrame:
     past = lambda b, level, up: F.when(up, b["open"] >= F.col(level)).otherwise(b["open"] <= F.col(level))
     touched = F.get(F.filter("bars", lambda b: worse(b) | better(b)), F.lit(0))
     rows = trades.withColumn("_b", touched)
-    b, last = F.col("_b"), F.element_at("bars", -1)
+    b, last = F.col("_b"), F.try_element_at("bars", F.lit(-1))
     stopped = worse(b)
     fill = F.when(stopped, F.when(past(b, "stop", ~long), b["open"]).otherwise(F.col("stop"))).otherwise(
         F.when(past(b, "target", long), b["open"]).otherwise(F.col("target")))

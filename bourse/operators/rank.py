@@ -97,20 +97,12 @@ def position_sizes(df: DataFrame, edge_pct: float = 5.0, gross: float = 1.0, cap
     return rows
 
 
-def correlation_clusters(returns: DataFrame, book: DataFrame, threshold: float, min_overlap: int, max_rounds: int = 20) -> DataFrame:
+def correlation_clusters(returns: DataFrame, book: DataFrame, threshold: float, min_overlap: int) -> DataFrame:
     """Connected components of a book's names whose correlation reaches the threshold, labelled by their
-    first member. Labels spread along edges until none changes; each round is checkpointed to the
-    session's checkpoint folder, so the plan stays short and a lost executor costs one round."""
+    first member, however long the chains are."""
+    from bourse.operators.graph import component_labels
     pairs = pair_correlation(returns, book, min_overlap).where(F.col("corr") >= threshold).select("a", "b")
-    edges = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = edges.select(F.col("a").alias("symbol")).distinct().withColumn("cluster", F.col("symbol"))
-    for _ in range(max_rounds):
-        near = edges.join(labels, F.col("b") == F.col("symbol")).groupBy("a").agg(F.min("cluster").alias("_near"))
-        spread = labels.join(near, F.col("symbol") == F.col("a")).select("symbol", F.least("cluster", "_near").alias("cluster"), (F.col("_near") < F.col("cluster")).alias("_moved")).checkpoint()
-        labels = spread.drop("_moved")
-        if spread.where("_moved").isEmpty():
-            break
-    return labels
+    return component_labels(pairs).select(F.col("node").alias("symbol"), F.col("label").alias("cluster"))
 
 
 def composite_factors(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ A group is one symbol's bars, one row per session of the calendar (about 250 a y
 number of prints behind them; Spark spreads the symbols over tasks and Arrow moves the columns.
 """
 
+import itertools
 import sys
 
 import numpy as np
@@ -37,18 +38,27 @@ def strength(gain: np.ndarray, loss: np.ndarray) -> np.ndarray:
         return np.where(loss == 0, np.where(np.isnan(gain), np.nan, 100.0), 100 - 100 / (1 + gain / loss))
 
 
+def ratchet(raw: np.ndarray, close: np.ndarray, first: int, opening: float, tighter) -> np.ndarray:
+    """A band that only tightens, and is drawn anew after a close beyond it. It opens on the bar before `first`."""
+    band = np.full(len(raw), opening)
+    beyond = 1.0 if tighter is min else -1.0
+    for i in range(first, len(raw)):
+        crossed = beyond * (close[i - 1] - band[i - 1]) > 0
+        band[i] = raw[i] if crossed else tighter(band[i - 1], raw[i])
+    return band
+
+
 def supertrend(high, low, close, atr, n: int, mult: float) -> np.ndarray:
-    """True while the close holds above the trailing lower band; flips on a cross of the upper one."""
-    up_trend = np.zeros(len(close), dtype=bool)
-    upper = lower = 0.0
-    for i in range(n, len(close)):
-        mid = (high[i] + low[i]) / 2
-        raw_up, raw_low = mid + mult * atr[i], mid - mult * atr[i]
-        last = close[i - 1]
-        upper = raw_up if (i > n and raw_up < upper) or last > upper else upper
-        lower = raw_low if (i > n and raw_low > lower) or last < lower else lower
-        up_trend[i] = close[i] >= lower if i > n and up_trend[i - 1] else close[i] > upper
-    return up_trend
+    """The SuperTrend side: up from a close above the upper band until one below the lower band.
+
+    Both bands lie `mult` average ranges from the middle of the bar and are ratchets on their own: the upper one from
+    the first full average, the lower one, which an uptrend needs, from the bar after it.
+    """
+    middle, reach = (high + low) / 2, mult * atr
+    above = close > ratchet(middle + reach, close, n, np.inf, min)
+    holds = close >= ratchet(middle - reach, close, n + 1, 0.0, max)
+    side = itertools.accumulate(range(n, len(close)), lambda up, i: bool(holds[i] if up else above[i]), initial=False)
+    return np.r_[np.zeros(n, bool), np.fromiter(itertools.islice(side, 1, None), bool, len(close) - n)]
 
 
 def fold_symbol(bars: pd.DataFrame, n: int = 14, trend_n: int = 10, trend_mult: float = 2.5) -> pd.DataFrame:

@@ -65,7 +65,7 @@ def eligible_asof(asked: DataFrame, listed: DataFrame) -> DataFrame:
     return out.withColumn("eligible", F.when(F.col("_covered"), F.coalesce("_in", F.lit(False)))).drop("_covered", "_in")
 
 
-def events_in_window(plans: DataFrame, events: DataFrame, cap_days: int = 366) -> DataFrame:
+def events_in_window(plans: DataFrame, events: DataFrame) -> DataFrame:
     """Events inside (entry, exit] of each plan, counted and listed by kind in date order."""
     months = F.sequence(F.trunc("entry_date", "month"), F.trunc("exit_date", "month"), F.expr("interval 1 month"))
     spread = plans.select("plan_id", "symbol", "entry_date", "exit_date", F.explode(months).alias("_month"))

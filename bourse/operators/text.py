@@ -76,20 +76,19 @@ def build_alias_index(names: DataFrame, generic=GENERIC) -> DataFrame:
     return out.where(F.length("alias") >= 2).distinct()
 
 
-def tag_entities(docs: DataFrame, aliases: DataFrame, text: str = "text", doc: str = "doc_id", most: int = 5, words: int = 3) -> DataFrame:
+def tag_entities(docs: DataFrame, aliases: DataFrame, text: str = "text", doc: str = "doc_id", most: int = 5) -> DataFrame:
     """Symbols whose alias appears as whole tokens, longest alias first, one hit per symbol, at most `most`.
 
-    A document gives its distinct runs of one to `words` tokens, which join the alias table by equality.
+    A document gives its distinct tokens, which join the aliases of any length on their first one. An alias of one
+    token is then found; a longer one is looked for in the text of those documents that hold its first token.
     """
-    tokens = F.split(norm(text), " ")
-
-    def runs(n):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_t", i, n), " "))
-
-    grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, words + 1)])))
-    hits = docs.select(doc, tokens.alias("_t")).select(doc, F.explode(grams).alias("alias")).join(aliases, "alias")
-    best = hits.groupBy(doc, "symbol").agg(F.max(F.length("alias")).alias("_len"))
+    first = aliases.withColumn("_first", F.substring_index("alias", " ", 1))
+    tokens = docs.select(doc, F.explode(F.array_distinct(F.split(norm(text), " "))).alias("_first"))
+    met = tokens.join(first, "_first").select(doc, "symbol", "alias")
+    long = F.contains(F.col("alias"), F.lit(" "))
+    padded = docs.select(doc, F.concat(F.lit(" "), norm(text), F.lit(" ")).alias("_padded"))
+    whole = met.where(long).join(padded, doc).where(F.contains("_padded", F.concat(F.lit(" "), "alias", F.lit(" ")))).select(doc, "symbol", "alias")
+    best = met.where(~long).unionByName(whole).groupBy(doc, "symbol").agg(F.max(F.length("alias")).alias("_len"))
     place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("_len"), F.asc("symbol")))
     return best.withColumn("rank", place).where(F.col("rank") <= most).select(doc, "symbol", "rank")
 
@@ -182,18 +181,21 @@ def news_features(items: DataFrame, grid: DataFrame) -> DataFrame:
     return out.withColumn("attention", rank / n).drop("_ask", "_s", "_n", "_h", "_seen")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 1000) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1000, live: DataFrame | None = None) -> DataFrame:
     """The k most similar stored vectors per query by cosine, from (qid, q) and (vec_id, v).
 
-    The query batch is small by contract, checked here, and travels as one value; every vector scores
-    all queries in place, and only the best k per query and task reach the shuffle.
+    Any number of queries: they are cut into blocks of about `block`, and each vector scores the queries of a block in
+    place, so only the best k per query and task reach the shuffle. `live` (vec_id) leaves out vectors whose entity is gone.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries in a batch: split it")
+    if live is not None:
+        vectors = vectors.join(live.select("vec_id").distinct(), "vec_id", "left_semi")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    unit = queries.select("qid", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn"))
-    batch = unit.agg(F.collect_list(F.struct("qid", "q", "qn"))).scalar()
-    rows = vectors.withColumns({"_n": F.sqrt(dot(F.col("v"), F.col("v"))), "_q": F.explode(batch)})
+    blocks = 1 + (queries.count() - 1) // block
+    number = F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))).cast("int")
+    unit = queries.select(number.alias("_block"), F.struct("qid", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn")).alias("_q"))
+    batches = unit.groupBy("_block").agg(F.collect_list("_q").alias("_batch"))
+    rows = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))).join(batches, "_block")
+    rows = rows.withColumns({"_n": F.sqrt(dot(F.col("v"), F.col("v"))), "_q": F.explode("_batch")})
     score = F.round(ratio(dot(F.col("v"), F.col("_q.q")), F.col("_n") * F.col("_q.qn")), 9)
     rows = rows.select(F.col("_q.qid").alias("qid"), "vec_id", score.alias("similarity"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("vec_id")))

@@ -81,11 +81,13 @@ def coverage(df: DataFrame, cols, min_coverage: float) -> DataFrame:
 def untrainable(df: DataFrame, cols, recent: Column, min_share: float, min_distinct: int, min_std: float) -> DataFrame:
     """Columns to drop: sparse, nearly constant, without spread, or no longer written on recent rows."""
     n = F.count("*")
-    each = [F.struct(F.lit(c).alias("column"), (F.count(c) / n).alias("share"), F.approx_count_distinct(c).alias("_approx"),
-                     F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.count_if(recent & F.col(c).isNotNull()).alias("recent"),
+    each = [F.struct(F.lit(c).alias("column"), (F.count(c) / n).alias("share"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias("std"), F.count_if(recent & F.col(c).isNotNull()).alias("recent"),
                      (F.min(c) == F.max(c)).alias("constant")) for c in cols]
     out = df.agg(F.array(*each).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
-    reason = (F.when(F.col("share") < min_share, "SPARSE").when(F.coalesce("constant", F.lit(True)) | (F.col("_approx") < min_distinct), "FEW_VALUES")
+    # Exact distinct counts in two steps: equal values fold before they are counted per column.
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_v")).select("_v.*").where("value IS NOT NULL").distinct()
+    out = out.join(values.groupBy("column").agg(F.count("*").alias("_distinct")), "column", "left")
+    reason = (F.when(F.col("share") < min_share, "SPARSE").when(F.coalesce("constant", F.lit(True)) | (F.coalesce("_distinct", F.lit(0)) < min_distinct), "FEW_VALUES")
               .when(F.col("std") < min_std, "NO_SPREAD").when(F.col("recent") == 0, "NOT_WRITTEN"))
     return out.select("column", "share", "std", "recent", reason.alias("drop_reason"))
 

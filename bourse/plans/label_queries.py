@@ -39,6 +39,10 @@ e AS (SELECT symbol, date AS entry_date, idx, close AS entry, CASE WHEN n % 2 =
 """.replace("OVER (PARTITION BY symbol ORDER BY date)", "OVER w")
 
 
+# Entries without a later bar: their windows are empty.
+NO_BARS = "FROM e WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.symbol = e.symbol AND b.idx BETWEEN e.idx + 1 AND e.idx + 5)"
+
+
 def trades(t, horizon: int = 5):
     """One trade per monthly bar: long or short by print count, levels around the close."""
     bars = ind.atr(calendar.session_index(t.bars_m, t.sessions_m))
@@ -67,7 +71,8 @@ f AS (SELECT symbol, idx, entry_date, entry, direction, stop, target, atr, any_v
 x AS (SELECT *, CASE WHEN hk IS NULL THEN lastc ELSE eff END AS px FROM (SELECT * FROM f))
 SELECT symbol, entry_date, direction, CASE WHEN hk IS NULL THEN CASE WHEN partial THEN 'TIME_EXIT_PARTIAL' ELSE 'TIME_EXIT' END WHEN eff = stop THEN 'STOP_LOSS' ELSE 'TRAILING_STOP' END AS exit_reason,
   exit_date, px AS exit_price, CASE WHEN partial THEN 0.5 * sg * (target - entry) / entry * 100 + 0.5 * sg * (px - entry) / entry * 100 ELSE sg * (px - entry) / entry * 100 END AS gross_pct,
-  greatest(best - sg * entry, 0) / entry * 100 AS mfe_pct, least(worst - sg * entry, 0) / entry * 100 AS mae_pct FROM x""")
+  greatest(best - sg * entry, 0) / entry * 100 AS mfe_pct, least(worst - sg * entry, 0) / entry * 100 AS mae_pct FROM x
+UNION ALL SELECT symbol, entry_date, direction, 'PENDING', NULL, NULL, NULL, NULL, NULL """ + NO_BARS)
 def _(t):
     return labels.exit_path(trades(t)).select("symbol", "entry_date", "direction", "exit_reason", "exit_date", "exit_price", "gross_pct", "mfe_pct", "mae_pct")
 
@@ -87,7 +92,8 @@ SELECT f.symbol, f.entry_date, f.direction,
   CASE WHEN k1 IS NULL THEN CASE WHEN f.bars >= 5 THEN lc END
     WHEN st THEN CASE WHEN f.direction = 'long' THEN least(o, stop) ELSE greatest(o, stop) END
     ELSE CASE WHEN f.direction = 'long' THEN greatest(o, target) ELSE least(o, target) END END AS exit_price
-FROM f LEFT JOIN q ON q.symbol = f.symbol AND q.entry_date = f.entry_date AND q.k = f.k1""")
+FROM f LEFT JOIN q ON q.symbol = f.symbol AND q.entry_date = f.entry_date AND q.k = f.k1
+UNION ALL SELECT symbol, entry_date, direction, 'OPEN', NULL, NULL, NULL """ + NO_BARS)
 def _(t):
     return labels.first_touch(trades(t), 5).select("symbol", "entry_date", "direction", "status", "exit_reason", "exit_date", "exit_price")
 
@@ -120,7 +126,8 @@ m AS (SELECT symbol, entry_date, entry, atr, greatest(max(up), 0) AS mfe, least(
    min(CASE WHEN atr > 0 AND l <= tstop THEN k END) AS tk FROM q GROUP BY 1, 2, 3, 4),
 exc AS (SELECT m.symbol, m.entry_date, mfe AS mfe_pct, mae AS mae_pct, coalesce(min(CASE WHEN mfe > 0 AND up = mfe THEN k END), 0) AS days_to_mfe, coalesce(min(CASE WHEN mae < 0 AND dn = mae THEN k END), 0) AS days_to_mae,
    hc AS horizon_close_pct, any_value(tk) AS trail_exit_day, coalesce(max(CASE WHEN k = tk THEN 100 * (least(tstop, h) - m.entry) / m.entry END), hc) AS trail_exit_pct,
-   CASE WHEN m.atr > 0 THEN 100 * m.atr / m.entry ELSE 0.0 END AS atr_pct FROM m JOIN q ON q.symbol = m.symbol AND q.entry_date = m.entry_date GROUP BY m.symbol, m.entry_date, mfe, mae, hc, m.atr, m.entry)"""
+   CASE WHEN m.atr > 0 THEN 100 * m.atr / m.entry ELSE 0.0 END AS atr_pct FROM m JOIN q ON q.symbol = m.symbol AND q.entry_date = m.entry_date GROUP BY m.symbol, m.entry_date, mfe, mae, hc, m.atr, m.entry
+   UNION ALL SELECT symbol, entry_date, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN atr > 0 THEN 100 * atr / entry ELSE 0.0 END """ + NO_BARS + ")"
 
 
 @query("L16_excursions", uses="bars_m sessions_m", doubles="mfe_pct mae_pct horizon_close_pct trail_exit_pct atr_pct", sql=EXC + """
@@ -132,7 +139,7 @@ def _(t):
 @query("L17_triple_barrier", uses="bars_m sessions_m", sql=EXC + """
 , v AS (SELECT *, CASE WHEN horizon_close_pct > 0 THEN 0.25 ELSE 0.75 END AS t, days_to_mfe > 0 AND (days_to_mae = 0 OR days_to_mfe <= days_to_mae) AS first FROM exc),
 w AS (SELECT *, atr_pct > 0 AND mfe_pct >= (1.0 + t) * atr_pct AS hu, atr_pct > 0 AND mae_pct <= -(0.5 + 0.5 * t) * atr_pct AS hd, CASE WHEN atr_pct > 0 THEN (0.1 + 0.1 * t) * atr_pct ELSE 0.4 END AS cost FROM v)
-SELECT symbol, entry_date, CASE WHEN hu AND hd THEN CASE WHEN first THEN 1 ELSE 0 END WHEN hu THEN 1 WHEN hd THEN 0 WHEN abs(horizon_close_pct) < cost THEN NULL WHEN horizon_close_pct > cost THEN 1 ELSE 0 END AS tb_label FROM w""")
+SELECT symbol, entry_date, CASE WHEN horizon_close_pct IS NULL THEN NULL WHEN hu AND hd THEN CASE WHEN first THEN 1 ELSE 0 END WHEN hu THEN 1 WHEN hd THEN 0 WHEN abs(horizon_close_pct) < cost THEN NULL WHEN horizon_close_pct > cost THEN 1 ELSE 0 END AS tb_label FROM w""")
 def _(t):
     exc = labels.excursions(trades(t)).withColumn("vol_rank", F.when(F.col("horizon_close_pct") > 0, 0.25).otherwise(0.75))
     return labels.triple_barrier(exc).select("symbol", "entry_date", "tb_label")

@@ -117,10 +117,12 @@ def _(t):
     return t.spark.read.parquet(folder)
 
 
-@query("A10_snapshot_with_manifest")
+@query("A10_snapshot_with_manifest", sql="""
+SELECT 'supplier' AS "table", '2001-12-31' AS as_of, count(*) AS rows, count(*) > 100 AS over_budget FROM supplier UNION ALL SELECT 'part', '2001-12-31', count(*), count(*) > 100 FROM part""")
 def _(t):
     from bourse.streaming.sinks import work_folder
-    return ld.snapshot_with_manifest({"supplier": t.supplier, "part": t.part}, "2001-12-31", work_folder(t.spark, "snapshot"), 10_000_000)
+    manifest = ld.snapshot_with_manifest(t.spark, {"supplier": t.supplier, "part": t.part}, "2001-12-31", work_folder(t.spark, "snapshot"), 100)
+    return manifest.drop("hash")
 
 
 @query("A10_content_hash")
@@ -164,12 +166,12 @@ def _(t):
 
 
 @query("A15_profile_json_fields", uses="ticks", doubles="coverage numeric_share min max mean", sql="""
-, p AS (SELECT symbol, 'k' AS path, CAST(k AS DOUBLE) AS x FROM ticks UNION ALL SELECT symbol, 'user', CAST(user_id AS DOUBLE) FROM ticks WHERE user_id % 2 = 0 UNION ALL SELECT symbol, 'name', NULL FROM ticks), n AS (SELECT symbol, count(*) AS n FROM ticks GROUP BY 1)
-SELECT p.symbol, path, count(*) / any_value(n) AS coverage, count(x) / count(*) AS numeric_share, min(x) AS min, max(x) AS max, avg(x) AS mean, path = 'user' AS is_new FROM p JOIN n ON n.symbol = p.symbol GROUP BY 1, 2""")
+, p AS (SELECT symbol, 'k' AS path, CAST(k AS DOUBLE) AS x, CAST(k AS VARCHAR) AS v FROM ticks UNION ALL SELECT symbol, 'user', CAST(user_id AS DOUBLE), CAST(user_id AS VARCHAR) FROM ticks WHERE user_id % 2 = 0 UNION ALL SELECT symbol, 'name', NULL, symbol FROM ticks), n AS (SELECT symbol, count(*) AS n FROM ticks GROUP BY 1)
+SELECT p.symbol, path, count(*) / any_value(n) AS coverage, count(x) / count(*) AS numeric_share, count(DISTINCT v) AS distinct_values, min(x) AS min, max(x) AS max, avg(x) AS mean, path = 'user' AS is_new FROM p JOIN n ON n.symbol = p.symbol GROUP BY 1, 2""")
 def _(t):
     text = F.concat(F.lit('{"k":'), F.col("k").cast("string"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(',"user":'), F.col("user_id").cast("string"))).otherwise(""), F.lit(',"name":"'), "symbol", F.lit('"}'))
     old = t.ticks.select("symbol", F.explode(F.array(F.lit("k"), F.lit("name"))).alias("path")).distinct()
-    return ld.profile_json_fields(t.ticks.select("symbol", text.alias("payload")), "payload", "symbol", old).drop("approx_distinct")
+    return ld.profile_json_fields(t.ticks.select("symbol", text.alias("payload")), "payload", "symbol", old)
 
 
 @query("A16_payload_features", doubles="balance score", sql="SELECT c_custkey AS symbol, c_acctbal AS balance, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey * 1.5 END AS score FROM customer")

@@ -81,7 +81,7 @@ def _(t):
 
 @query("ML10_train_excursion_regressors")
 def _(t):
-    rows = labels.excursions(trades(t)).withColumn("atr0", F.coalesce("atr_pct", F.lit(0.0)))
+    rows = labels.excursions(trades(t)).where("mfe_pct IS NOT NULL").withColumn("atr0", F.coalesce("atr_pct", F.lit(0.0)))
     return ml.train_excursion_regressors(rows, ["entry", "atr0"], F.col("entry_date") < "2000-01-01").select("symbol", "entry_date", "pred_mfe_pct", "pred_mae_pct", "target", "stop")
 
 

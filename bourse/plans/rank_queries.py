@@ -333,8 +333,6 @@ e AS (SELECT x.symbol AS a, y.symbol AS b FROM rt x JOIN rt y ON x.date = y.date
 c AS (WITH RECURSIVE q AS (SELECT a AS symbol, a AS root FROM e UNION SELECT e.b, q.root FROM q JOIN e ON e.a = q.symbol) SELECT symbol, min(root) AS cluster FROM q GROUP BY 1)
 SELECT * FROM c""")
 def _(t):
-    from bourse.session import checkpoint_folder
-    checkpoint_folder(t.spark, "/tmp/bourse-checkpoints")
     returns = t.bars_m.select("symbol", "date", ind.change().alias("ret"))
     return rank.correlation_clusters(returns, t.sectors, 0.2, 20)
 

@@ -22,7 +22,7 @@ def aliases(t):
 , d AS (SELECT doc_id, ' ' || {NORM.format(x='text')} || ' ' AS t FROM documents), h AS (SELECT doc_id, symbol, max(length(alias)) AS len FROM d JOIN al ON contains(t, ' ' || alias || ' ') GROUP BY 1, 2)
 SELECT doc_id, symbol, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len DESC, symbol) AS rank FROM h) WHERE rank <= 5""")
 def _(t):
-    return tx.tag_entities(t.documents.select("doc_id", "text"), aliases(t), words=2)
+    return tx.tag_entities(t.documents.select("doc_id", "text"), aliases(t))
 
 
 @query("T2_build_alias_index", sql="""
@@ -229,8 +229,6 @@ def _(t):
 , r AS (SELECT 'C' || c_custkey AS old, 'C' || (c_custkey + 7) AS new FROM customer WHERE c_custkey % 50 < 40 AND c_nationkey <> 3),
 c AS (WITH RECURSIVE w AS (SELECT old, new AS current, 1 AS hops FROM r UNION ALL SELECT w.old, r.new, hops + 1 FROM w JOIN r ON r.old = w.current) SELECT old, arg_max(current, hops) AS current, max(hops) AS hops FROM w GROUP BY 1) SELECT * FROM c""")
 def _(t):
-    from bourse.session import checkpoint_folder
-    checkpoint_folder(t.spark, "/tmp/bourse-checkpoints")
     k = F.col("c_custkey")
     return idn.symbol_chain(t.customer.where((k % 50 < 40) & (F.col("c_nationkey") != 3)).select(F.concat(F.lit("C"), k).alias("old"), F.concat(F.lit("C"), k + 7).alias("new")))
 

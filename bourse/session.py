@@ -1,6 +1,8 @@
 """Session settings the library relies on."""
 
 import os
+import tempfile
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -23,10 +25,22 @@ def local_session(cores: str = "8", app: str = "bourse") -> SparkSession:
     return spark
 
 
-def checkpoint_folder(spark: SparkSession, fallback: str) -> str:
-    """The shared checkpoint folder of the cluster; `fallback` is used only where none is set."""
+@cache
+def _own_folder(app: str) -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix=f"bourse-{app}-", ignore_cleanup_errors=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, else the context's own.
+
+    Where neither is set a local session gets a folder that goes with its process; a cluster has to name one.
+    """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _own_folder(context.applicationId).name
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or fallback)
-    return folder or fallback
+        context.setCheckpointDir(folder)
+    return folder

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,9 @@ def land_exchange_csv(spark: SparkSession, path: str, columns: dict, series=("EQ
     readers = {"string": lambda c: F.nullif(F.trim(c), F.lit("-")), "date": lambda c: parse_date(F.trim(c)), "double": parse_number, "long": lambda c: parse_number(c).cast("bigint")}
     rows = raw.select(*[(readers[kind](F.col(f"`{h}`")) if h in raw.columns else F.lit(None).cast("string" if kind == "string" else kind)).alias(name) for h, (name, kind) in columns.items()])
     rows = rows.where(F.col("symbol").isNotNull() & F.col("date").isNotNull() & (F.col("close") > 0))
-    return (rows.where(F.col("series").isin(*series)) if series else rows).dropDuplicates(list(keys))
+    rows = rows.where(F.col("series").isin(*series)) if series else rows
+    # Of a key's rows the largest one stays, compared by its columns in the order of `columns`.
+    return rows.groupBy(*keys).agg(F.max(F.struct(*[n for n, _ in columns.values()])).alias("_r")).select("_r.*")
 
 
 def land_two_layouts(old: DataFrame, new: DataFrame, old_map: dict, new_map: dict) -> DataFrame:
@@ -105,15 +107,15 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("hash"))
 
 
-def snapshot_with_manifest(tables: dict, as_of: str, folder: str, max_rows: int) -> DataFrame:
-    """Freeze a run's inputs as files and return the manifest; a table over the size cap is listed, not written."""
-    parts = []
+def snapshot_with_manifest(spark: SparkSession, tables: dict, as_of: str, folder: str, budget_rows: int) -> DataFrame:
+    """Freeze a run's inputs as files and return the manifest. Every table is written; count and order-free hash
+    are observed by that same write, and `over_budget` only reports a table that is larger than planned."""
+    facts = []
     for name, df in tables.items():
-        facts = content_hash(df).select(F.lit(name).alias("table"), F.lit(as_of).alias("as_of"), "rows", "hash", (F.col("rows") <= max_rows).alias("stored"))
-        if df.limit(max_rows + 1).count() <= max_rows:
-            df.write.mode("overwrite").parquet(f"{folder}/{as_of}/{name}")
-        parts.append(facts)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        seen = Observation(f"snapshot_{name}")
+        df.observe(seen, F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("hash")).write.mode("overwrite").parquet(f"{folder}/{as_of}/{name}")
+        facts.append((name, as_of, seen.get["rows"], seen.get["hash"], seen.get["rows"] > budget_rows))
+    return spark.createDataFrame(facts, "`table` string, as_of string, rows bigint, hash string, over_budget boolean")
 
 
 def completeness_watermark(dataset: str, df: DataFrame, partition: str, event_time: str, valid: Column, expected: DataFrame) -> DataFrame:
@@ -171,9 +173,11 @@ def profile_json_fields(df: DataFrame, payload: str, group: str, previous: DataF
     fields = df.select(group, F.explode(F.from_json(payload, "map<string,string>")).alias("path", "value"))
     number = finite(F.col("value").try_cast("double"))
     folded = fields.withColumn("_x", number).groupBy(group, "path").agg(
-        F.count("*").alias("_present"), F.count("value").alias("_values"), F.count("_x").alias("_numbers"), F.approx_count_distinct("value").alias("approx_distinct"),
-        F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"))
-    out = folded.join(sizes, group).select(group, "path", ratio("_present", "_responses").alias("coverage"), ratio("_numbers", "_values").alias("numeric_share"), "approx_distinct", "min", "max", "mean")
+        F.count("*").alias("_present"), F.count("value").alias("_values"), F.count("_x").alias("_numbers"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"))
+    # Exact in two steps: equal values of a field fold before they are counted.
+    values = fields.where("value IS NOT NULL").select(group, "path", "value").distinct().groupBy(group, "path").agg(F.count("*").alias("distinct_values"))
+    folded = folded.join(values, [group, "path"], "left")
+    out = folded.join(sizes, group).select(group, "path", ratio("_present", "_responses").alias("coverage"), ratio("_numbers", "_values").alias("numeric_share"), F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"), "min", "max", "mean")
     if previous is None:
         return out
     return out.join(previous.select(group, "path").distinct().withColumn("_old", F.lit(True)), [group, "path"], "left").withColumn("is_new", F.col("_old").isNull()).drop("_old")

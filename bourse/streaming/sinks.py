@@ -12,7 +12,7 @@ from bourse.session import checkpoint_folder
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark, '/tmp/bourse-checkpoints')}/streams/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append", each=None) -> None:

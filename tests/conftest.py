@@ -5,11 +5,11 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from bourse.session import checkpoint_folder, local_session  # noqa: E402
+from bourse.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session("4", "tests")
-    checkpoint_folder(session, str(tmp_path_factory.mktemp("checkpoints")))
+    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     return session
