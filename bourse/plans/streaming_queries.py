@@ -52,7 +52,7 @@ def _(t):
     return run(t, "dedupe", live.dedupe_stream(tick_stream(t), ["user_id", "symbol"], "60 days").select("user_id", "symbol"))
 
 
-@query("S5_late_data_policy")
+@query("S5_late_data_policy", sql="SELECT 'main' AS side, count(*) AS rows FROM events")
 def _(t):
     stream = tick_stream(t)
     folder = sinks.work_folder(t.spark, "late")
@@ -67,19 +67,30 @@ def _(t):
     return run(t, "enrich", live.stream_enrich(tick_stream(t).select("event_id", "symbol", "price"), dims, "symbol"))
 
 
-@query("S7_price_move_alert")
+@query("S7_price_move_alert", doubles="price move", sql="""
+, q AS (SELECT event_type AS symbol, event_id, value AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+w AS (WITH RECURSIVE r AS (SELECT symbol, n, event_id, price, price AS last, CAST(NULL AS DOUBLE) AS move FROM q WHERE n = 1 UNION ALL
+  SELECT q.symbol, q.n, q.event_id, q.price, CASE WHEN r.last <> 0 AND abs(q.price / r.last - 1) >= 0.5 THEN q.price ELSE r.last END, CASE WHEN r.last <> 0 AND abs(q.price / r.last - 1) >= 0.5 THEN q.price / r.last - 1 END FROM r JOIN q ON q.symbol = r.symbol AND q.n = r.n + 1) SELECT * FROM r)
+SELECT symbol, event_id, price, move FROM w WHERE move IS NOT NULL""")
 def _(t):
     return run(t, "moves", state.price_move_alerts(tick_stream(t), 0.5))
 
 
-@query("S8_plan_guard")
+@query("S8_plan_guard", sql="""
+, p AS (SELECT event_type, avg(value) AS m FROM events GROUP BY 1),
+q AS (SELECT 'plan-' || e.event_type AS plan_id, CAST(ts AS DATE) AS day, ts, event_id, value AS price, m * 0.8 AS el, m * 1.2 AS eh, m * 0.1 AS st, m * 4 AS tg FROM events e JOIN p USING (event_type)),
+r AS (SELECT *, first(price) OVER w AS f, min(price) OVER w AS l, max(price) OVER w AS h FROM q WINDOW w AS (PARTITION BY plan_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, CASE WHEN f <= st THEN 'GAPPED_BELOW_STOP' WHEN l <= st AND h >= tg THEN 'STOP_AND_TARGET_TOUCHED' WHEN l <= st THEN 'STOP_HIT' WHEN h >= tg THEN 'TARGET_HIT' WHEN f > eh AND l > eh THEN 'GAPPED_ABOVE_ENTRY' WHEN price > eh THEN 'ABOVE_ENTRY' WHEN price < el THEN 'BELOW_ENTRY' ELSE 'IN_ENTRY_ZONE' END AS status FROM r)
+SELECT plan_id, day, event_id, status FROM s QUALIFY row_number() OVER (PARTITION BY plan_id, day, status ORDER BY ts, event_id) = 1""")
 def _(t):
     plans = t.events.groupBy(F.col("event_type").alias("symbol")).agg(F.avg("value").alias("m")).select("symbol", F.concat(F.lit("plan-"), "symbol").alias("plan_id"), (F.col("m") * 0.8).alias("entry_low"), (F.col("m") * 1.2).alias("entry_high"), (F.col("m") * 0.1).alias("stop"), (F.col("m") * 4).alias("target"))
     quotes = live.stream_enrich(tick_stream(t), plans, "symbol").withColumn("day", F.col("ts").cast("date"))
     return run(t, "plans", state.plan_guard(quotes))
 
 
-@query("S9_trailing_stop")
+@query("S9_trailing_stop", doubles="best stop", sql="""
+, q AS (SELECT event_type AS symbol, event_id, value AS price, max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events)
+SELECT symbol, event_id, price AS best, price * (1 - 0.1) AS stop FROM q WHERE before IS NULL OR price > before""")
 def _(t):
     return run(t, "stops", state.trailing_stops(tick_stream(t), 0.1))
 
@@ -106,14 +117,19 @@ def _(t):
     return live.regime_nowcast(readings, ["day"], {"click": 0.5, "view": 0.3, "error": 0.2}, 3600)
 
 
-@query("S13_live_rank")
-def _(t):
-    """A micro-batch ranking: bars of the batch by cycle, gated by the edge of the cycle before."""
+def rank_closed(stream, folder):
+    """Rank the hours that have closed; all rows of an hour come out of the aggregation in the same batch."""
     def each(batch, folder, batch_id):
-        bars = batch.groupBy(F.date_trunc("hour", "ts").alias("cycle"), "symbol").agg(F.avg("price").alias("score"), F.count("*").alias("n"))
-        sinks.idempotent(live.live_rank(bars, F.col("score"), F.col("n") >= 2, 2), folder, batch_id)
+        sinks.idempotent(live.live_rank(batch, F.col("score"), F.col("n") >= 2, 2), folder, batch_id)
+    sinks.run_available(live.closed_cycles(stream, "1 hour", "10 minutes"), folder, each=each)
+
+
+@query("S13_live_rank", doubles="score", sql=f"""
+, b AS (SELECT date_trunc('hour', ts) AS cycle, event_type AS symbol, avg(value) AS score, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, symbol) AS rank FROM b WHERE n >= 2 AND cycle + INTERVAL 1 HOUR <= {CLOSED}) WHERE rank <= 2""")
+def _(t):
     folder = sinks.work_folder(t.spark, "rank")
-    sinks.run_available(tick_stream(t), folder, each=each)
+    rank_closed(tick_stream(t), folder)
     return t.spark.read.parquet(f"{folder}/rows").select(F.col("cycle").cast("timestamp_ntz").alias("cycle"), "symbol", "score", "n", "rank")
 
 
@@ -127,7 +143,9 @@ def _(t):
 @query("S15_idempotent_sink", doubles="price", sql="SELECT event_type AS symbol, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS price FROM events GROUP BY 1")
 def _(t):
     stream = tick_stream(t).select("symbol", "event_id", "price")
-    return run(t, "upsert", stream, sinks.upsert_latest(["symbol"], "event_id"))
+    folder = sinks.work_folder(t.spark, "upsert")
+    sinks.run_available(stream, folder, each=sinks.upsert_latest(["symbol"], "event_id"))
+    return sinks.read_latest(t.spark, folder, stream.schema, ["symbol"], "event_id")
 
 
 @query("S16_publish_new_picks", sql="SELECT DISTINCT event_type AS symbol, CAST(ts AS DATE) AS day, CASE WHEN value > 20 THEN 'BUY' ELSE 'HOLD' END AS call FROM events")

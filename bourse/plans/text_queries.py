@@ -233,6 +233,22 @@ def _(t):
     return idn.symbol_chain(t.customer.where((k % 50 < 40) & (F.col("c_nationkey") != 3)).select(F.concat(F.lit("C"), k).alias("old"), F.concat(F.lit("C"), k + 7).alias("new")))
 
 
+@query("I6_chain_faults", sql="""
+, r AS (SELECT DISTINCT 'C' || c_custkey AS old, CASE WHEN c_custkey % 30 = 0 THEN 'C' || (c_custkey - 29) ELSE 'C' || (c_custkey + 1) END AS new FROM customer WHERE c_custkey % 60 > 30 OR c_custkey % 30 <> 0
+  UNION SELECT 'C' || c_custkey, 'D' || c_custkey FROM customer WHERE c_custkey % 60 = 35),
+c AS (SELECT old, count(*) AS n, min(new) AS new FROM r GROUP BY 1),
+w AS (WITH RECURSIVE q AS (SELECT old, new AS current, 1 AS hops FROM c WHERE n = 1 UNION ALL SELECT q.old, c.new, hops + 1 FROM q JOIN c ON c.old = q.current AND c.n = 1 WHERE hops < 100) SELECT * FROM q),
+e AS (SELECT old, arg_max(current, hops) AS current, max(hops) AS hops FROM w GROUP BY 1)
+SELECT e.old, CASE WHEN hops < 100 THEN current END AS current, CASE WHEN hops < 100 THEN hops END AS hops, CASE WHEN hops >= 100 THEN 'cycle' WHEN c.n > 1 THEN 'fork' ELSE 'settled' END AS status FROM e LEFT JOIN c ON c.old = e.current
+UNION ALL SELECT old, old, 0, 'fork' FROM c WHERE n > 1""")
+def _(t):
+    """Chains of up to thirty names, every second one closed to a cycle, some forked."""
+    k = F.col("c_custkey")
+    name = lambda letter, x: F.concat(F.lit(letter), x.cast("string"))
+    one = t.customer.where((k % 60 > 30) | (k % 30 != 0)).select(name("C", k).alias("old"), F.when(k % 30 == 0, name("C", k - 29)).otherwise(name("C", k + 1)).alias("new"))
+    return idn.renames_by_end(one.union(t.customer.where(k % 60 == 35).select(name("C", k), name("D", k))))
+
+
 @query("GR1_neighbourhood", uses="nodes edges", sql="""
 , l AS (SELECT * FROM edges WHERE available_at <= DATE '1997-06-30'), k AS (SELECT 'N' || n_nationkey AS key FROM nation),
 b AS (SELECT key, 'out' AS direction, predicate, dst AS other FROM l JOIN k ON src = key UNION ALL SELECT key, 'in', predicate, src FROM l JOIN k ON dst = key), j AS (SELECT b.*, n.kind FROM b JOIN nodes n ON n.key = b.other AND n.available_at <= DATE '1997-06-30')

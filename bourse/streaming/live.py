@@ -57,6 +57,12 @@ def regime_nowcast(readings: DataFrame, by, weights: dict, max_age_seconds: int)
     return out.withColumn("regime", F.when(F.col("score") >= 0.6, "RISK_ON").when(F.col("score") <= 0.4, "RISK_OFF").otherwise("NEUTRAL"))
 
 
+def closed_cycles(quotes: DataFrame, width: str, delay: str) -> DataFrame:
+    """Mean price and count per cycle and symbol, each once, when the watermark has passed the cycle's end."""
+    out = quotes.withWatermark("ts", delay).groupBy(F.window("ts", width), "symbol").agg(F.avg("price").alias("score"), F.count("*").alias("n"))
+    return out.select(F.col("window.start").alias("cycle"), "symbol", "score", "n")
+
+
 def live_rank(batch: DataFrame, score: Column, gate: Column, k: int) -> DataFrame:
     """Top k of each cycle by score, only while the gate on recent realised edge holds."""
     rows = batch.withColumn("score", score).where(gate)

@@ -7,6 +7,7 @@ replayed batch leaves one copy of its rows.
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bourse.session import checkpoint_folder
 
@@ -36,17 +37,29 @@ def idempotent(batch: DataFrame, folder: str, batch_id: int, part: str = "rows")
 
 
 def upsert_latest(keys, order: str):
-    """A batch handler that keeps the newest row per key within the batch; readers take the newest batch."""
+    """A batch handler that stores the newest row per key of its batch; `read_latest` merges the batches."""
     def each(batch: DataFrame, folder: str, batch_id: int) -> None:
         from bourse.operators.outcomes import latest_per_key
         idempotent(latest_per_key(batch, list(keys), [order]), folder, batch_id)
     return each
 
 
+def read_latest(spark: SparkSession, folder: str, schema, keys, order: str) -> DataFrame:
+    """The newest row per key over all batches; of equal `order` that of the later batch."""
+    rows = spark.read.schema(f"{schema.simpleString()[7:-1].replace(':', ' ')}, batch_id bigint").parquet(f"{folder}/rows")
+    best = F.max_by(F.struct(*schema.names), F.struct(order, "batch_id")).alias("_r")
+    return rows.groupBy(*keys).agg(best).select("_r.*")
+
+
+def compact_latest(spark: SparkSession, folder: str, schema, keys, order: str, version: int) -> str:
+    """The merged rows written to a folder of their own version; readers of older versions are not disturbed."""
+    path = f"{folder}/version={version}"
+    read_latest(spark, folder, schema, keys, order).write.mode("overwrite").parquet(path)
+    return path
+
+
 def split_late(event_time: str, delay_seconds: int):
     """Rows older than the newest event of earlier batches minus the delay go to a side table, none are lost."""
-    from pyspark.sql import functions as F
-
     def each(batch: DataFrame, folder: str, batch_id: int) -> None:
         spark = batch.sparkSession
         marks = spark.read.schema("newest timestamp, batch_id long").parquet(f"{folder}/marks") if batch_id else None
