@@ -66,14 +66,14 @@ def factor_backtest(scores: DataFrame, panel: DataFrame, sessions: DataFrame, ev
                     long_short: bool = False, missing_exit_pct: float = -100.0, cap: float = 50.0, veto: DataFrame | None = None) -> DataFrame:
     """Equal-weight top-k books rebalanced every `every` sessions, one row per factor and holding period.
 
-    Weights of consecutive periods meet in one full outer join for turnover. A name without an exit
+    Turnover follows from each name's weights in the order of the formed books. A name without an exit
     price is written off if it never trades again, else left out of the period and the rest scaled up.
     The universe takes the same rule.
     """
     eligible = sessions.join(panel.where("eligible").select("date").distinct(), "date", "left_semi")
     no = F.row_number().over(Window.orderBy("date")) - 1
     grid = eligible.withColumn("_no", no).where(F.col("_no") % every == 0).select("date", (F.col("_no") / every).cast("bigint").alias("period"))
-    grid = grid.withColumn("exit_date", F.lead("date").over(Window.orderBy("period"))).where("exit_date IS NOT NULL").persist()
+    grid = grid.withColumn("exit_date", F.lead("date").over(Window.orderBy("period"))).where("exit_date IS NOT NULL")
 
     priced = panel.where(F.col("next_open") > 0)
     alive = priced.groupBy("symbol").agg(F.max("date").alias("_alive"))
@@ -97,9 +97,13 @@ def factor_backtest(scores: DataFrame, panel: DataFrame, sessions: DataFrame, ev
     # Skipped periods do not reset the book: number the ones that were formed.
     formed = book.select("factor", "period").distinct().withColumn("_seq", F.row_number().over(Window.partitionBy("factor").orderBy("period")))
     book = book.join(formed, ["factor", "period"])
-    before = book.select("factor", (F.col("_seq") + 1).alias("_seq"), "symbol", F.col("weight").alias("_was"))
-    moved = book.select("factor", "_seq", "symbol", "weight").join(before, ["factor", "_seq", "symbol"], "full")
-    traded = moved.groupBy("factor", "_seq").agg(F.sum(F.abs(F.coalesce("weight", F.lit(0.0)) - F.coalesce("_was", F.lit(0.0)))).alias("_traded"))
+    # A name trades what its weight moves by since the formed book before, and leaves in the next one that lacks it.
+    own = Window.partitionBy("factor", "symbol").orderBy("_seq")
+    was = F.when(F.lag("_seq").over(own) == F.col("_seq") - 1, F.lag("weight").over(own))
+    left = F.coalesce(F.lead("_seq").over(own) != F.col("_seq") + 1, F.lit(True))
+    steps = book.select("factor", "_seq", F.abs(F.col("weight") - F.coalesce(was, F.lit(0.0))).alias("_in"), F.when(left, F.abs("weight")).alias("_out"))
+    moved = steps.select("factor", F.explode(F.array(F.struct("_seq", F.col("_in").alias("x")), F.struct((F.col("_seq") + 1).alias("_seq"), F.col("_out").alias("x")))).alias("_m"))
+    traded = moved.groupBy("factor", "_m._seq").agg(F.coalesce(F.sum("_m.x"), F.lit(0.0)).alias("_traded"))
 
     result = book.join(held.select("period", "symbol", "ret", "_gone"), ["period", "symbol"], "left").groupBy("factor", "period", "_seq").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("_gross"), F.sum(F.abs("weight")).alias("_all"),

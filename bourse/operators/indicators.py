@@ -293,12 +293,12 @@ def ffill_with_age(df: DataFrame, cols, limit: int, keys=("symbol",), order: str
     """Forward-fill each column over at most `limit` rows, with the age in rows of the last value."""
     w = series(*keys, order=order)
     out = df.withColumn("_no", F.row_number().over(w))
-    fill = {f"{c}_ffill": F.last(c, ignorenulls=True).over(w.rowsBetween(-limit, 0)) for c in cols}
-    seen = {
-        f"{c}_age": F.col("_no") - F.max(F.when(F.col(c).isNotNull(), F.col("_no"))).over(w.rowsBetween(W_START, 0))
-        for c in cols
-    }
-    return out.withColumns(fill | seen).drop("_no")
+    # One running last value per column tells both: what it was and when.
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("_no").alias("no"), F.col(c).alias("value")))
+    out = out.withColumns({f"_last_{c}": F.last(known(c), ignorenulls=True).over(w.rowsBetween(W_START, 0)) for c in cols})
+    age = {f"{c}_age": F.col("_no") - F.col(f"_last_{c}.no") for c in cols}
+    fill = {f"{c}_ffill": F.when(age[f"{c}_age"] <= limit, F.col(f"_last_{c}.value")) for c in cols}
+    return out.withColumns(fill | age).drop("_no", *[f"_last_{c}" for c in cols])
 
 
 def run_length(df: DataFrame, flag: str) -> DataFrame:

@@ -14,6 +14,7 @@ from bourse.functions.frames import ratio
 from bourse.operators.labels import fold_rows, walk_forward_folds
 from bourse.operators.measure import auc, per_date_ic
 from bourse.operators.xsection import average_rank, peers, rank_gauss
+from bourse.session import written
 
 
 def vectors(df: DataFrame, features) -> DataFrame:
@@ -24,7 +25,7 @@ def vectors(df: DataFrame, features) -> DataFrame:
 def out_of_fold(df: DataFrame, folds: DataFrame, fit, out: str = "score") -> DataFrame:
     """Scores of each test block from a model fitted on the rows before it; the folds are a handful."""
     numbers = [r.fold for r in folds.select("fold").orderBy("fold").collect()]
-    rows = fold_rows(df, folds).persist()
+    rows = written(fold_rows(df, folds), "folds")
     scored = None
     for n in numbers:
         train, test = (rows.where((F.col("fold") == n) & (F.col("part") == p)) for p in ("TRAIN", "TEST"))

@@ -11,14 +11,14 @@ from bourse.operators.xsection import percentile_rank, peers
 from bourse.plans.measure_queries import fwd_sql, nw_sql
 from bourse.plans.registry import query
 from bourse.plans.sqltext import P, frame, over, prev, rolled
+from bourse.session import written
 
 
 def panel(t):
     """Monthly supplier bars with the factor columns, sectors by nation, and eligibility."""
     sectors = t.supplier.select(F.concat(F.lit("S"), "s_suppkey").alias("symbol"), (F.col("s_nationkey") % 5).cast("string").alias("sector"))
     rows = bt.factor_panel(t.bars_s, sectors).withColumn("eligible", F.col("close") * F.col("volume") >= 60000)
-    # Read many times below; on a cluster this would be the stored feature table.
-    return rows.persist()
+    return written(rows, "factor-panel")  # read many times below, as the stored feature table would be
 
 
 PANEL = f"""
@@ -60,7 +60,7 @@ LONG = PERIODS.replace("{short}", "")
 
 def periods(t, long_short=False):
     p = panel(t)
-    return bt.factor_backtest(bt.factor_scores(p), p, t.sessions_m, 3, 10, long_short=long_short).persist()
+    return written(bt.factor_backtest(bt.factor_scores(p), p, t.sessions_m, 3, 10, long_short=long_short), "factor-periods")
 
 
 @query("K8_factor_backtest", uses="bars_s", doubles="gross_pct cost_pct net_pct universe_pct turnover", sql=PANEL + SCORES + LONG + "SELECT * FROM pd")
@@ -128,7 +128,8 @@ EV = PANEL + fwd_sql(1, "bars_s").replace("g AS", "g1 AS").replace(" g ", " g1 "
 def eval_panel(t):
     one = labels.forward_return(t.bars_s, t.sessions_m, 1).select("symbol", "date", "idx", F.col("fwd").alias("fwd_1"))
     three = labels.forward_return(t.bars_s, t.sessions_m, 3).select("symbol", "date", F.col("fwd").alias("fwd_3"))
-    return panel(t).join(one, ["symbol", "date"]).join(three, ["symbol", "date"]).withColumn("regime", F.when(F.month("date") <= 6, "H1").otherwise("H2")).persist()
+    rows = panel(t).join(one, ["symbol", "date"]).join(three, ["symbol", "date"])
+    return written(rows.withColumn("regime", F.when(F.month("date") <= 6, "H1").otherwise("H2")), "evaluation-panel")
 
 
 @query("K7_edge_verdict", uses="bars_s sessions_m", doubles="rank_ic hit_auc eff_dates", sql=EV + """

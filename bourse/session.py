@@ -2,9 +2,10 @@
 
 import os
 import tempfile
+import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "bourse") -> SparkSession:
@@ -25,6 +26,13 @@ def local_session(cores: str = "8", app: str = "bourse") -> SparkSession:
     return spark
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read more than once: written to the shared folder and read back, so nothing has to be released."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @cache
 def _own_folder(app: str) -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix=f"bourse-{app}-", ignore_cleanup_errors=True)
