@@ -44,6 +44,12 @@ def unambiguous_map(rows: DataFrame, code: str, symbol: str) -> DataFrame:
     return owners.select(code, "owners", F.when(F.col("owners") == 1, F.col("candidates")[0]).alias("symbol"), F.array_join("candidates", ",").alias("candidates"))
 
 
+def top_by_turnover(bars: DataFrame, k: int) -> DataFrame:
+    """The k symbols of the largest total turnover, ties by symbol: the book that pairs are made of."""
+    traded = bars.groupBy("symbol").agg(F.sum((F.col("close") * F.col("volume")).cast("decimal(38,4)")).alias("_turnover"))
+    return traded.orderBy(F.desc("_turnover"), F.asc("symbol")).limit(k).select("symbol")
+
+
 def pair_correlation(returns: DataFrame, book: DataFrame, min_overlap: int) -> DataFrame:
     """Pearson correlation of every pair of a book's names on common dates.
 

@@ -135,22 +135,48 @@ def _(t):
     return recurrences(t.bars_m).select("symbol", "date", "ema_8", "macd")
 
 
-@query("E5_rsi")
+# Bars numbered from 0 with their moves, ranges and directions.
+STEPS = """
+, k AS (SELECT symbol, date, high, low, close, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS size, lag(close) OVER w AS pc, lag(high) OVER w AS ph, lag(low) OVER w AS pl FROM bars_w WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+m AS (SELECT *, coalesce(greatest(close - pc, 0), 0) AS g, coalesce(greatest(pc - close, 0), 0) AS l, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
+  CASE WHEN high - ph > pl - low AND high > ph THEN high - ph ELSE 0 END AS dp, CASE WHEN pl - low > high - ph AND pl > low THEN pl - low ELSE 0 END AS dm FROM k)"""
+
+
+def smoothed(name: str, source: str, columns: str, n: int, first: int) -> str:
+    """A table of smoothed means: the plain mean of n values from `first`, then one n-th of each new value."""
+    cols = columns.split()
+    mean = ", ".join(f"avg({c}) AS {c}" for c in cols)
+    step = ", ".join(f"r.{c} + (s.{c} - r.{c}) / {n}.0" for c in cols)
+    return f"""
+, {name} AS (WITH RECURSIVE r AS (SELECT symbol, CAST({first + n - 1} AS BIGINT) AS i, {mean} FROM {source} WHERE i BETWEEN {first} AND {first + n - 1} GROUP BY symbol HAVING count(*) = {n}
+  UNION ALL SELECT r.symbol, r.i + 1, {step} FROM r JOIN {source} s ON s.symbol = r.symbol AND s.i = r.i + 1) SELECT * FROM r)"""
+
+
+@query("E5_rsi", uses="bars_w", doubles="rsi_wilder rsi_ewm", sql=STEPS + smoothed("wl", "m", "g l", 14, 1) + """
+, ew AS (WITH RECURSIVE r AS (SELECT symbol, i, CAST(g AS DOUBLE) AS g, CAST(l AS DOUBLE) AS l FROM m WHERE i = 1 UNION ALL SELECT r.symbol, m.i, m.g + r.g * 13 / 14.0, m.l + r.l * 13 / 14.0 FROM r JOIN m ON m.symbol = r.symbol AND m.i = r.i + 1) SELECT * FROM r)
+SELECT m.symbol, m.date, CASE WHEN wl.l = 0 THEN 100 ELSE 100 - 100 / (1 + wl.g / wl.l) END AS rsi_wilder, CASE WHEN m.i >= 14 THEN 100 - 100 / (1 + ew.g / nullif(ew.l, 0)) END AS rsi_ewm
+FROM m LEFT JOIN wl USING (symbol, i) LEFT JOIN ew USING (symbol, i)""")
 def _(t):
     return recurrences(t.bars_w).select("symbol", "date", "rsi_wilder", "rsi_ewm")
 
 
-@query("E6_atr_wilder")
+@query("E6_atr_wilder", uses="bars_w", doubles="atr_wilder", sql=STEPS + smoothed("wl", "m", "tr", 14, 1) + "SELECT m.symbol, m.date, wl.tr AS atr_wilder FROM m LEFT JOIN wl USING (symbol, i)")
 def _(t):
     return recurrences(t.bars_w).select("symbol", "date", "atr_wilder")
 
 
-@query("E7_adx")
+@query("E7_adx", uses="bars_w", doubles="adx di_plus di_minus", sql=STEPS + smoothed("wl", "m", "tr dp dm", 14, 1) + """
+, d AS (SELECT m.symbol, m.i, m.date, 100 * wl.dp / nullif(wl.tr, 0) AS p, 100 * wl.dm / nullif(wl.tr, 0) AS q FROM m LEFT JOIN wl USING (symbol, i)),
+x AS (SELECT *, CASE WHEN p + q > 0 THEN 100 * abs(p - q) / (p + q) ELSE 0.0 END AS dx FROM d)""" + smoothed("ax", "x", "dx", 14, 14) + "SELECT x.symbol, x.date, ax.dx AS adx, p AS di_plus, q AS di_minus FROM x LEFT JOIN ax USING (symbol, i)")
 def _(t):
     return recurrences(t.bars_w).select("symbol", "date", "adx", "di_plus", "di_minus")
 
 
-@query("E10_supertrend")
+@query("E10_supertrend", uses="bars_w", sql=STEPS + smoothed("wl", "m", "tr", 10, 1) + """
+, b AS (SELECT m.symbol, m.i, close, pc, (high + low) / 2 + 2.5 * wl.tr AS up, (high + low) / 2 - 2.5 * wl.tr AS dn FROM m JOIN wl USING (symbol, i) WHERE size >= 12),
+t AS (WITH RECURSIVE r AS (SELECT symbol, i, up, 0.0::DOUBLE AS dn, close > up AS side FROM b WHERE i = 10 UNION ALL
+  SELECT symbol, i, up, dn, CASE WHEN side THEN close >= dn ELSE close > up END FROM (SELECT b.symbol, b.i, b.close, r.side, CASE WHEN pc > r.up THEN b.up ELSE least(r.up, b.up) END AS up, CASE WHEN pc < r.dn THEN b.dn ELSE greatest(r.dn, b.dn) END AS dn FROM r JOIN b ON b.symbol = r.symbol AND b.i = r.i + 1)) SELECT * FROM r)
+SELECT m.symbol, m.date, coalesce(side, false) AS supertrend_up FROM m LEFT JOIN t USING (symbol, i)""")
 def _(t):
     return recurrences(t.bars_w).select("symbol", "date", "supertrend_up")
 

@@ -242,12 +242,13 @@ def _(t):
 
 
 @query("J22_pair_correlation", uses="bars_m", doubles="corr", sql=f"""
-, r AS (SELECT symbol, date, close / {prev('close')} - 1 AS ret FROM bars_m)
+, bk AS (SELECT symbol FROM bars_m GROUP BY 1 ORDER BY sum(CAST(close * volume AS DECIMAL(38,4))) DESC, symbol LIMIT 15),
+r AS (SELECT * FROM (SELECT symbol, date, close / {prev('close')} - 1 AS ret FROM bars_m) WHERE symbol IN (SELECT symbol FROM bk))
 SELECT x.symbol AS a, y.symbol AS b, corr(x.ret, y.ret) AS corr, count(*) AS n FROM r x JOIN r y ON x.date = y.date AND x.symbol < y.symbol
 WHERE x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20""")
 def _(t):
     returns = t.bars_m.select("symbol", "date", change().alias("ret"))
-    return spans.pair_correlation(returns, t.sectors, 20)
+    return spans.pair_correlation(returns, spans.top_by_turnover(t.bars_m, 15), 20)
 
 
 @query("J23_eligible_asof", uses="bars_s trades", sql="""

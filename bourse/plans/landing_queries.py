@@ -275,7 +275,7 @@ def _(t):
 SELECT 'b' AS "column", count(*) FILTER (WHERE date < DATE '2001-11-01') AS filled, 0 AS filled_latest, 'NEWLY_NULL' AS state FROM bars_s UNION ALL SELECT 'c', 0, 0, 'ENTIRELY_NULL'""")
 def _(t):
     rows = t.bars_s.select("date", F.col("close").alias("a"), F.when(F.col("date") < "2001-11-01", F.col("close")).alias("b"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("d"))
-    return q.null_sweep(rows, ["a", "b", "c", "d"], t.region.limit(1).select(F.lit("d").alias("column")))
+    return q.null_sweep(rows, ["a", "b", "c", "d"], t.spark.createDataFrame([("d",)], "column string"))
 
 
 @query("C12_repair_rules", uses="outcomes", doubles="return_pct copy_of_return", sql="""

@@ -7,6 +7,7 @@ from bourse.functions.frames import ratio, roll
 from bourse.operators import backtest as bt
 from bourse.operators import calendar, evaluation as ev, labels, rank
 from bourse.operators import indicators as ind
+from bourse.operators import spans
 from bourse.operators.xsection import percentile_rank, peers
 from bourse.plans.measure_queries import fwd_sql, nw_sql
 from bourse.plans.registry import query
@@ -329,13 +330,14 @@ def _(t):
 
 
 @query("K26_correlation_clusters", uses="bars_m", sql=f"""
-, rt AS (SELECT symbol, date, close / {prev('close')} - 1 AS r FROM bars_m),
+, bk AS (SELECT symbol FROM bars_m GROUP BY 1 ORDER BY sum(CAST(close * volume AS DECIMAL(38,4))) DESC, symbol LIMIT 15),
+rt AS (SELECT * FROM (SELECT symbol, date, close / {prev('close')} - 1 AS r FROM bars_m) WHERE symbol IN (SELECT symbol FROM bk)),
 e AS (SELECT x.symbol AS a, y.symbol AS b FROM rt x JOIN rt y ON x.date = y.date AND x.symbol <> y.symbol WHERE x.r IS NOT NULL AND y.r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20 AND corr(x.r, y.r) >= 0.2),
 c AS (WITH RECURSIVE q AS (SELECT a AS symbol, a AS root FROM e UNION SELECT e.b, q.root FROM q JOIN e ON e.a = q.symbol) SELECT symbol, min(root) AS cluster FROM q GROUP BY 1)
 SELECT * FROM c""")
 def _(t):
     returns = t.bars_m.select("symbol", "date", ind.change().alias("ret"))
-    return rank.correlation_clusters(returns, t.sectors, 0.2, 20)
+    return rank.correlation_clusters(returns, spans.top_by_turnover(t.bars_m, 15), 0.2, 20)
 
 
 FUND = EV + ", fi AS (SELECT date, symbol, n % 9 AS piotroski, CASE WHEN n % 4 <> 0 THEN gap END AS roe, vol_ratio AS debt, ret_5 AS ret_12m, ret_1 AS ret_1m, CASE WHEN n % 5 = 0 THEN -1.0 WHEN n % 6 = 0 THEN NULL ELSE volume / 10 END AS pe, close_loc * 3 AS pb, pct_of_high AS sharpe, vol AS beta FROM ep)"
