@@ -237,6 +237,21 @@ def test_token_counts(docs, none):
     assert token_counts.length_table(token_counts.encoded_lengths(none, ranks, pattern)).count() == 0
 
 
+def test_texts_of_a_million_characters():
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoding = token_counts.read_encoding(ranks, pattern)
+    run = " " * 1_000_000
+    whole = len(encoding._core_bpe.encode_single_piece(run[1:].encode()))
+    assert token_counts.count_tokens(encoding, run + "x") == whole + len(encoding.encode_ordinary(" x"))
+    assert token_counts.count_tokens(encoding, run[:5000] + "x y") == len(encoding.encode_ordinary(run[:5000] + "x y"))
+    store = token_store.WordEncoder(WORDS)
+    assert len(store.encode(["7" * 300_000])[0]) == 2 * 300_000
+    pieces = piece_bpe.Encoder(piece_bpe.read_model(PIECES))
+    assert len(next(pieces.encode(["ab" * 300_000]))) > 100_000
+    assert quality.measure("a " * 300_000)[4] == 300_000
+    assert simhash.fingerprint(simhash.shingle_hashes("a b " * 100_000, 3))[0] == simhash.fingerprint(simhash.shingle_hashes("a b a b", 3))[0]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = {r.doc_id: r for r in queries.language_mixtures(spark, FOLDER).collect()}
