@@ -34,34 +34,48 @@ def letters_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
 
 
-def trigrams(texts: list[str | None], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each letter of the texts: its trigram with its neighbours, lower-cased, others than letters being one sign."""
-    lowered = [(t or "").lower() for t in texts]
-    points = np.frombuffer(("\n" + "\n".join(lowered) + "\n").encode("utf-32-le"), np.uint32)
+def trigrams(text: str, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, bucket) of each letter but the first and last character: its trigram with its neighbours, others than letters being one sign."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     is_letter = np.zeros(len(points), bool)
     low = points < (1 << 16)
     is_letter[low] = letter[points[low]]
     for c in np.unique(points[~low]):
         is_letter[points == c] = chr(int(c)).isalpha()
     points = np.where(is_letter, points, np.uint32(32))
-    at = np.flatnonzero(is_letter)
+    at = np.flatnonzero(is_letter[1:-1]) + 1
     h = points[at - 1] * np.uint32(0x9E3779B1) + points[at] * np.uint32(0x85EBCA77) + points[at + 1] * np.uint32(0xC2B2AE3D)
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return at, (h >> np.uint32(16)).astype(np.int64)
+
+
+def trigram_counts(texts: list[str | None], letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, count) of the lower-cased texts, in order; a single long text is counted slice by slice."""
+    lowered = [(t or "").lower() for t in texts]
+    if len(texts) == 1:
+        whole, sums = f"\n{lowered[0]}\n", np.zeros(BUCKETS, np.int64)
+        for k in range(1, len(whole) - 1, GULP):
+            sums += np.bincount(trigrams(whole[k - 1 : k + GULP + 1], letter)[1], minlength=BUCKETS)
+        bucket = np.flatnonzero(sums)
+        return np.zeros(len(bucket), np.int64), bucket, sums[bucket]
+    at, bucket = trigrams("\n" + "\n".join(lowered) + "\n", letter)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered)))
-    return np.searchsorted(ends, at - 1, side="right"), (h >> np.uint32(16)).astype(np.int64)
+    keys, n = np.unique(np.searchsorted(ends, at - 1, side="right") * BUCKETS + bucket, return_counts=True)
+    return keys // BUCKETS, keys % BUCKETS, n
 
 
-def gulps(*columns: pa.Array) -> Iterator[list[tuple]]:
-    """Rows of a batch in lists of about GULP characters of the first column; a longer text stands alone."""
+def gulps(*columns: pa.Array, most: int = GULP) -> Iterator[list[tuple]]:
+    """Rows of a batch in lists of at most about `most` characters of the first column; a longer text stands alone."""
     rows: list[tuple] = []
     size = 0
     for values in zip(*columns, strict=True):
         row = tuple(v.as_py() for v in values)
-        rows.append(row)
-        size += len(row[0] or "")
-        if size >= GULP:
+        length = len(row[0] or "")
+        if rows and size + length > most:
             yield rows
             rows, size = [], 0
+        rows.append(row)
+        size += length
     if rows:
         yield rows
 
@@ -76,10 +90,10 @@ def train(docs: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndarray]
         letter, sums = letters_table(), {}
         for batch in batches:
             for rows in gulps(batch.column(0), batch.column(1)):
-                doc, bucket = trigrams([r[0] for r in rows], letter)
+                doc, bucket, n = trigram_counts([r[0] for r in rows], letter)
                 names = sorted({r[1] for r in rows})
                 code = np.array([names.index(r[1]) for r in rows])
-                counts = np.bincount(code[doc] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+                counts = np.bincount(code[doc] * BUCKETS + bucket, n, len(names) * BUCKETS).astype(np.int64).reshape(len(names), BUCKETS)
                 for k, name in enumerate(names):
                     sums[name] = sums[name] + counts[k] if name in sums else counts[k]
         for name, counts in sums.items():
@@ -122,15 +136,14 @@ def fit(p: np.ndarray, n: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -
     return share, fitted, more
 
 
-def proportions(doc: np.ndarray, bucket: np.ndarray, docs: int, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def proportions(owner: np.ndarray, bucket: np.ndarray, n: np.ndarray, docs: int, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(language of each document or -1, its proportion) by the penalised likelihood over sets of languages."""
     best, score = np.full(docs, -1), np.zeros(docs)
     langs = len(model)
-    if not len(doc) or not langs:
+    if not len(owner) or not langs:
         return best, score
-    keys, n = np.unique(doc * BUCKETS + bucket, return_counts=True)
-    owner, n = keys // BUCKETS, n.astype(np.float32)
-    p = np.ascontiguousarray(model[:, keys % BUCKETS].T)
+    n = n.astype(np.float32)
+    p = np.ascontiguousarray(model[:, bucket].T)
     here, starts = np.unique(owner, return_index=True)
     totals = _sums(n, starts)
     penalty = 0.5 * np.log(totals + 1)
@@ -179,9 +192,8 @@ def identify(docs: DataFrame, training: DataFrame, id: str = "doc_id", text: str
         names, model = held.value
         for batch in batches:
             said, scores = [], []
-            for rows in gulps(batch.column(1)):
-                doc, bucket = trigrams([r[0] for r in rows], letter)
-                best, score = proportions(doc, bucket, len(rows), model)
+            for rows in gulps(batch.column(1), most=GULP * 8 // max(8, len(names))):
+                best, score = proportions(*trigram_counts([r[0] for r in rows], letter), len(rows), model)
                 said += ["und" if b < 0 else names[b] for b in best]
                 scores += np.clip(score, 0, 1).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(scores, pa.float64())], names=["_id", "lang_pred", "score"])

@@ -252,6 +252,20 @@ def test_texts_of_a_million_characters():
     assert simhash.fingerprint(simhash.shingle_hashes("a b " * 100_000, 3))[0] == simhash.fingerprint(simhash.shingle_hashes("a b a b", 3))[0]
 
 
+def test_a_long_text_counts_as_its_slices():
+    import random
+
+    letter = language.letters_table()
+    text = plain.prose(random.Random(1), 900_000)
+    assert len(text) > 2 * language.GULP
+    whole = np.bincount(language.trigrams(f"\n{text.lower()}\n", letter)[1], minlength=language.BUCKETS)
+    _, bucket, n = language.trigram_counts([text], letter)
+    assert dict(zip(bucket.tolist(), n.tolist())) == {k: c for k, c in enumerate(whole.tolist()) if c}
+    some = ["Der Tag", None, "1 x", text[:5000], ""]
+    got = list(zip(*(x.tolist() for x in language.trigram_counts(some, letter))))
+    assert got == [(d, int(b), int(c)) for d, t in enumerate(some) for _, b, c in zip(*language.trigram_counts([t], letter))]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = {r.doc_id: r for r in queries.language_mixtures(spark, FOLDER).collect()}
