@@ -54,17 +54,17 @@ def crowding_multiplier(factors: dict, threshold: float = 0.70, discount: float
     return F.when((total > 0) & (F.greatest(*parts) / total > threshold), discount).otherwise(1.0)
 
 
-def vol_cutoff(vol: str, pctile: float = 0.80, least: int = 50) -> Column:
-    """Per-session order statistic of volatility; NULL in a thin session."""
-    w = peers("date")
-    clean = F.array_sort(F.collect_list(F.when(F.col(vol) > 0, F.col(vol))).over(w))
-    at = F.least(F.size(clean) - 1, F.floor(F.size(clean) * F.lit(pctile)).cast("int"))
-    return F.when(F.size(clean) >= least, F.get(clean, at))
+def vol_cutoff(df: DataFrame, vol: str, pctile: float = 0.80, least: int = 50) -> DataFrame:
+    """(date, _cut): each session's order statistic of volatility, sorted once per session; NULL in a thin one."""
+    clean = F.array_sort(F.collect_list(F.when(F.col(vol) > 0, F.col(vol))))
+    sessions = df.groupBy("date").agg(clean.alias("_all"))
+    at = F.least(F.size("_all") - 1, F.floor(F.size("_all") * F.lit(pctile)).cast("int"))
+    return sessions.select("date", F.when(F.size("_all") >= least, F.get("_all", at)).alias("_cut"))
 
 
 def classify_and_gate(df: DataFrame, factors: dict, least: int = 50, veto_mult: float = 0.7) -> DataFrame:
     """Multipliers, volatility and red-flag vetoes, five labels that need screener coverage, conviction tiers."""
-    rows = df.withColumn("_cut", vol_cutoff("vol", least=least))
+    rows = df.join(vol_cutoff(df, "vol", least=least), "date", "left")
     veto = F.coalesce(F.col("vol") > F.col("_cut"), F.lit(False))
     gated = F.col("score") * quality_multiplier(F.col("piotroski"), F.col("roe")) * crowding_multiplier(factors) * F.when(veto, veto_mult).otherwise(1.0)
     rows = rows.withColumns({"gated": gated, "vol_veto": veto})
