@@ -51,39 +51,50 @@ class WordEncoder:
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.octets = [i.to_bytes(self.width, "little") for i in range(self.whole.get_vocab_size())]
         self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def learn(self, new: list[str]) -> None:
-        odd = {c for c in new if not c.isprintable() or any(a in c for a in self.added)}
-        plain = [c for c in new if c not in odd]
-        said = self.whole.normalizer.normalize_str(" ".join(plain)) if self.whole.normalizer else " ".join(plain)
+        joined, odd = " ".join(new), set()
+        if not joined.isprintable() or any(a in joined for a in self.added):
+            odd = {c for c in new if not c.isprintable() or any(a in c for a in self.added)}
+            new = [c for c in new if c not in odd]
+            joined = " ".join(new)
+        said = self.whole.normalizer.normalize_str(joined) if self.whole.normalizer else joined
         parts = said.split(" ")
-        if len(parts) != len(plain):
-            odd, plain, parts = new, [], []
-        pieces, known, tokenize = self.pieces, self.chunks, self.whole.model.tokenize
-        found = [b""] * len(plain)
+        if len(parts) == len(new):
+            self.learn_parts([p for p in dict.fromkeys(parts) if p not in self.parts])
+            self.chunks.update(zip(new, map(self.parts.__getitem__, parts), strict=True))
+        else:
+            odd.update(new)
+        for c in odd:
+            self.chunks[c] = self.packed(self.whole.encode(c, add_special_tokens=False).ids)
+
+    def learn_parts(self, parts: list[str]) -> None:
+        """Ids of normalised chunks: their pieces by the library's pre-tokeniser, each piece by its model once."""
+        pieces, tokenize, octets = self.pieces, self.whole.model.tokenize, self.octets
+        found: list[list[bytes]] = [[] for _ in parts]
         ends = list(itertools.accumulate(len(p) + 1 for p in parts))
         k = 0
-        for piece, (at, _) in self.whole.pre_tokenizer.pre_tokenize_str(said) if plain else ():
+        for piece, (at, _) in self.whole.pre_tokenizer.pre_tokenize_str(" ".join(parts)) if parts else ():
             while at >= ends[k]:
                 k += 1
             b = pieces.get(piece)
             if b is None:
-                b = pieces[piece] = self.packed([t.id for t in tokenize(piece)])
-            found[k] += b
-        known.update(zip(plain, found, strict=True))
-        for c in odd:
-            known[c] = self.packed(self.whole.encode(c, add_special_tokens=False).ids)
+                b = pieces[piece] = b"".join([octets[t.id] for t in tokenize(piece)])
+            found[k].append(b)
+        self.parts.update(zip(parts, map(b"".join, found), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialised ids of each text; no text gives none."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.chunks) > KEPT:
-            self.chunks, self.pieces = {"": b""}, {}
+            self.chunks, self.parts, self.pieces = {"": b""}, {}, {}
         self.chunks.setdefault("", b"")
         new = list(set().union(*cut).difference(self.chunks))
         for k in range(0, len(new), 1 << 14):
