@@ -78,14 +78,43 @@ def selective_accuracy(panel: DataFrame, score: str, fwd: str, tiers, cost: floa
                                      F.when(F.stddev_samp("x") > 0, F.avg("x") / (F.stddev_samp("x") / F.sqrt(eff))).alias("t_eff"))
 
 
-def trailing_base(df: DataFrame, p: str, y: str, horizon: int, window: int = 20, least: int = 10) -> DataFrame:
-    """Brier of p against the win rate of the last `window` dates whose outcomes had closed, on the same rows."""
+def trailing_days(df: DataFrame, p: str, y: str, horizon: int, window: int = 20, least: int = 10) -> DataFrame:
+    """(date, _n, _a, _c): rows of a date and summed squared errors of p and of the win rate of the last `window`
+    dates whose outcomes had closed; dates without such a rate are left out."""
     daily = df.groupBy("date").agg(F.sum(y).alias("_s"), F.count("*").alias("_n"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("_a"))
     w = Window.orderBy("date").rowsBetween(-(window - 1) - horizon, -horizon)
     daily = daily.withColumn("_base", F.when(F.count("*").over(w) >= least, F.sum("_s").over(w) / F.sum("_n").over(w))).where("_base IS NOT NULL")
     c = F.col("_s") * F.pow(1 - F.col("_base"), 2) + (F.col("_n") - F.col("_s")) * F.pow("_base", 2)
-    return daily.agg(F.count("*").alias("dates"), F.sum("_n").alias("n"), (F.sum("_a") / F.sum("_n")).alias("brier"), (F.sum(c) / F.sum("_n")).alias("brier_trailing_base"),
-                     ((F.sum("_a") - F.sum(c)) / F.sum("_n")).alias("diff"))
+    return daily.select("date", "_n", "_a", c.alias("_c"))
+
+
+def trailing_base(df: DataFrame, p: str, y: str, horizon: int, window: int = 20, least: int = 10) -> DataFrame:
+    """Brier of p against the win rate of the last `window` dates whose outcomes had closed, on the same rows."""
+    return trailing_days(df, p, y, horizon, window, least).agg(
+        F.count("*").alias("dates"), F.sum("_n").alias("n"), (F.sum("_a") / F.sum("_n")).alias("brier"), (F.sum("_c") / F.sum("_n")).alias("brier_trailing_base"),
+        ((F.sum("_a") - F.sum("_c")) / F.sum("_n")).alias("diff"))
+
+
+def trailing_base_interval(df: DataFrame, p: str, y: str, horizon: int, block: int = 5, repeats: int = 200, share: float = 0.95) -> DataFrame:
+    """The difference of `trailing_base` with a moving-block bootstrap interval (lo, hi).
+
+    A repetition draws blocks of `block` neighbouring dates until it has as many dates as there are. Draws come from a
+    congruential generator over (repetition, block), so reruns agree; at most dates x repetitions rows are joined,
+    however many rows lie behind a date.
+    """
+    days = trailing_days(df, p, y, horizon).withColumn("_i", F.row_number().over(Window.orderBy("date")) - 1)
+    n = days.agg(F.count("*").cast("bigint")).scalar()
+    size = F.least(F.lit(block).cast("bigint"), n)
+    draws = df.sparkSession.range(repeats).select(F.col("id").alias("_r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / F.lit(block)) - 1)).alias("_j"))
+    # Multiplier, increment and modulus of a common congruential generator, applied twice.
+    step = lambda x: (x * F.lit(1103515245) + F.lit(12345)) % F.lit(2147483648)
+    drawn = F.floor(step(step(F.col("_r") * 1000003 + F.col("_j"))) / 65536).cast("bigint")
+    places = draws.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1))).where(F.col("_j") * block + F.col("_k") < n)
+    places = places.select("_r", (drawn % (n - size + 1) + F.col("_k")).alias("_i"))
+    each = places.join(days, "_i").groupBy("_r").agg(((F.sum("_a") - F.sum("_c")) / F.sum("_n")).alias("_d"))
+    edge = (1 - share) / 2
+    interval = each.agg(F.struct(F.percentile("_d", F.lit(edge)).alias("lo"), F.percentile("_d", F.lit(1 - edge)).alias("hi"))).scalar()
+    return days.agg(((F.sum("_a") - F.sum("_c")) / F.sum("_n")).alias("diff")).withColumn("_e", interval).select("diff", "_e.lo", "_e.hi")
 
 
 def classify_causes(calls: DataFrame) -> DataFrame:

@@ -195,6 +195,19 @@ def _(t):
     return ev.trailing_base(rows, "p", "y", 3)
 
 
+@query("K17_trailing_base_interval", uses="outcomes", doubles="diff lo hi", sql="""
+, o AS (SELECT date, p, CASE WHEN outcome = 'WIN' THEN 1.0 ELSE 0.0 END AS y FROM outcomes WHERE outcome <> 'PENDING'), d AS (SELECT date, sum(y) AS s, count(*) AS n FROM o GROUP BY 1),
+b AS (SELECT date, CASE WHEN count(*) OVER w >= 10 THEN sum(s) OVER w / sum(n) OVER w END AS base FROM d WINDOW w AS (ORDER BY date ROWS BETWEEN 22 PRECEDING AND 3 PRECEDING)),
+e AS (SELECT o.date, count(*) AS n, sum((p - y) * (p - y) - (base - y) * (base - y)) AS x, row_number() OVER (ORDER BY o.date) - 1 AS i FROM o JOIN b ON o.date = b.date AND base IS NOT NULL GROUP BY 1),
+c AS (SELECT count(*)::BIGINT AS n, least(5, count(*))::BIGINT AS size FROM e),
+r AS (SELECT r, j, k, n, size, (((((r * 1000003 + j) * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648) // 65536 AS x FROM c, (SELECT unnest(range(0, 200)) AS r), (SELECT unnest(range(0, 100000)) AS j), (SELECT unnest(range(0, 5)) AS k) WHERE j < ceil(n / 5.0) AND k < size AND j * 5 + k < n),
+s AS (SELECT r, sum(e.x) / sum(e.n) AS d FROM r JOIN e ON e.i = r.x % (r.n - r.size + 1) + k GROUP BY 1)
+SELECT (SELECT sum(x) / sum(n) FROM e) AS diff, quantile_cont(d, 0.025) AS lo, quantile_cont(d, 0.975) AS hi FROM s""")
+def _(t):
+    rows = t.outcomes.where("outcome <> 'PENDING'").withColumn("y", (F.col("outcome") == "WIN").cast("double"))
+    return ev.trailing_base_interval(rows, "p", "y", 3)
+
+
 ATTR = EV + """
 , cl AS (SELECT symbol, date, idx, close, CAST(sec AS VARCHAR) AS sector, fwd_3 AS fwd, lead(fwd_3, 3) OVER (PARTITION BY symbol ORDER BY date) AS fwd2, close * 0.95 AS stop, close * 1.05 AS target, coalesce(ret_5 > 0.05, false) AS is_buy, n % 6 = 0 AS ex FROM ep),
 m AS (SELECT *, avg(fwd) OVER (PARTITION BY date) AS u, avg(fwd2) OVER (PARTITION BY date) AS u2, CASE WHEN count(fwd) OVER (PARTITION BY date, sector) >= 5 THEN avg(fwd) OVER (PARTITION BY date, sector) ELSE avg(fwd) OVER (PARTITION BY date) END AS s FROM cl),
