@@ -8,7 +8,7 @@ equality join whose large partitions adaptive execution splits. Only a document'
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bourse.llm.shared import body, quoted, stored, with_own
+from bourse.llm.shared import body, quoted, stored
 
 
 def _lines(text: str) -> Column:
@@ -55,11 +55,11 @@ def line_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", width: i
     n_lines or n_removed are replaced. Empty in, empty out.
     """
     gone = covered_positions(docs, id, text, width)
-    rows = with_own(docs, _k1=_keys(id, text)[0], _k2=_keys(id, text)[1])
-    joined = rows.join(gone, ["_k1", "_k2"], "left")
-    lines = _lines(text)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_gone")
-    cleaned = F.when(F.col("_gone").isNull(), quoted(text)).otherwise(F.array_join(F.transform(stay, lambda p: F.element_at(lines, p + 1)), "\n"))
-    own = {"n_lines": F.size(lines).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    whole = F.struct(*[quoted(c) for c in docs.columns])  # names of any kind travel inside
+    joined = docs.select(whole.alias("_doc"), *_keys(id, text)).join(gone, ["_k1", "_k2"], "left")
+    rows = joined.withColumn("_lines", F.split(F.coalesce(F.col("_doc").getField(text), F.lit("")), "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    cleaned = F.when(F.col("_gone").isNull(), F.col("_doc").getField(text)).otherwise(F.array_join(F.transform(stay, lambda p: F.element_at("_lines", p + 1)), "\n"))
+    own = {"n_lines": F.size("_lines").cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
     clash = {c.lower() for c in own}
-    return joined.select(*[(cleaned if c == text else quoted(c)).alias(c) for c in docs.columns if c.lower() not in clash], *[c.alias(n) for n, c in own.items()])
+    return rows.select(*[(cleaned if c == text else F.col("_doc").getField(c)).alias(c) for c in docs.columns if c.lower() not in clash], *[c.alias(n) for n, c in own.items()])

@@ -24,8 +24,9 @@ def _key() -> Column:
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
+    """(_doc, _k1, _k2): the row as one struct, so that names of any kind travel inside, and its key."""
     key = _key()
-    return docs.select("*", key["k1"].alias("_k1"), key["k2"].alias("_k2"))
+    return docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_doc"), key["k1"].alias("_k1"), key["k2"].alias("_k2"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.select(F.struct(quoted("doc_id").alias("doc_id"), _key().alias("key")).alias("_name"), quoted("text").alias("text"))
     groups = simhash.near_groups(named, id="_name", shingle=SHINGLE, words=WORDS, radius=RADIUS, segments=1, coarse=16, tile=1 << 14)
     stay = groups.select("component_id.key.*").distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    kept = _with_keys(docs).join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return kept.select(*[quoted(c) for c in docs.columns])
+    return _with_keys(docs).join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix_sources(named, id="_name", key=F.col("_name.k1"))
     copies = taken.groupBy(F.col("_name.k1").alias("_k1"), F.col("_name.k2").alias("_k2")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
     rows = _with_keys(docs).dropDuplicates(["_k1", "_k2"]).join(copies, ["_k1", "_k2"])
-    return rows.select(*[quoted(c) for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    return rows.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).select("_doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

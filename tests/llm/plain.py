@@ -14,7 +14,7 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYLLABLES = "the and ing tion er es an or st le que ment pa ré ión ß über an de la".split()
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, component_id string, n_words string, N_Tokens int, `a.b` string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept string, component_id string, n_words string, N_Tokens int, `a.b` string, _gone string, _k1 string, _copy int"
 
 
 def prose(rng: random.Random, words: int, lines: int = 1) -> str:
@@ -31,9 +31,9 @@ def documents(seed: int = 3, many: int = 60) -> list[tuple]:
     texts += [texts[0], texts[0], texts[1] + " more", texts[2].replace(" ", "  "), texts[3].upper(), passage + "\n" + texts[4], texts[5] + "\n" + passage, passage]
     texts += [None, "", "", " \n\t ", "one", "two words", "\n\n\n\n\n", "a\na\na\na\na\na", "é́ 漢字 🎉 ▁x  y \x00 z w", "don't <|endoftext|> stop", " lead", "trail ", "x" * 3000]
     texts += [("over and over again " * 900).strip(), prose(rng, 6000, 40), "### $$$ %%% &&& *** ||| " * 10]
-    rows = [(k, t, rng.choice(["en", "fr", None, "de"]), rng.choice(["a", "a", "a", "b", "ç", None, "😀", "z"]), len(t or ""), 7, "k", "c", "w", 1, "ab") for k, t in enumerate(texts)]
-    rows += [(5, texts[5], "en", "a", 1, 7, None, None, None, None, None)] * 2  # the same row twice more
-    rows += [(None, texts[6], None, None, None, None, None, None, None, None, None), (None, "unlike any other text here", "en", "b", 1, 1, "", "", "", 1, "")]
+    rows = [(k, t, rng.choice(["en", "fr", None, "de"]), rng.choice(["a", "a", "a", "b", "ç", None, "😀", "z"]), len(t or ""), 7, "k", "c", "w", 1, "ab", "g", "k", 2) for k, t in enumerate(texts)]
+    rows += [(5, texts[5], "en", "a", 1, 7, *[None] * 8)] * 2  # the same row twice more
+    rows += [(None, texts[6], *[None] * 12), (None, "unlike any other text here", "en", "b", 1, 1, "", "", "", 1, "", "", "", 1)]
     return rows
 
 
