@@ -27,6 +27,7 @@ from bourse.llm.shared import quoted, stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 1 << 15  # shingles whose bits are counted at once
+SALTS = 64  # keys over which a cell's fingerprints are dealt while its size is looked up
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -136,9 +137,10 @@ def spanning_links(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool,
 def near_links(reps: DataFrame, words: int, radius: int, segments: int, coarse: int, tile: int) -> DataFrame:
     """(a, b): links among distinct fingerprints (_node, _fp) that join exactly those that pairs within the radius join."""
     counts = F.transform(_segment_counts(words, segments), lambda c: F.floor(c / F.lit(coarse)).cast("int"))
-    cells = reps.withColumn("_cell", counts)
-    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_in"))
-    cut = cells.join(sizes, "_cell").withColumn("_tile", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_in") / F.lit(tile))).cast("int"))
+    # A cell may hold a third of all fingerprints: its size is looked up under SALTS keys, so that no task meets a whole cell.
+    cells = reps.withColumn("_cell", counts).withColumn("_salt", F.pmod(F.xxhash64("_node", F.lit(1)), F.lit(SALTS)).cast("int"))
+    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_in")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cut = cells.join(sizes, ["_cell", "_salt"]).withColumn("_tile", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_in") / F.lit(tile))).cast("int"))
     tiles = stored(cut.groupBy("_cell", "_tile").agg(F.collect_list(F.struct("_node", "_fp")).alias("_has")).select("_cell", "_tile", F.col("_has._node").alias("_nodes"), F.flatten("_has._fp").alias("_bits")), "tiles")
 
     # Which tiles meet is settled on their names alone; their contents join afterwards.
