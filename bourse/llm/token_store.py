@@ -29,8 +29,9 @@ from bourse.llm.shared import body, quoted
 # Tasks get these functions by value, so they need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KEPT = 600_000  # chunks that a task remembers; then it starts anew
+KEPT = 700_000  # chunks that a task remembers; then it starts anew
 GULP = 1 << 22  # characters of whole texts that are cut into chunks at a time
+SHARD = 1 << 25  # bytes of text that a shard holds, about: a task that sees more text meets fewer new chunks in it
 PACK = 1 << 20  # bytes of ids after which a pack is closed; a longer document has a pack of its own
 DICTIONARY = 1 << 16  # bytes of the dictionary at most
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 14  # documents that train the dictionary, about, and the longest text among them
@@ -123,7 +124,7 @@ def _dictionary(content: bytes | None):
     return zstandard.ZstdCompressionDict(content) if content else None
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end: int, id: str, text: str) -> bytes:
+def train_dictionary(docs: DataFrame, rows: int, tokenizer: str, end: int, id: str, text: str) -> bytes:
     """The dictionary's content, trained in one task on a bounded sample: about SAMPLE_DOCS rows picked by a hash of their id, none over SAMPLE_BYTES.
 
     It steers how small frames get, never what they hold. Where the sample is too small to train on, its own last
@@ -142,10 +143,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, id: str, text: s
             content = b"".join(samples)[-DICTIONARY:]
         yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
 
-    many = max(1, docs.count())
-    picked = docs.where((F.pmod(F.xxhash64(quoted(id).cast("string")), F.lit(many)) < SAMPLE_DOCS) & (F.octet_length(body(text)) <= SAMPLE_BYTES)).limit(2 * SAMPLE_DOCS)
-    rows = picked.select(quoted(id).alias("_id"), body(text).alias("_text")).coalesce(1).mapInArrow(task, "content binary").collect()
-    return max((bytes(r.content) for r in rows), key=len, default=b"")
+    picked = docs.where((F.pmod(F.xxhash64(quoted(id).cast("string")), F.lit(max(1, rows))) < SAMPLE_DOCS) & (F.octet_length(body(text)) <= SAMPLE_BYTES)).limit(2 * SAMPLE_DOCS)
+    made = picked.select(quoted(id).alias("_id"), body(text).alias("_text")).coalesce(1).mapInArrow(task, "content binary").collect()
+    return max((bytes(r.content) for r in made), key=len, default=b"")
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, id: str = "doc_id", text: str = "text") -> None:
@@ -155,7 +155,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, id: str
     table gives a store without packs.
     """
     spark = docs.sparkSession
-    content = train_dictionary(docs, tokenizer, end, id, text)
+    facts = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(body(text))), F.lit(0)).alias("size")).first()
+    content = train_dictionary(docs, facts["rows"], tokenizer, end, id, text)
     digest = hashlib.sha256(content).hexdigest()
     spark.createDataFrame([(digest, bytearray(content))], "hash string, content binary").coalesce(1).write.parquet(f"{folder}/dictionary")
 
@@ -198,7 +199,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int, id: str
     from pyspark.sql.types import StructType
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    ordered = docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
+    ordered = docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")).repartitionByRange(1 + facts["size"] // SHARD, "_id").sortWithinPartitions("_id", "_text")
     ordered.mapInArrow(task, schema).write.parquet(f"{folder}/packs")
 
     packs = spark.read.parquet(f"{folder}/packs")
