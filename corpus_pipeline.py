@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourse.llm import line_dedup as lines
-from bourse.llm import mixing, piece_bpe, quality, simhash
+from bourse.llm import mixing, near_copies, piece_bpe, quality
 from bourse.llm.queries import vocabulary
 from bourse.llm.shared import body, quoted, stored
 
-# Near copies: shingles of five words, 256 bits. Texts whose shingles are alike to 0.8 (Jaccard) have an angle of 0.48
-# between their count vectors, which sets about 39 bits apart, give or take 6; unlike texts differ in 128, give or take 8.
-SHINGLE, WORDS, RADIUS = 5, 4, 46
+# Near copies: sets of five-word shingles alike to 4/5 (Jaccard). Candidates are told by 256 bits: sets alike to 0.8 have an
+# angle of 0.48, which sets about 39 bits apart, give or take 6; unlike texts differ in 128, give or take 8.
+SHINGLE, ALIKE, WORDS, RADIUS = 5, (4, 5), 4, 72
 
 
 def _key() -> Column:
@@ -45,7 +45,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays (null first, then by a hash of id and text)."""
     named = docs.select(F.struct(quoted("doc_id").alias("doc_id"), _key().alias("key")).alias("_name"), quoted("text").alias("text"))
-    groups = simhash.near_groups(named, id="_name", shingle=SHINGLE, words=WORDS, radius=RADIUS, segments=1, coarse=16, tile=1 << 14)
+    groups = near_copies.near_keepers(named, id="_name", shingle=SHINGLE, alike=ALIKE, words=WORDS, radius=RADIUS)
     stay = groups.select("component_id.key.*").distinct().select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     return _with_keys(docs).join(stay, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_doc.*")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import corpus_pipeline  # noqa: E402
 import plain  # noqa: E402
-from bourse.llm import mixing, quality, simhash  # noqa: E402
+from bourse.llm import mixing, near_copies, quality, simhash  # noqa: E402
 from bourse.llm.shared import stored  # noqa: E402
 
 ROWS = plain.documents(seed=8)
@@ -68,6 +68,48 @@ def test_near_copies_meet_and_unlike_texts_do_not():
         assert (a ^ b).bit_count() <= corpus_pipeline.RADIUS < (a ^ c).bit_count()
 
 
+def _shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def _jaccard_keepers(rows):
+    """Smallest id of each group of rows (id, text) that pairs of Jaccard 0.8 or more join, all pairs compared."""
+    sets = [_shingles(t) for _, t in rows]
+    low = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if low[i] != low[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = min(low[i], low[j]), max(low[i], low[j])
+                low = [a if x == b else x for x in low]
+    return sorted(rows[k][0] for k in set(low))
+
+
+def _pairs_from(share, rng, count):
+    """Texts in pairs whose first `share` is common, so that Jaccard runs about from 0.70 to 0.90."""
+    rows = []
+    for _ in range(count):
+        n = rng.randint(60, 400)
+        a, b = plain.prose(rng, n).split(), plain.prose(rng, n).split()
+        keep = round(n * share(rng))
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(a[:keep] + b[keep:]))]
+    return rows
+
+
+@pytest.mark.parametrize("block", [1 << 20, 700])
+def test_near_copies_are_those_of_a_jaccard_join(spark, block):
+    import random
+
+    rng = random.Random(12)
+    rows = _pairs_from(lambda r: r.uniform(0.82, 0.95), rng, 150)
+    base = plain.prose(rng, 150).split()
+    rows += [(1000 + k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]])) for k in range(60)]
+    tail = plain.prose(rng, 110).split()
+    rows += [(2000 + k, " ".join(tail + plain.prose(rng, 40).split())) for k in range(40)]  # all alike to about 0.55
+    got = near_copies.near_keepers(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert sorted(r.component_id for r in got) == _jaccard_keepers(rows)
+
+
 def test_empty_table(spark):
     out = spark.createDataFrame([], plain.SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
