@@ -40,9 +40,8 @@ def _prints(docs: DataFrame, id: str, text: str, shingle: int, words: int) -> Da
         for batch in batches:
             rows = []
             for t in batch.column(1):
-                found = simhash.shingle_hashes(t.as_py(), shingle)
-                own = np.unique(found)
-                rows.append((*set_key(own), len(own), simhash.fingerprint(found, words)))
+                own = np.unique(simhash.shingle_hashes(t.as_py(), shingle))  # repeats would outweigh all others in the votes
+                rows.append((*set_key(own), len(own), simhash.fingerprint(own, words)))
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["_id", "_a", "_b", "_n", "_fp"])
 

@@ -110,6 +110,20 @@ def test_near_copies_are_those_of_a_jaccard_join(spark, block):
     assert sorted(r.component_id for r in got) == _jaccard_keepers(rows)
 
 
+def test_repeated_lines_neither_join_nor_part_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    line = " all rights reserved by the press of this town since long ago"
+    rows = []
+    for k in range(8):  # copies of one text that end in the line once and a hundred times
+        own = plain.prose(rng, 300)
+        rows += [(2 * k, own + line), (2 * k + 1, own + line * 100)]
+    rows += [(100 + k, plain.prose(rng, 200) + line * 100) for k in range(8)]  # texts that share nothing else
+    got = near_copies.near_keepers(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.component_id for r in got) == _jaccard_keepers(rows) == [*range(0, 16, 2), *range(100, 108)]
+
+
 def test_empty_table(spark):
     out = spark.createDataFrame([], plain.SCHEMA)
     for name, stage in corpus_pipeline.STAGES:
