@@ -117,6 +117,15 @@ def _(t):
     return tx.vector_topk(t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings.select("vec_id", F.col("embedding").alias("v")), 5)
 
 
+@query("T9_vector_topk_hundredth", doubles="similarity", sql="""
+, q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT qid, vec_id, round(list_dot_product(e.embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS similarity FROM embeddings e, q)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def _(t):
+    """Every hundredth vector against all, so the queries grow with the table."""
+    return tx.vector_topk(t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings.select("vec_id", F.col("embedding").alias("v")), 5)
+
+
 @query("T10_build_documents", sql="""
 SELECT 'C' || c_custkey AS symbol, concat_ws('. ', c_name, 'Sector: ' || c_mktsegment, 'Orders: ' || n) AS text, '{"symbol":"C' || c_custkey || '","sector":"' || c_mktsegment || '"' || coalesce(',"orders":' || n, '') || '}' AS metadata FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def _(t):

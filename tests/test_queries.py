@@ -25,6 +25,18 @@ def test_matches_sql_twin(spark, name):
     assert canon(df.columns, df.collect()) == canon(names, rows)
 
 
+def test_vector_search_takes_every_hundredth_row(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables here")
+    df = entry.queries()["T9_vector_topk_hundredth"](spark, folder)
+    rel = connect(folder).execute(entry.oracle_sql()["T9_vector_topk_hundredth"])
+    rows = df.collect()
+    ids = {r.vec_id for r in spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 100 = 0").collect()}
+    assert {r.qid for r in rows} == ids and len(ids) > 10
+    assert canon(df.columns, rows) == canon([d[0] for d in rel.description], rel.fetchall())
+
+
 def test_entry_runs(spark):
     if not os.path.isdir("/root/testdata/sf0.001"):
         pytest.skip("no driver tables here")
