@@ -90,4 +90,66 @@ judged AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {mask_of(BASE)} <> 0 AS base_failed, failed & {mask_of(CURRENT)} = 0 AS kept, failed FROM judged
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_license_scan": LICENCES, "op7_quality_ledger": QUALITY, "op9_exact_dedup": EXACT}
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM cut),
+said AS (
+  SELECT lang, 1 AS k, w[i] AS phrase FROM placed
+  UNION ALL SELECT lang, 2, w[i] || ' ' || w[i + 1] FROM placed WHERE i + 1 <= len(w)
+  UNION ALL SELECT lang, 3, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM placed WHERE i + 2 <= len(w)
+),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM said GROUP BY ALL),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+inside AS (
+  SELECT lang, phrase, max(a) AS most FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3) GROUP BY ALL
+),
+kept AS (SELECT c.* FROM c LEFT JOIN inside i USING (lang, phrase) WHERE i.most IS NULL OR 100 * i.most < 50 * c.a),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1 : j], ' ') AS x, array_to_string(w[j + 1 :], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM kept)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, j, fx.n AS l, fy.n AS r, ((1000000::HUGEINT * a * a) // (fx.n::HUGEINT * fy.n))::BIGINT AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y
+),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT r.lang, rank, phrase, a, l, r.r, t.n, score FROM ranked r JOIN total t USING (lang) WHERE rank <= 2000
+"""
+
+
+def _rounds(rounds: int) -> str:
+    """Tables a0, b1, a1, ... : nearest entries (packed as distance * 64 + entry), and the books that follow from them."""
+    sql = ""
+    for k in range(rounds + 1):
+        sql += f"""
+a{k} AS (
+  SELECT v.vec_id, v.p, min(list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - b.x[i]) * (v.x[i] - b.x[i])))::BIGINT * 64 + b.e) AS m
+  FROM parts v JOIN b{k} b USING (p) GROUP BY ALL
+),"""
+        if k < rounds:
+            sql += f"""
+s{k} AS (
+  SELECT p, e, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+  FROM (SELECT a.p, a.m % 64 AS e, unnest(range(1, len(v.x) + 1)) AS i, unnest(v.x) AS x FROM a{k} a JOIN parts v USING (vec_id, p)) GROUP BY ALL
+),
+n{k} AS (SELECT p, e, list(x ORDER BY i) AS x FROM s{k} GROUP BY ALL),
+b{k + 1} AS (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{k} b LEFT JOIN n{k} n USING (p, e)),"""
+    return sql
+
+
+VECTORS = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS (SELECT vec_id, p, x[p * (len(x) // 16) + 1 : (p + 1) * (len(x) // 16)] AS x FROM (SELECT *, unnest(range(0, 16)) AS p FROM kept)),
+b0 AS (SELECT p, e, x FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),{_rounds(2)}
+book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS digest FROM b2),
+coded AS (SELECT vec_id, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT c.vec_id, code, error, sum(error) OVER (PARTITION BY k.label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM coded c JOIN kept k USING (vec_id), book
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": LINES, "op3_license_scan": LICENCES, "op7_quality_ledger": QUALITY, "op9_exact_dedup": EXACT, "op11_phrase_collocations": PHRASES, "op13_vector_codes": VECTORS}

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bourse.llm import exact_dedup, language, license_scan, line_dedup, mixing, piece_bpe, quality, simhash, token_counts, token_store
+from bourse.llm import exact_dedup, language, license_scan, line_dedup, mixing, neural_lm, phrases, piece_bpe, quality, simhash, token_counts, token_store, vector_codes
 from bourse.llm.shared import new_path, quoted
 
 
@@ -80,6 +80,19 @@ def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, folder))
 
 
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, folder))
+
+
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A fifth of the documents, by a checksum of their ids, is held out."""
+    return neural_lm.lm_scores(_documents(spark, folder), F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
+def compressed_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": token_output,
     "op2_line_dedup": line_windows,
@@ -91,4 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash_groups,
     "op9_exact_dedup": exact_groups,
     "op10_source_mix": source_mix,
+    "op11_phrase_collocations": phrase_collocations,
+    "op12_language_model": language_model,
+    "op13_vector_codes": compressed_vectors,
 }
