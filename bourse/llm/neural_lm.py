@@ -7,9 +7,10 @@ predicted vector is the sum of the context's vectors, each weighted by its place
 the output's vector plus a bias. Such scores are sums of one term per context place, so the normalisers of all pairs of
 contexts are one matrix product of exponentials, and no text pays for them.
 
-Every training word is counted, and every training token is a step of the model: tasks train on their own part from the
-same start, and their models are averaged, weighted by tokens, for a few rounds. Counts grow with the corpus and are
-never gathered: a bounded table of the frequent words' counts goes to the tasks, all other words are looked up by a join.
+Every training word is counted, and every training token is a step of the model. One task trains a start on a bounded
+sample; from there tasks train on their own part of all texts, and their models are averaged, weighted by tokens. Counts
+grow with the corpus and are never gathered: a bounded table of the frequent words' counts goes to the tasks, all other
+words are looked up by a join.
 """
 
 import sys
@@ -33,7 +34,8 @@ FREQUENT, ENDINGS, OVERFLOW = 1023, 960, 64  # outputs besides the end: words, e
 OUTPUTS = 1 + FREQUENT + ENDINGS + OVERFLOW
 TAIL = 3  # characters of an ending
 WIDTH, NOISE, BATCH = 32, 64, 4096  # of the vectors; noise outputs and tokens per step
-RATES = (0.3, 0.1)  # learning rate of each round
+START = 4_000_000  # tokens of the bounded sample on which the common start is trained
+START_RATE, RATE, SEEN = 0.1, 0.02, 30.0  # learning rates there and over all texts, and what a row's steps are damped by at first
 TABLE, SPELLED = 1 << 18, 64  # most words whose counts go to all tasks, and the longest such word in bytes
 KEPT = 1 << 19  # words that a task counts before it ships them
 GULP = 1 << 22  # characters that are cut into words at a time
@@ -190,7 +192,7 @@ class Trainer:
         self.model, self.rate, self.rng = model, rate, np.random.default_rng(seed)
         self.upto = np.cumsum(noise)
         self.odds = np.log(NOISE * noise).astype(np.float32)
-        self.seen = [np.full(OUTPUTS, 1.0, np.float32) for _ in range(3)] + [np.ones(2, np.float32)]
+        self.seen = [np.full(OUTPUTS, SEEN, np.float32) for _ in range(3)] + [np.full(2, SEEN, np.float32)]
 
     def steps(self, x: np.ndarray, y: np.ndarray, t: np.ndarray) -> None:
         order = self.rng.permutation(len(t))
@@ -251,44 +253,53 @@ def contexts(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, y, t
 
 
+def _models(texts: DataFrame, v: Vocabulary, start: np.ndarray, rate: float, most: int | None = None) -> DataFrame:
+    """(_segment, _part, _weight, _values): the model of each task after its texts, or after about `most` tokens, in segments, and its tokens."""
+    held = texts.sparkSession.sparkContext.broadcast((v, start))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, start = held.value
+        part = TaskContext.get().partitionId()
+        encoder, own, weight = Encoder(v), Model(start.copy()), 0
+        trainer = Trainer(own, noise_of(v), rate, part)
+        for _, some in gulps(batches, 0):
+            _, tokens, ends = encoder.stream(some)
+            trainer.steps(*contexts(tokens, ends))
+            weight += len(tokens) - 2
+            if most is not None and weight >= most:
+                break
+        if weight:
+            values = [s.astype("<f4").tobytes() for s in np.array_split(own.flat, SEGMENTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([part] * SEGMENTS, pa.int32()), pa.array([float(weight)] * SEGMENTS), pa.array(values, pa.binary())], names=["_segment", "_part", "_weight", "_values"])
+
+    return texts.select("_text").mapInArrow(task, "_segment int, _part int, _weight double, _values binary")
+
+
+def averaged(models: DataFrame, otherwise: np.ndarray) -> np.ndarray:
+    """The mean of the models by weight, segment by segment; `otherwise` where there is none."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}  # at most SEGMENTS
+        for batch in batches:
+            for s, w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = sums.setdefault(s, [0.0, 0.0])
+                found[0] += w
+                found[1] = found[1] + w * np.frombuffer(b, "<f4").astype(np.float64)
+        for s, (w, x) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([(x / w).astype("<f4").tobytes()], pa.binary())], names=["_segment", "_values"])
+
+    dealt = models.repartition(SEGMENTS, "_segment").sortWithinPartitions("_segment", "_part")
+    found = {r._segment: np.frombuffer(bytes(r._values), "<f4") for r in dealt.select("_segment", "_weight", "_values").mapInArrow(mean, "_segment int, _values binary").collect()}
+    return np.concatenate([found[s] for s in range(SEGMENTS)]) if found else otherwise
+
+
 def trained(texts: DataFrame, v: Vocabulary) -> np.ndarray:
-    """The model after all rounds over all texts, as a flat array; the start itself where there is no text."""
-    noise = noise_of(v)
-    model = Model.start(noise).flat
-    spark = texts.sparkSession
-    shape = "_segment int, _part int, _weight double, _values binary"
-    for turn, rate in enumerate(RATES):
-        held = spark.sparkContext.broadcast((v, model))
-
-        def task(batches: Iterator[pa.RecordBatch], rate: float = rate, turn: int = turn, held=held) -> Iterator[pa.RecordBatch]:
-            v, start = held.value
-            part = TaskContext.get().partitionId()
-            encoder, own, weight = Encoder(v), Model(start.copy()), 0
-            trainer = Trainer(own, noise_of(v), rate, 1000 * part + turn)
-            for _, some in gulps(batches, 0):
-                _, tokens, ends = encoder.stream(some)
-                trainer.steps(*contexts(tokens, ends))
-                weight += len(tokens) - 2
-            if weight:
-                values = [s.astype("<f4").tobytes() for s in np.array_split(own.flat, SEGMENTS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([part] * SEGMENTS, pa.int32()), pa.array([float(weight)] * SEGMENTS), pa.array(values, pa.binary())], names=["_segment", "_part", "_weight", "_values"])
-
-        def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}  # at most SEGMENTS
-            for batch in batches:
-                for s, w, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    found = sums.setdefault(s, [0.0, 0.0])
-                    found[0] += w
-                    found[1] = found[1] + w * np.frombuffer(b, "<f4").astype(np.float64)
-            for s, (w, x) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([(x / w).astype("<f4").tobytes()], pa.binary())], names=["_segment", "_values"])
-
-        models = texts.select("_text").mapInArrow(task, shape).repartition(SEGMENTS, "_segment").sortWithinPartitions("_segment", "_part")
-        found = {r._segment: np.frombuffer(bytes(r._values), "<f4") for r in models.select("_segment", "_weight", "_values").mapInArrow(mean, "_segment int, _values binary").collect()}
-        if found:
-            model = np.concatenate([found[s] for s in range(SEGMENTS)])
-        held.unpersist()
-    return model
+    """The model's flat array: a start from a sample by a hash of ids, about START tokens, then one pass over all texts."""
+    model = Model.start(noise_of(v)).flat
+    share = min(1.0, START / max(1, v.train_tokens))
+    sample = texts.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    model = averaged(_models(sample.coalesce(1), v, model, START_RATE, START), model)
+    return averaged(_models(texts, v, model, RATE), model)
 
 
 def _partial_scores(texts: DataFrame, v: Vocabulary, model: np.ndarray) -> DataFrame:
