@@ -7,6 +7,7 @@ from bourse.functions.frames import clamp, ratio, roll
 from bourse.functions.scalar import bounded_revision, cagr
 from bourse.operators.asof import asof_join
 from bourse.operators.indicators import W_START, per_symbol, prev
+from bourse.operators.order_statistics import with_percentiles
 
 
 def by_period(*keys):
@@ -100,10 +101,7 @@ def statement_ratios(rows: DataFrame, years: int = 3) -> DataFrame:
 
 def pe_bands(rows: DataFrame, value: str = "pe", days: int = 1095, least: int = 12) -> DataFrame:
     """Percentiles of a valuation over the symbol's trailing days, and where the newest one stands."""
-    span = Window.partitionBy("symbol").orderBy(F.datediff("date", F.lit("1970-01-01"))).rangeBetween(-days, 0)
-    ok = rows.where(F.col(value) > 0)
-    cuts = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(span)
-    out = ok.withColumns({"_c": cuts, "_n": F.count(value).over(span)})
+    out = with_percentiles(rows.where(F.col(value) > 0), "symbol", "date", value, (0.25, 0.5, 0.75), "_c", "_n", days)
     known = F.col("_n") >= least
     label = F.when(F.col(value) <= F.col("_c")[0], "CHEAP").when(F.col(value) >= F.col("_c")[2], "DEAR").otherwise("FAIR")
     return out.select("symbol", "date", value, *[F.when(known, F.col("_c")[i]).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], F.when(known, label).alias("band"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from bourse.functions.frames import clamp, col, guarded, ratio, roll, series, trailing
+from bourse.operators.order_statistics import with_percentiles
 
 YEAR = 252
 W_START = Window.unboundedPreceding
@@ -121,9 +122,7 @@ def historical_vol(bars: DataFrame, windows=(10, 20, 30, 60)) -> DataFrame:
 
 def vol_regime_expanding(bars: DataFrame, vol: str, min_obs: int = 252) -> DataFrame:
     """LOW / MED / HIGH / SPIKE against the symbol's own history up to the row; MED while it is short."""
-    frame = per_symbol().rowsBetween(W_START, 0)
-    cut = F.percentile(vol, F.array(F.lit(0.33), F.lit(0.67), F.lit(0.90))).over(frame)
-    out = bars.withColumns({"_cut": cut, "_n": F.count(vol).over(frame)})
+    out = with_percentiles(bars, "symbol", "date", vol, (0.33, 0.67, 0.90), "_cut", "_n")
     v = F.col(vol)
     label = (
         F.when((F.col("_n") < min_obs) | v.isNull(), "MED")

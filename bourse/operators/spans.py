@@ -20,6 +20,44 @@ def active_memberships(spans: DataFrame, dates: DataFrame, date: str = "date") -
     return spread.join(days, "_month").where(open_).drop("_month")
 
 
+def merged_spans(spans: DataFrame, keys) -> DataFrame:
+    """Per key the spans [start_date, end_date) joined where they overlap or touch; a null end is open."""
+    rows = spans.where(F.col("end_date").isNull() | (F.col("end_date") > F.col("start_date")))
+    order = Window.partitionBy(*keys).orderBy("start_date")
+    far = F.coalesce("end_date", F.lit("9999-12-31").cast("date"))
+    reach = F.max(far).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start_date") <= F.col("_reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = rows.withColumn("_reach", reach).withColumn("_island", island)
+    joined = numbered.groupBy(*keys, "_island").agg(F.min("start_date").alias("start_date"), F.max(far).alias("_far"))
+    return joined.select(*keys, "start_date", F.when(F.col("_far") < F.lit("9999-12-31"), F.col("_far")).alias("end_date"))
+
+
+def membership_counts(spans: DataFrame, dates: DataFrame, by: str = "list", member: str = "symbol", date: str = "date") -> DataFrame:
+    """(by, date, open_spans, symbols) for each date on which a group has open spans: how many, and of how many members.
+
+    Spans become +1 at their start and -1 at their end, added up over at most one row per group and day; members are
+    counted on their merged spans. No row per span and date is made: a count holds until the next change, and only
+    months with such stretches meet the dates.
+    """
+    changes = None
+    for rows, open_, members in ((spans, 1, 0), (merged_spans(spans, [by, member]), 0, 1)):
+        some = rows.where(F.col("end_date").isNull() | (F.col("end_date") > F.col("start_date")))
+        for column, sign in (("start_date", 1), ("end_date", -1)):
+            part = some.where(F.col(column).isNotNull()).groupBy(by, F.col(column).alias("_d")).agg((F.count("*") * (sign * open_)).alias("_o"), (F.count("*") * (sign * members)).alias("_m"))
+            changes = part if changes is None else changes.unionByName(part)
+    daily = changes.groupBy(by, "_d").agg(F.sum("_o").alias("_o"), F.sum("_m").alias("_m"))
+    order = Window.partitionBy(by).orderBy("_d")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    steps = daily.select(by, F.col("_d").alias("_from"), F.lead("_d").over(order).alias("_to"), F.sum("_o").over(running).alias("open_spans"), F.sum("_m").over(running).alias("symbols")).where("open_spans > 0")
+    last = dates.agg(F.max(date)).scalar()
+    until = F.least(F.coalesce("_to", F.date_add(last, 1)), F.date_add(last, 1))
+    months = F.sequence(F.trunc("_from", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))
+    spread = steps.where(F.col("_from") < until).withColumn("_month", F.explode(months))
+    days = dates.select(date, F.trunc(date, "month").alias("_month"))
+    inside = (F.col("_from") <= F.col(date)) & (F.col("_to").isNull() | (F.col(date) < F.col("_to")))
+    return spread.join(days, "_month").where(inside).select(by, date, "open_spans", "symbols")
+
+
 def span_breadth(spans: DataFrame, panel: DataFrame, by: str = "symbol") -> DataFrame:
     """Number of open spans per (symbol, date): +1 at each start, -1 the day after each end, summed up
     over at most one row per symbol and day, and read as of the panel's dates."""

@@ -4,7 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bourse.functions.frames import col, ratio
-from bourse.functions.scalar import content_id
+from bourse.functions.scalar import content_id, norm
+from bourse.operators.search import vector_topk  # noqa: F401  (a part of this module's interface)
 
 # The lexicons and patterns of the news classifier.
 BULLISH = [
@@ -59,11 +60,6 @@ GENERIC = ("india", "power", "energy", "finance", "financial", "industries", "mo
 LEGAL_SUFFIX = r"(?i)\b(limited|ltd|private|pvt|corporation|corp|incorporated|inc|company|the)\b"
 
 
-def norm(c) -> Column:
-    """Lower-case tokens with single blanks; the ampersand stays for names such as L&T."""
-    return F.trim(F.regexp_replace(F.lower(col(c)), r"[^a-z0-9&]+", " "))
-
-
 def build_alias_index(names: DataFrame, generic=GENERIC) -> DataFrame:
     """Aliases of (symbol, name): suffix-free names; a name two symbols share falls back to the full form."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("name", r"\(.*?\)", " "), r"[.,]", " "), LEGAL_SUFFIX, " "), r"\s+", " "))
@@ -181,27 +177,6 @@ def news_features(items: DataFrame, grid: DataFrame) -> DataFrame:
     return out.withColumn("attention", rank / n).drop("_ask", "_s", "_n", "_h", "_seen")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1000, live: DataFrame | None = None) -> DataFrame:
-    """The k most similar stored vectors per query by cosine, from (qid, q) and (vec_id, v).
-
-    Any number of queries: they are cut into blocks of about `block`, and each vector scores the queries of a block in
-    place, so only the best k per query and task reach the shuffle. `live` (vec_id) leaves out vectors whose entity is gone.
-    """
-    if live is not None:
-        vectors = vectors.join(live.select("vec_id").distinct(), "vec_id", "left_semi")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    blocks = 1 + (queries.count() - 1) // block
-    number = F.pmod(F.xxhash64("qid"), F.lit(max(1, blocks))).cast("int")
-    unit = queries.select(number.alias("_block"), F.struct("qid", "q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("qn")).alias("_q"))
-    batches = unit.groupBy("_block").agg(F.collect_list("_q").alias("_batch"))
-    rows = vectors.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks) - 1)))).join(batches, "_block")
-    rows = rows.withColumns({"_n": F.sqrt(dot(F.col("v"), F.col("v"))), "_q": F.explode("_batch")})
-    score = F.round(ratio(dot(F.col("v"), F.col("_q.q")), F.col("_n") * F.col("_q.qn")), 9)
-    rows = rows.select(F.col("_q.qid").alias("qid"), "vec_id", score.alias("similarity"))
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("vec_id")))
-    return rows.withColumn("rank", place).where(F.col("rank") <= k)
-
-
 def build_documents(master: DataFrame, profiles: DataFrame) -> DataFrame:
     """One text and one metadata struct per entity."""
     rows = master.join(profiles, "symbol", "left")

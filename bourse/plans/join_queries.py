@@ -108,10 +108,7 @@ def _(t):
 SELECT list, date, count(*) AS open_spans, count(DISTINCT symbol) AS symbols FROM spans JOIN sessions_m
   ON start_date <= date AND (end_date IS NULL OR end_date > date) GROUP BY 1, 2""")
 def _(t):
-    active = spans.active_memberships(t.spans, t.sessions_m.select("date"))
-    # One row per (list, date, symbol) first, so a hot list's distinct count is already folded.
-    folded = active.groupBy("list", "date", "symbol").agg(F.count("*").alias("c"))
-    return folded.groupBy("list", "date").agg(F.sum("c").alias("open_spans"), F.count("*").alias("symbols"))
+    return spans.membership_counts(t.spans, t.sessions_m.select("date"))
 
 
 @query("J10_span_breadth", uses="spans decisions", sql="""

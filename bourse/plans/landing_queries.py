@@ -156,6 +156,20 @@ def _(t):
     return ld.url_templates(t.pages)
 
 
+@query("A13_url_params", sql="""
+, u AS (SELECT regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) AS host, list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '') AS segs, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '') AS pairs FROM pages),
+v AS (SELECT *, len(segs) AS segments, array_to_string(list_sort(list_transform(pairs, lambda p: string_split(p, '=')[1])), ',') AS query_keys FROM u),
+p AS (SELECT host, segments, query_keys, 'path' AS location, 'path_' || (i - 1) AS name, segs[i] AS value FROM v, range(1, 30) r(i) WHERE i <= segments
+  UNION SELECT host, segments, query_keys, 'query', url_decode(string_split(x, '=')[1]), url_decode(CASE WHEN contains(x, '=') THEN regexp_replace(x, '^[^=]*=', '') ELSE '' END) FROM (SELECT *, unnest(pairs) AS x FROM v)),
+g AS (SELECT host, segments, query_keys, location, name, count(*) AS distinct_count, min(value) AS lo, list_sort(list(value))[1 : 5] AS sample_values FROM p GROUP BY ALL), k AS (SELECT DISTINCT upper(CAST(n_nationkey AS VARCHAR)) AS s FROM nation UNION SELECT 'SUBMIT')
+SELECT host, segments, query_keys, location, name, CASE WHEN distinct_count = 1 THEN 'const' WHEN trim(lo) = '' THEN 'string' WHEN upper(trim(lo)) IN (SELECT s FROM k) THEN 'ticker' WHEN regexp_matches(lo, '^\\d{4}-\\d{2}-\\d{2}$') THEN 'date'
+  WHEN regexp_matches(lo, '^\\d+$') THEN CASE WHEN length(lo) = 10 AND TRY_CAST(lo AS BIGINT) BETWEEN 1000000000 AND 2000000000 THEN 'epoch' ELSE 'int_id' END ELSE 'string' END AS inferred_type, distinct_count > 1 AS is_variable, distinct_count, sample_values
+FROM g WHERE distinct_count > 1 OR location = 'query'""")
+def _(t):
+    universe = t.nation.select(F.col("n_nationkey").cast("string").alias("symbol")).union(t.spark.range(1).select(F.lit("submit").alias("symbol")))
+    return ld.url_params(t.pages, universe)
+
+
 @query("A14_url_clean_triage", sql="""
 , u AS (SELECT regexp_replace(trim(CASE WHEN page_id % 3 = 0 THEN replace(url, '://', ':////') ELSE url END), '^(https?):/+', '\\1://') AS url FROM pages),
 c AS (SELECT lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)) || CASE WHEN regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/{2,}', '/', 'g') = '' THEN '/' ELSE regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/{2,}', '/', 'g') END || regexp_extract(url, '(\\?[^#]*)', 1) AS clean FROM u)
@@ -174,6 +188,24 @@ def _(t):
     return ld.profile_json_fields(t.ticks.select("symbol", text.alias("payload")), "payload", "symbol", old)
 
 
+@query("A15_profile_nested_fields", uses="ticks", doubles="fill_rate min max mean overlap", sql="""
+, p AS (SELECT symbol, 'a.k' AS path, 'number' AS kind, CAST(k AS VARCHAR) AS v, CAST(k AS DOUBLE) AS x, event_id FROM ticks UNION ALL SELECT symbol, 'a.tags', 'string', symbol, NULL, event_id FROM ticks UNION ALL SELECT symbol, 'a.tags.s', 'string', 'u' || user_id, NULL, event_id FROM ticks
+  UNION ALL SELECT symbol, 'a.tags.n', 'number', CAST(k + 1 AS VARCHAR), k + 1.0, event_id FROM ticks WHERE user_id % 3 = 0 UNION ALL SELECT symbol, 'a.tags.n', 'string', 'n/a', NULL, event_id FROM ticks WHERE user_id % 3 <> 0
+  UNION ALL SELECT symbol, 'user', 'number', CAST(user_id AS VARCHAR), CAST(user_id AS DOUBLE), event_id FROM ticks WHERE user_id % 2 = 0 UNION ALL SELECT symbol, 'flag', 'other', 'true', NULL, event_id FROM ticks UNION ALL SELECT symbol, 'none', 'other', NULL, NULL, event_id FROM ticks),
+n AS (SELECT symbol, count(*) AS n FROM ticks GROUP BY 1), known AS (SELECT 'CLICK' AS s UNION SELECT 'U7'),
+g AS (SELECT symbol, path, count(*) FILTER (WHERE kind = 'number') AS nums, count(*) FILTER (WHERE kind = 'string') AS texts, count(*) FILTER (WHERE kind = 'string' AND upper(v) IN (SELECT s FROM known)) AS met, count(DISTINCT event_id) AS present, count(DISTINCT v) + max(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS cardinality, min(x) AS lo, max(x) AS hi, avg(x) AS m FROM p GROUP BY 1, 2)
+SELECT g.symbol, path, CASE WHEN nums > 0 AND nums >= texts THEN 'numeric' WHEN texts > 0 THEN 'string' ELSE 'other' END AS dtype, present / n AS fill_rate, cardinality, CASE WHEN nums > 0 AND nums >= texts THEN lo END AS min, CASE WHEN nums > 0 AND nums >= texts THEN hi END AS max, CASE WHEN nums > 0 AND nums >= texts THEN m END AS mean,
+  CASE WHEN texts > 0 THEN met / texts ELSE 0 END AS overlap, path NOT IN ('user', 'a.k') AS is_new FROM g JOIN n ON n.symbol = g.symbol""")
+def _(t):
+    user, k = F.col("user_id").cast("string"), F.col("k")
+    number = F.when(F.col("user_id") % 3 == 0, (k + 1).cast("string")).otherwise('"n/a"')
+    tags = F.concat(F.lit('["'), "symbol", F.lit('",{"s":"u'), user, F.lit('","n":'), number, F.lit("}]"))
+    text = F.concat(F.lit('{"a":{"k":'), k.cast("string"), F.lit(',"tags":'), tags, F.lit("}"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(',"user":'), user)).otherwise(""), F.lit(',"flag":true,"none":null}'))
+    old = t.ticks.select("symbol", F.explode(F.array(F.lit("user"), F.lit("a.k"))).alias("path")).distinct()
+    universe = t.spark.createDataFrame([("Click",), ("U7",)], "symbol string")
+    return ld.profile_nested_fields(t.ticks.select("symbol", text.alias("payload")), "payload", "symbol", universe, old)
+
+
 @query("A16_payload_features", doubles="balance score", sql="SELECT c_custkey AS symbol, c_acctbal AS balance, CASE WHEN c_custkey % 3 <> 0 THEN c_nationkey * 1.5 END AS score FROM customer")
 def _(t):
     one = t.customer.select(F.col("c_custkey").alias("symbol"), F.lit("header").alias("endpoint"), F.concat(F.lit('{"data":{"summary":{"bal":'), F.col("c_acctbal").cast("string"), F.lit("}}}")).alias("payload"))

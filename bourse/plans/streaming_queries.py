@@ -1,10 +1,13 @@
 """Streaming queries: a file source over the events, run to completion, read back as tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bourse.operators import indicators as ind
+from bourse.operators import prefix
 from bourse.plans.registry import query
 from bourse.plans.sqltext import prev
+from bourse.session import written
 from bourse.streaming import live, sinks, state
 
 
@@ -61,6 +64,35 @@ def _(t):
     return on_time.unionByName(sinks.read_rows(t.spark, folder, stream.schema, "late").withColumn("side", F.lit("late"))).groupBy("side").agg(F.count("*").alias("rows"))
 
 
+LATE_SLICES = 4  # by time; every twentieth row comes one slice late
+SLICED = f"""
+, o AS (SELECT *, ntile({LATE_SLICES}) OVER (ORDER BY ts, event_id) - 1 AS q FROM events),
+sl AS (SELECT *, CASE WHEN event_id % 20 = 0 THEN least(q + 1, {LATE_SLICES - 1}) ELSE q END AS slice FROM o)"""
+
+
+def sliced_stream(t, name: str):
+    """The events as a source of four batches by time, in which every twentieth row comes with the batch after its own."""
+    quarter = prefix.ntiles(t.events, [], "ts", "event_id", LATE_SLICES, "q")
+    number = F.when(F.col("event_id") % 20 == 0, F.least(F.col("q"), F.lit(LATE_SLICES - 1))).otherwise(F.col("q") - 1)
+    folder = sinks.work_folder(t.spark, name)
+    rows = written(quarter.select(*t.events.columns, number.alias("_slice")), "slices")
+    places = sinks.slices_of(rows, F.col("_slice"), LATE_SLICES, f"{folder}/source")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(places)
+    return folder, stream.select("event_id", F.col("event_type").alias("symbol"), "user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("double").alias("size"))
+
+
+@query("S5_late_rows", sql=SLICED + """
+, m AS (SELECT *, (SELECT max(ts) FROM sl b WHERE b.slice < a.slice) AS newest FROM sl a)
+SELECT CASE WHEN ts < newest - INTERVAL 10 MINUTE THEN 'late' ELSE 'main' END AS side, slice, count(*) AS rows FROM m GROUP BY 1, 2""")
+def _(t):
+    """Four batches; rows that come after a later batch's watermark go to the side table, batch by batch."""
+    folder, stream = sliced_stream(t, "late-rows")
+    sinks.run_available(stream, folder, each=sinks.split_late("ts", 600))
+    shape = f"{stream.schema.simpleString()[7:-1].replace(':', ' ')}, batch_id bigint"
+    sides = [t.spark.read.schema(shape).parquet(f"{folder}/{part}").withColumn("side", F.lit(side)) for part, side in (("rows", "main"), ("late", "late"))]
+    return sides[0].union(sides[1]).groupBy("side", F.col("batch_id").alias("slice")).agg(F.count("*").alias("rows"))
+
+
 @query("S6_stream_enrich", uses="ticks", doubles="price typical", sql="SELECT event_id, t.symbol, price, typical FROM ticks t LEFT JOIN (SELECT event_type AS symbol, avg(value) AS typical FROM events WHERE event_type <> 'error' GROUP BY 1) d ON d.symbol = t.symbol")
 def _(t):
     dims = t.events.where("event_type <> 'error'").groupBy(F.col("event_type").alias("symbol")).agg(F.avg("value").alias("typical"))
@@ -117,6 +149,46 @@ def _(t):
     return live.regime_nowcast(readings, ["day"], {"click": 0.5, "view": 0.3, "error": 0.2}, 3600)
 
 
+@query("S12_regime_stream", doubles="score", sql=f"""
+, d AS (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, time_bucket(INTERVAL 1 DAY, ts) AS cycle FROM events),
+n AS (SELECT cycle, event_type AS source, arg_max(k / 100.0, row(ts, event_id)) AS v, max(ts) AS newest FROM d WHERE cycle + INTERVAL 1 DAY <= {CLOSED} GROUP BY 1, 2),
+f AS (SELECT cycle, v, CASE source WHEN 'click' THEN CASE WHEN cycle < TIMESTAMP '2024-01-15' THEN 0.5 ELSE 0.1 END WHEN 'view' THEN 0.3 WHEN 'error' THEN 0.2 ELSE 0 END AS w FROM n WHERE epoch(cycle + INTERVAL 1 DAY) - epoch(date_trunc('second', newest)) <= 7200),
+g AS (SELECT cycle, round(sum(w * v) / nullif(sum(w), 0), 9) AS score, count(*) AS sources FROM f GROUP BY 1)
+SELECT *, CASE WHEN score >= 0.6 THEN 'RISK_ON' WHEN score <= 0.4 THEN 'RISK_OFF' ELSE 'NEUTRAL' END AS regime FROM g""")
+def _(t):
+    """Two keyed steps in one query, with weights that change on a day."""
+    change = "TIMESTAMP '2024-01-15 00:00:00'"
+    weights = t.spark.sql(f"""SELECT * FROM VALUES ('click', 0.5D, TIMESTAMP '1970-01-01 00:00:00', {change}), ('click', 0.1D, {change}, NULL),
+        ('view', 0.3D, TIMESTAMP '1970-01-01 00:00:00', NULL), ('error', 0.2D, TIMESTAMP '1970-01-01 00:00:00', NULL) AS w(source, weight, since, until)""")
+    readings = tick_stream(t).select("event_id", F.col("symbol").alias("source"), (F.col("size") / 100.0).alias("value"), "ts")
+    return run(t, "regime", live.regime_stream(readings, weights, "1 day", "10 minutes", 7200))
+
+
+def scan_closed_days(stream, folder, share: float, gap: float = -0.02):
+    """Scan each day once it has closed, against the closes that earlier batches and days left."""
+    def each(batch, folder, batch_id):
+        spark = batch.sparkSession
+        sinks.idempotent(batch, folder, batch_id, "bars")
+        bars = spark.read.schema(batch.schema).parquet(f"{folder}/bars/batch_id={batch_id}")
+        before = sinks.with_previous("bars", ["symbol"], "close", "date", spark)(bars, folder, batch_id)
+        prior = F.lag("close").over(Window.partitionBy("symbol").orderBy("date"))  # several days may close in one batch
+        days = before.withColumn("prev_close", F.coalesce(prior, "previous_close"))
+        sinks.idempotent(live.capitulation_scan(days, gap, share).select("symbol", "date", "ret"), folder, batch_id)
+    sinks.run_available(live.daily_bars_stream(stream, "10 minutes"), folder, each=each)
+
+
+@query("S14_capitulation_stream", doubles="ret", sql=f"""
+, b AS (SELECT event_type || ':' || (user_id % 20) AS symbol, CAST(ts AS DATE) AS date, arg_min(value, row(ts, event_id)) AS open, min(value) AS low, arg_max(value, row(ts, event_id)) AS close FROM events WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= {CLOSED} GROUP BY 1, 2),
+p AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS pc FROM b), r AS (SELECT *, close / pc - 1 AS ret FROM p WHERE pc IS NOT NULL AND pc <> 0),
+k AS (SELECT *, percent_rank() OVER (PARTITION BY date ORDER BY ret) AS pr FROM r)
+SELECT symbol, date, ret FROM k WHERE open / pc - 1 <= -0.02 AND open <= low AND pr <= 0.3""")
+def _(t):
+    folder = sinks.work_folder(t.spark, "capitulation")
+    ticks = tick_stream(t).withColumn("symbol", F.concat_ws(":", "symbol", (F.col("user_id") % 20).cast("string")))
+    scan_closed_days(ticks, folder, share=0.3)
+    return t.spark.read.schema("symbol string, date date, ret double").parquet(f"{folder}/rows").select("symbol", "date", "ret")
+
+
 def rank_closed(stream, folder):
     """Rank the hours that have closed; all rows of an hour come out of the aggregation in the same batch."""
     def each(batch, folder, batch_id):

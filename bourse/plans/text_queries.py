@@ -1,10 +1,14 @@
 """Queries for text, identity and graph operators."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bourse.operators import identity as idn
+from bourse.operators import search
 from bourse.operators import text as tx
 from bourse.plans.registry import query
+from bourse.session import checkpoint_folder
 
 NORM = "trim(regexp_replace(lower({x}), '[^a-z0-9&]+', ' ', 'g'))"
 ALIASES = f"""
@@ -114,7 +118,7 @@ def _(t):
 s AS (SELECT qid, vec_id, round(list_dot_product(e.embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 9) AS similarity FROM embeddings e, q)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def _(t):
-    return tx.vector_topk(t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings.select("vec_id", F.col("embedding").alias("v")), 5)
+    return search.vector_topk(t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings.select("vec_id", F.col("embedding").alias("v")), 5)
 
 
 @query("T9_vector_topk_hundredth", doubles="similarity", sql="""
@@ -123,7 +127,16 @@ s AS (SELECT qid, vec_id, round(list_dot_product(e.embedding::DOUBLE[], q::DOUBL
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def _(t):
     """Every hundredth vector against all, so the queries grow with the table."""
-    return tx.vector_topk(t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings.select("vec_id", F.col("embedding").alias("v")), 5)
+    return search.vector_topk(t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), t.embeddings.select("vec_id", F.col("embedding").alias("v")), 5)
+
+
+@query("T9_inverted_file", doubles="similarity")
+def _(t):
+    """Every hundredth vector through a stored inverted file: approximate, its recall is tested against the exact search."""
+    vectors = t.embeddings.select("vec_id", F.col("embedding").alias("v"))
+    folder = f"{checkpoint_folder(t.spark)}/vector-index-{uuid.uuid4().hex}"
+    search.write_vector_index(vectors, folder, lists=64)
+    return search.search_vector_index(t.spark, folder, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("q")), 5, probes=16)
 
 
 @query("T10_build_documents", sql="""
@@ -143,6 +156,22 @@ def _(t):
     return tx.keyword_search(t.documents, ["that", "with"], {"text": 1.0, "source": 3.0}, "doc_id", 20)
 
 
+@query("T11_keyword_index", doubles="score", sql=f"""
+, d AS (SELECT doc_id, list_filter(string_split({NORM.format(x='text')}, ' '), lambda w: w <> '') AS w, list_filter(string_split({NORM.format(x='source')}, ' '), lambda w: w <> '') AS s FROM documents),
+l AS (SELECT *, greatest(len(w) + len(s), 1) AS l FROM d), a AS (SELECT count(*) AS n, avg(l) AS al FROM l),
+p AS (SELECT doc_id, l, term, sum(f) AS tf FROM (SELECT doc_id, l, unnest(w) AS term, 1.0 AS f FROM l UNION ALL SELECT doc_id, l, unnest(s), 3.0 FROM l) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT DISTINCT doc_id AS qid, unnest(w[1 : 8]) AS term FROM d WHERE doc_id % 100 = 0),
+s AS (SELECT qid, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 9) AS score FROM q JOIN df USING (term) JOIN p USING (term), a GROUP BY 1, 2)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
+def _(t):
+    """The first words of every hundredth document as a query over a stored inverted index."""
+    folder = f"{checkpoint_folder(t.spark)}/text-index-{uuid.uuid4().hex}"
+    search.write_text_index(t.documents, folder, {"text": 1.0, "source": 3.0}, "doc_id")
+    words = F.filter(F.split(tx.norm("text"), " "), lambda w: w != "")
+    asked = t.documents.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.explode(F.slice(words, 1, 8)).alias("term"))
+    return search.search_text_index(t.spark, folder, asked, 10).withColumnRenamed("doc", "doc_id")
+
+
 @query("T12_sentiment_fusion", uses="preds", doubles="tone_score conflict", sql="""
 , m AS (SELECT doc_id, p AS ap, 1 - p AS an, p * p AS bp, (1 - p) * (1 - p) AS bn, 2 * p * (1 - p) AS bz FROM preds)
 SELECT doc_id, CASE WHEN bp >= bn AND bp >= bz THEN 'positive' WHEN bn >= bz THEN 'negative' ELSE 'neutral' END AS tone_label, bp - bn AS tone_score, abs((ap - an) - (bp - bn)) / 2 AS conflict FROM m""")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from bourse.functions.frames import finite, ratio
 from bourse.functions.scalar import parse_date, parse_number
+from bourse.session import written
 
 
 def read_bars(spark: SparkSession, path: str, start: str, end: str, include_suspect: bool = False) -> DataFrame:
@@ -159,6 +160,41 @@ def url_templates(urls: DataFrame, url: str = "url") -> DataFrame:
     return counts.join(paths, key, "left").select(*key, F.concat(F.lit("/"), F.coalesce("path", F.lit(""))).alias("template"), "urls")
 
 
+def _classified(v, ticker) -> Column:
+    """Kind of a value: a known symbol, a date, seconds since 1970 (2001 to 2033), a number, else text."""
+    epoch = (F.length(v) == 10) & v.try_cast("long").between(1_000_000_000, 2_000_000_000)
+    number = F.rlike(v, F.lit(r"^\d+$"))
+    return F.when(F.trim(v) == "", "string").when(ticker, "ticker").when(F.rlike(v, F.lit(r"^\d{4}-\d{2}-\d{2}$")), "date").when(number & epoch, "epoch").when(number, "int_id").otherwise("string")
+
+
+def url_params(urls: DataFrame, universe: DataFrame, url: str = "url", samples: int = 5) -> DataFrame:
+    """The parameters of each endpoint template: every path position that varies and every query key.
+
+    A template is a prefix tree cut at host, path length and set of query keys; a node of it varies where more than one
+    value stands at its place. A parameter's kind is that of its first value, `const` for a query key with one value;
+    values that are symbols of `universe` (symbol, in any case) make a ticker. Columns: host, segments, query_keys,
+    location (path or query), name, inferred_type, is_variable, distinct_count, sample_values (the first few, in order).
+    """
+    host = F.regexp_extract(url, r"^[A-Za-z]+://([^/?#]+)", 1)
+    segs = F.filter(F.split(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]+([^?#]*)", 1), "/"), lambda s: s != "")
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), c)
+    pairs = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda p: p != "")
+    named = F.transform(pairs, lambda p: F.struct(F.lit("query").alias("location"), decoded(F.substring_index(p, "=", 1)).alias("name"), decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value")))
+    placed = F.transform(segs, lambda s, i: F.struct(F.lit("path").alias("location"), F.concat(F.lit("path_"), i.cast("string")).alias("name"), s.alias("value")))
+    keys = F.array_join(F.array_sort(F.transform(pairs, lambda p: F.split(p, "=")[0])), ",")
+    rows = urls.where(F.trim(url) != "").select(host.alias("host"), F.size(segs).alias("segments"), keys.alias("query_keys"), F.explode(F.concat(placed, named)).alias("_p"))
+    spot = ["host", "segments", "query_keys", "location", "name"]
+    values = rows.select(*spot[:3], "_p.*").distinct()  # equal values of a place fold before anything is counted or listed
+    facts = values.groupBy(*spot).agg(F.count("*").alias("distinct_count"), F.min("value").alias("_first"))
+    order = Window.partitionBy(*spot).orderBy("value")
+    some = values.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= samples).groupBy(*spot).agg(F.array_sort(F.collect_list("value")).alias("sample_values"))
+    symbols = universe.select(F.upper("symbol").alias("_symbol")).distinct().withColumn("_known", F.lit(True))
+    typed = facts.join(symbols, F.upper(F.trim("_first")) == F.col("_symbol"), "left").withColumn("is_variable", F.col("distinct_count") > 1)
+    kind = F.when(F.col("is_variable"), _classified(F.col("_first"), F.col("_known").isNotNull())).otherwise("const")
+    out = typed.join(some, spot).where("is_variable or location = 'query'")
+    return out.select(*spot, kind.alias("inferred_type"), "is_variable", "distinct_count", "sample_values")
+
+
 def url_triage(urls: DataFrame, families, url: str = "url") -> DataFrame:
     """Cleaned distinct URLs with the first family whose host and path patterns match."""
     rows = urls.select(clean_url(url).alias("clean")).groupBy("clean").agg(F.count("*").alias("seen"))
@@ -183,10 +219,67 @@ def profile_json_fields(df: DataFrame, payload: str, group: str, previous: DataF
     return out.join(previous.select(group, "path").distinct().withColumn("_old", F.lit(True)), [group, "path"], "left").withColumn("is_new", F.col("_old").isNull()).drop("_old")
 
 
+def json_leaves(df: DataFrame, payload: str, keep) -> DataFrame:
+    """(*keep, _row, path, kind, value): every scalar of nested payloads, whatever their depth.
+
+    Object keys join to a dotted path; a list's items stand under the list's own path. A level of all payloads is opened
+    at a time, and each is written, so the plan stays short. kind is number, string or other; value is the scalar as
+    text. Payloads that are no JSON have no leaves.
+    """
+    v = F.schema_of_variant("_v")
+    nested = F.startswith(v, F.lit("OBJECT")) | F.startswith(v, F.lit("ARRAY"))
+    level = df.where(F.col(payload).isNotNull()).select(*keep, F.monotonically_increasing_id().alias("_row"), F.lit("").alias("path"), F.try_parse_json(payload).alias("_v"))
+    level, leaves = written(level.where("_v is not null"), "payloads"), None
+    kind = F.when(F.rlike(v, F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), "number").when(v == "STRING", "string").otherwise("other")
+    while True:
+        some = level.where(~nested).select(*keep, "_row", "path", kind.alias("kind"), F.expr("try_variant_get(_v, '$', 'string')").alias("value"))
+        leaves = some if leaves is None else leaves.union(some)
+        deeper = level.where(nested)
+        if deeper.isEmpty():
+            return leaves
+        opened = deeper.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()).alias("_e"))
+        path = F.when(F.col("_e.key").isNull(), F.col("path")).when(F.col("path") == "", F.col("_e.key")).otherwise(F.concat_ws(".", "path", "_e.key"))
+        level = written(opened.select(*keep, "_row", path.alias("path"), F.col("_e.value").alias("_v")), "payloads")
+
+
+def profile_nested_fields(df: DataFrame, payload: str, group: str, universe: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Per path of nested payloads: type, fill rate, cardinality, numeric range, share of symbols, whether it is new.
+
+    A path is numeric where numbers are at least as many as texts (min, max and mean are then given), else string where
+    it has texts, else other. fill_rate: the share of the group's payloads that hold it; overlap: the share of its texts
+    that are symbols of `universe` in any case.
+    """
+    sizes = df.where(F.length(payload) > 0).groupBy(group).agg(F.count("*").alias("_responses"))
+    leaves = written(json_leaves(df, payload, [group]), "leaves")
+    # Equal values of a payload's path fold first; presence and distinct values are then counted exactly in two steps.
+    held = leaves.select(group, "path", "_row").distinct().groupBy(group, "path").agg(F.count("*").alias("_present"))
+    values = leaves.groupBy(group, "path", "kind", "value").agg(F.count("*").alias("_n"))
+    symbols = universe.select(F.upper("symbol").alias("_symbol")).distinct().withColumn("_known", F.lit(1))
+    values = values.join(symbols, (F.col("kind") == "string") & (F.upper("value") == F.col("_symbol")), "left")
+    of = lambda k, x="_n": F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(x))), F.lit(0))
+    x = F.when(F.col("kind") == "number", F.col("value").try_cast("double"))
+    facts = values.groupBy(group, "path").agg(
+        of("number").alias("_numbers"), of("string").alias("_texts"), F.sum(F.when(F.col("kind") == "string", F.col("_n") * F.coalesce("_known", F.lit(0)))).alias("_met"),
+        F.countDistinct("value").alias("_distinct"), F.max(F.col("value").isNull().cast("int")).alias("_null"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.sum(x * F.col("_n")).alias("_sum"))
+    numeric = (F.col("_numbers") > 0) & (F.col("_numbers") >= F.col("_texts"))
+    out = facts.join(held, [group, "path"]).join(sizes, group).select(
+        group, "path", F.when(numeric, "numeric").when(F.col("_texts") > 0, "string").otherwise("other").alias("dtype"), ratio("_present", "_responses").alias("fill_rate"), (F.col("_distinct") + F.col("_null")).alias("cardinality"),
+        F.when(numeric, F.col("_lo")).alias("min"), F.when(numeric, F.col("_hi")).alias("max"), F.when(numeric, ratio("_sum", "_numbers")).alias("mean"), F.coalesce(ratio("_met", "_texts"), F.lit(0.0)).alias("overlap"))
+    if previous is None:
+        return out
+    return out.join(previous.select(group, "path").distinct().withColumn("_old", F.lit(True)), [group, "path"], "left").withColumn("is_new", F.col("_old").isNull()).drop("_old")
+
+
 def payload_features(responses: DataFrame, spec: dict) -> DataFrame:
-    """Endpoint payloads to one typed row per symbol; spec maps output to (endpoint, JSON path)."""
-    score = lambda path: F.when(F.get_json_object("payload", path).try_cast("double").between(-1e6, 1e6), F.get_json_object("payload", path).try_cast("double"))
-    return responses.groupBy("symbol").agg(*[F.max(F.when(F.col("endpoint") == e, score(path))).alias(out) for out, (e, path) in spec.items()])
+    """Endpoint payloads to one typed row per symbol; spec maps output to (endpoint, JSON path).
+
+    Payloads are parsed once. A list or a scalar where an object is expected, text that is no number and payloads that
+    are no JSON give nulls, as do values of a million or more, which vendors use as marks.
+    """
+    rows = responses.select("symbol", "endpoint", F.try_parse_json("payload").alias("_v"))
+    got = lambda path: F.try_variant_get("_v", path, "double")
+    score = lambda path: F.when(got(path).between(-1e6, 1e6), got(path))
+    return rows.groupBy("symbol").agg(*[F.max(F.when(F.col("endpoint") == e, score(path))).alias(out) for out, (e, path) in spec.items()])
 
 
 def retention(parents: DataFrame, children: DataFrame, key: str, date: str, since: Column) -> DataFrame:

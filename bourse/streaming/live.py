@@ -57,6 +57,36 @@ def regime_nowcast(readings: DataFrame, by, weights: dict, max_age_seconds: int)
     return out.withColumn("regime", F.when(F.col("score") >= 0.6, "RISK_ON").when(F.col("score") <= 0.4, "RISK_OFF").otherwise("NEUTRAL"))
 
 
+def closed_readings(readings: DataFrame, width: str, delay: str) -> DataFrame:
+    """(cycle, source, value, ts, now): each source's newest reading of a cycle (ties: largest event_id), once the watermark has passed its end."""
+    out = readings.withWatermark("ts", delay).groupBy(F.window("ts", width), "source").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("_newest"))
+    return out.select("window", F.window_time("window").alias("closed"), "source", "value", "_newest")
+
+
+def regime_stream(readings: DataFrame, weights: DataFrame, width: str, delay: str, max_age_seconds: int) -> DataFrame:
+    """(cycle, score, sources, regime) of each closed cycle, in one query of two keyed steps.
+
+    The first step keeps each source's newest reading of the open cycles, so a cycle comes to the second as a row per
+    source. Weights (source, weight, since, until) are a versioned table: a cycle takes the version valid at its end;
+    sources without one weigh nothing. Readings too old at the end of the cycle are left out, as in `regime_nowcast`.
+    """
+    newest = closed_readings(readings, width, delay)
+    end = F.col("window.end")
+    fresh = newest.where(F.unix_timestamp(end) - F.unix_timestamp("_newest") <= max_age_seconds)
+    versions = weights.select(F.col("source").alias("_of"), "weight", "since", "until")
+    valid = (F.col("source") == F.col("_of")) & (F.col("since") <= F.col("closed")) & (F.col("until").isNull() | (F.col("closed") < F.col("until")))
+    weighed = fresh.join(versions, valid, "left").withColumn("_w", F.coalesce("weight", F.lit(0.0)))
+    out = weighed.groupBy(F.window("closed", width).alias("cycle")).agg(F.sum(F.col("_w") * F.col("value")).alias("_v"), F.sum("_w").alias("_w"), F.count("*").alias("sources"))
+    out = out.select(F.col("cycle.start").alias("cycle"), F.round(ratio("_v", "_w"), 9).alias("score"), "sources")
+    return out.withColumn("regime", F.when(F.col("score") >= 0.6, "RISK_ON").when(F.col("score") <= 0.4, "RISK_OFF").otherwise("NEUTRAL"))
+
+
+def daily_bars_stream(ticks: DataFrame, delay: str) -> DataFrame:
+    """Open, high, low and close per symbol and day; all bars of a day come out in the batch that closes it."""
+    bars = bars_stream(ticks, "1 day", delay)
+    return bars.select("symbol", F.col("start").cast("date").alias("date"), "open", "high", "low", "close")
+
+
 def closed_cycles(quotes: DataFrame, width: str, delay: str) -> DataFrame:
     """Mean price and count per cycle and symbol, each once, when the watermark has passed the cycle's end."""
     out = quotes.withWatermark("ts", delay).groupBy(F.window("ts", width), "symbol").agg(F.avg("price").alias("score"), F.count("*").alias("n"))

@@ -16,15 +16,16 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", each=None) -> None:
-    """Process everything available and stop. `each(batch, folder, batch_id)` handles the batches itself;
-    without it the rows are appended to parquet by the file sink."""
+def run_available(stream: DataFrame, folder: str, mode: str = "append", each=None):
+    """Process everything available and stop; returns the ended query. `each(batch, folder, batch_id)` handles the
+    batches itself; without it the rows are appended to parquet by the file sink."""
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
     if each is None:
         query = writer.format("parquet").option("path", f"{folder}/rows").start()
     else:
         query = writer.foreachBatch(lambda batch, batch_id: each(batch, folder, batch_id)).start()
     query.awaitTermination()
+    return query
 
 
 def read_rows(spark: SparkSession, folder: str, schema, part: str = "rows") -> DataFrame:
@@ -58,6 +59,30 @@ def compact_latest(spark: SparkSession, folder: str, schema, keys, order: str, v
     return path
 
 
+def slices_of(rows: DataFrame, number, slices: int, folder: str, files: int = 1) -> str:
+    """The table as a source of `slices` batches: slice after slice by `number` (0 on), `files` files each, in order of time."""
+    for k in range(slices):
+        rows.where(number == k).repartition(files).write.parquet(f"{folder}/slice={k}")
+    return f"{folder}/*"
+
+
+def with_previous(part: str, keys, value: str, order: str, spark: SparkSession):
+    """For batch handlers: the newest `value` per key that earlier batches left in `part`, as previous_<value>.
+
+    Only directories of earlier batches count, so a replayed batch sees what it saw the first time.
+    """
+    def joined(batch: DataFrame, folder: str, batch_id: int) -> DataFrame:
+        kind = batch.schema[value].dataType.simpleString()
+        shape = ", ".join(f"{k} {batch.schema[k].dataType.simpleString()}" for k in [*keys, order])
+        if batch_id == 0:
+            return batch.withColumn(f"previous_{value}", F.lit(None).cast(kind))
+        kept = spark.read.schema(f"{shape}, {value} {kind}, batch_id long").parquet(f"{folder}/{part}").where(F.col("batch_id") < batch_id)
+        newest = kept.groupBy(*keys).agg(F.max_by(value, order).alias(f"previous_{value}"))
+        return batch.join(newest, list(keys), "left")
+
+    return joined
+
+
 def split_late(event_time: str, delay_seconds: int):
     """Rows older than the newest event of earlier batches minus the delay go to a side table, none are lost."""
     def each(batch: DataFrame, folder: str, batch_id: int) -> None:
