@@ -14,6 +14,7 @@ hash stands in every pack and is checked before a frame is opened.
 import gc
 import hashlib
 import itertools
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -36,13 +37,44 @@ PACK = 1 << 20  # bytes of ids after which a pack is closed; a longer document h
 DICTIONARY = 1 << 16  # bytes of the dictionary at most
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 14  # documents that train the dictionary, about, and the longest text among them
 LEVEL = 3
+NOT_PLAIN = re.compile("[^!-\u024f\u2010-\u2027\u2030-\u205e]").search
+
+
+def plain_pieces(path: str):
+    """A function that cuts a plain chunk into the pieces that the tokenizer's model gets, or None where its parts are others than these.
+
+    Plain: printable characters below U+0250 and general punctuation, which are in composed form and whose classes are
+    settled. There normalising is lower-casing, and the pieces are the pattern's matches, as bytes in the printable alphabet.
+    """
+    import json
+
+    import regex
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    normal = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"}
+    if not known or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
+        return None
+    find = regex.compile(cuts[0]["pattern"]["Regex"]).findall
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from U+0100 on
+    hidden = [x for x in range(256) if x not in set(shown)]
+    alphabet = {x: x for x in shown} | {x: 256 + k for k, x in enumerate(hidden)}
+
+    def pieces(chunk: str) -> list[str]:
+        lowered = chunk.lower()
+        found = [lowered] if lowered.isalpha() else find(lowered)
+        return found if lowered.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(alphabet) for p in found]
+
+    return pieces
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so that what stands between spaces encodes alone; each such chunk once while remembered.
 
-    The library's normaliser, pre-tokeniser and model are applied to the new chunks of many texts at a time; chunks
-    with an added token or characters that are not printable go through its whole encoder instead.
+    New chunks of plain characters are cut as the tokenizer cuts them, and each new piece goes to its model once; other
+    chunks, and those with an added token, go through the library's whole encoder.
     """
 
     def __init__(self, path: str):
@@ -53,49 +85,38 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.octets = [i.to_bytes(self.width, "little") for i in range(self.whole.get_vocab_size())]
+        self.cut = plain_pieces(path)
         self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def learn(self, new: list[str]) -> None:
-        joined, odd = " ".join(new), set()
-        if not joined.isprintable() or any(a in joined for a in self.added):
-            odd = {c for c in new if not c.isprintable() or any(a in c for a in self.added)}
-            new = [c for c in new if c not in odd]
-            joined = " ".join(new)
-        said = self.whole.normalizer.normalize_str(joined) if self.whole.normalizer else joined
-        parts = said.split(" ")
-        if len(parts) == len(new):
-            self.learn_parts([p for p in dict.fromkeys(parts) if p not in self.parts])
-            self.chunks.update(zip(new, map(self.parts.__getitem__, parts), strict=True))
-        else:
-            odd.update(new)
+        joined, odd = "".join(new), set()
+        if self.cut is None:
+            odd = set(new)
+        elif not joined.isprintable() or NOT_PLAIN(joined) or any(a in joined for a in self.added):
+            odd = {c for c in new if not c.isprintable() or NOT_PLAIN(c) or any(a in c for a in self.added)}
+        chunks, known, cut = self.chunks, self.pieces, self.cut
+        for c in new:
+            if c not in odd:
+                try:
+                    chunks[c] = b"".join([known[p] for p in cut(c)])
+                except KeyError:
+                    chunks[c] = b"".join([known[p] if p in known else self.learn_piece(p) for p in cut(c)])
         for c in odd:
-            self.chunks[c] = self.packed(self.whole.encode(c, add_special_tokens=False).ids)
-
-    def learn_parts(self, parts: list[str]) -> None:
-        """Ids of normalised chunks: their pieces by the library's pre-tokeniser, each piece by its model once."""
-        pieces, tokenize, octets = self.pieces, self.whole.model.tokenize, self.octets
-        found: list[list[bytes]] = [[] for _ in parts]
-        ends = list(itertools.accumulate(len(p) + 1 for p in parts))
-        k = 0
-        for piece, (at, _) in self.whole.pre_tokenizer.pre_tokenize_str(" ".join(parts)) if parts else ():
-            while at >= ends[k]:
-                k += 1
-            b = pieces.get(piece)
-            if b is None:
-                b = pieces[piece] = b"".join([octets[t.id] for t in tokenize(piece)])
-            found[k].append(b)
-        self.parts.update(zip(parts, map(b"".join, found), strict=True))
+            chunks[c] = self.packed(self.whole.encode(c, add_special_tokens=False).ids)
+
+    def learn_piece(self, piece: str) -> bytes:
+        found = self.pieces[piece] = b"".join([self.octets[t.id] for t in self.whole.model.tokenize(piece)])
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialised ids of each text; no text gives none."""
         cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.chunks) > KEPT:
-            self.chunks, self.parts, self.pieces = {"": b""}, {}, {}
+            self.chunks, self.pieces = {"": b""}, {}
         self.chunks.setdefault("", b"")
         new = list(set().union(*cut).difference(self.chunks))
         for k in range(0, len(new), 1 << 14):
