@@ -1,12 +1,14 @@
 """Near copies by the Jaccard similarity of their shingle sets: fingerprints find candidates, the sets decide.
 
 Texts with equal sets are folded first. Fingerprints of distinct sets that differ in a wide radius of bits are linked as
-in bourse.llm.simhash; their components hold every pair that may be alike. Only there are sets built again and compared.
+in bourse.llm.simhash, where tiles of sets whose sizes rule out that they are alike do not meet; their components hold
+every pair that may be alike. Only there are sets built again and compared.
 A component is dealt into blocks of bounded size. Blocks link their own sets first, then pairs of blocks link what is not
 yet in one group; a link counts where the intersection says so, so one group of many copies costs little more than one
 comparison each, and what is not alike is compared in full.
 """
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -17,9 +19,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bourse.llm import simhash
 from bourse.llm.components import components
 from bourse.llm.shared import quoted, stored
+from bourse.llm.simhash import SALTS, fingerprint, near_links, shingle_hashes
 
 # Tasks get these functions by value, so they need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -33,33 +35,33 @@ def set_key(hashes: np.ndarray) -> tuple[int, int]:
     return int(x[0]), int(x[1])
 
 
-def _prints(docs: DataFrame, id: str, text: str, shingle: int, words: int) -> DataFrame:
-    """(_id, _a, _b, _n, _fp): key, size and fingerprint of each row's shingle set."""
+def _prints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(_id, _a, _b, _n, _fp): key, size and fingerprint of each row's shingle set, from (_id, _text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in batch.column(1):
-                own = np.unique(simhash.shingle_hashes(t.as_py(), shingle))  # repeats would outweigh all others in the votes
-                rows.append((*set_key(own), len(own), simhash.fingerprint(own, words)))
+                own = np.unique(shingle_hashes(t.as_py(), shingle))  # repeats would outweigh all others in the votes
+                rows.append((*set_key(own), len(own), fingerprint(own, words)))
             columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["_id", "_a", "_b", "_n", "_fp"])
 
-    kind = docs.schema[id].dataType.simpleString()
-    return docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")).mapInArrow(task, f"_id {kind}, _a bigint, _b bigint, _n bigint, _fp array<bigint>")
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.mapInArrow(task, f"_id {kind}, _a bigint, _b bigint, _n bigint, _fp array<bigint>")
 
 
-def _sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(_a, _b, _set): key and ordered hashes of each row's shingle set."""
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(_a, _b, _set), from (_id, _text): key and ordered hashes of each row's shingle set."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
-                own = np.unique(simhash.shingle_hashes(t.as_py(), shingle))
+                own = np.unique(shingle_hashes(t.as_py(), shingle))
                 a, b = set_key(own)
                 yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([b], pa.int64()), pa.array([own.view(np.int64)], pa.list_(pa.int64()))], names=["_a", "_b", "_set"])
 
-    return docs.select(quoted(text).alias("_text")).mapInArrow(task, "_a bigint, _b bigint, _set array<bigint>")
+    return docs.select("_text").mapInArrow(task, "_a bigint, _b bigint, _set array<bigint>")
 
 
 def alike_labels(labels: np.ndarray, prints: np.ndarray, sets: Sets, split: int, radius: int, alike: tuple[int, int]) -> np.ndarray:
@@ -139,27 +141,32 @@ def alike_links(blocks: DataFrame, words: int, radius: int, alike: tuple[int, in
     return links.union(pairs.select(*[c + name for name in ("_left", "_right") for c in [*parts, "_labels"]]).mapInArrow(between, "a bigint, b bigint"))
 
 
-def near_keepers(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, alike: tuple[int, int] = (4, 5), words: int = 4, radius: int = 72, tile: int = 1 << 14, block: int = 1 << 20) -> DataFrame:
+def near_keepers(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, alike: tuple[int, int] = (4, 5), words: int = 4, radius: int = 72, tile: int = 1 << 12, block: int = 1 << 20) -> DataFrame:
     """One row (component_id) per group of near copies, the smallest id in it; a row without any is its own group.
 
     Rows are linked where the Jaccard similarity of their sets of `shingle`-word shingles (as XXH64 values; words as in
     bourse.llm.simhash, texts with fewer are one shingle) is alike[0] / alike[1] or more, and groups are what links join.
     Texts without words are alike to each other only. Pairs whose fingerprints differ in more than `radius` of
-    64 * `words` bits are not looked at. Null ids count only where a group has no other. Empty in, empty out.
+    64 * `words` bits are not looked at, nor are sets of which one has too few members to be alike. Null ids count only
+    where a group has no other. Other columns are not read, so clashing names do no harm. Empty in, empty out.
     """
-    prints = stored(_prints(docs, id, text, shingle, words), "set-prints")
+    docs = docs.select(quoted(id).alias("_id"), quoted(text).alias("_text"))
+    prints = stored(_prints(docs, shingle, words), "set-prints")
     folded = prints.groupBy("_a", "_b").agg(F.min("_id").alias("_low"), F.first("_n").alias("_n"), F.first("_fp").alias("_fp"))
     reps = stored(folded.withColumn("_node", F.monotonically_increasing_id()), "distinct-sets")
-    wide = components(simhash.near_links(reps.select("_node", "_fp"), words, radius, 1, 16, tile))
+    # Sets alike to this share have sizes within it, so their logarithms to a base a little above its inverse lie in one or in neighbouring cells.
+    step = math.log(alike[1] / alike[0]) + 1e-6
+    scale = F.floor(F.log(F.greatest(F.col("_n"), F.lit(1))) / F.lit(step))
+    wide = components(near_links(reps.select("_node", "_fp", "_n"), words, radius, 1, 16, tile, scale))
 
     # A component may hold a third of all sets: its size is looked up under salted keys, so that no task meets a whole one.
-    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(simhash.SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
     seen = stored(wide.join(reps, wide["node"] == reps["_node"]).select("node", F.col("root").alias("_root"), "_a", "_b", "_n", "_low", "_fp").withColumn("_salt", salt), "candidates")
-    totals = seen.groupBy("_root").agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") / F.lit(block))).cast("int").alias("_blocks")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(simhash.SALTS - 1))))
+    totals = seen.groupBy("_root").agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") / F.lit(block))).cast("int").alias("_blocks")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     placed = seen.join(totals, ["_root", "_salt"]).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
 
     lows = seen.select(F.col("_low").alias("_want")).distinct()
-    sets = _sets(docs.join(lows, quoted(id).eqNullSafe(F.col("_want")), "left_semi"), text, shingle).dropDuplicates(["_a", "_b"])
+    sets = _sets(docs.join(lows, F.col("_id").eqNullSafe(F.col("_want")), "left_semi"), shingle).dropDuplicates(["_a", "_b"])
     rows = placed.join(sets, ["_a", "_b"]).groupBy("_root", "_block").agg(F.first("_blocks").alias("_blocks"), F.collect_list(F.struct("node", "_fp", "_n", "_set")).alias("_has"))
     blocks = stored(rows.select("_root", "_block", "_blocks", F.col("_has.node").alias("_nodes"), F.flatten("_has._fp").alias("_bits"), F.col("_has._n").alias("_sizes"), F.flatten("_has._set").alias("_hashes")), "blocks")
 

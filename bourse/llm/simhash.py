@@ -27,6 +27,7 @@ from bourse.llm.shared import quoted, stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PIECE = 1 << 15  # shingles whose bits are counted at once
+PAIRS = 24  # pairs of tiles for each task
 SALTS = 64  # keys over which a cell's fingerprints are dealt while its size is looked up
 
 
@@ -134,9 +135,17 @@ def spanning_links(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool,
     return nodes[moved], nodes[label[moved]]
 
 
-def near_links(reps: DataFrame, words: int, radius: int, segments: int, coarse: int, tile: int) -> DataFrame:
-    """(a, b): links among distinct fingerprints (_node, _fp) that join exactly those that pairs within the radius join."""
+def near_links(reps: DataFrame, words: int, radius: int, segments: int, coarse: int, tile: int, scale: Column | None = None) -> DataFrame:
+    """(a, b): links among distinct fingerprints (_node, _fp) that join exactly those that pairs within the radius join.
+
+    With `scale`, a whole number per row, only pairs whose numbers differ by one at most are asked for; others may be skipped.
+    """
     counts = F.transform(_segment_counts(words, segments), lambda c: F.floor(c / F.lit(coarse)).cast("int"))
+    offsets = _neighbours(segments, radius, coarse)
+    if scale is not None:
+        counts = F.concat(F.array(scale.cast("int")), counts)
+        both = offsets + [[-x for x in o] for o in offsets if any(o)]
+        offsets = [[0, *o] for o in offsets] + [[1, *o] for o in both]
     # A cell may hold a third of all fingerprints: its size is looked up under SALTS keys, so that no task meets a whole cell.
     cells = reps.withColumn("_cell", counts).withColumn("_salt", F.pmod(F.xxhash64("_node", F.lit(1)), F.lit(SALTS)).cast("int"))
     sizes = cells.groupBy("_cell").agg(F.count("*").alias("_in")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -144,12 +153,14 @@ def near_links(reps: DataFrame, words: int, radius: int, segments: int, coarse:
     tiles = stored(cut.groupBy("_cell", "_tile").agg(F.collect_list(F.struct("_node", "_fp")).alias("_has")).select("_cell", "_tile", F.col("_has._node").alias("_nodes"), F.flatten("_has._fp").alias("_bits")), "tiles")
 
     # Which tiles meet is settled on their names alone; their contents join afterwards.
-    steps = F.array(*[F.array(*[F.lit(x) for x in o]) for o in _neighbours(segments, radius, coarse)])
+    steps = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
     homes = tiles.select(F.col("_cell").alias("_home"), F.col("_tile").alias("_left"), F.explode(steps).alias("_step"))
     homes = homes.withColumn("_cell", F.zip_with("_home", "_step", lambda x, y: x + y)).drop("_step")
     meet = homes.join(tiles.select("_cell", "_tile"), "_cell").where("_home <> _cell or _left <= _tile")
     left = tiles.select(F.col("_cell").alias("_home"), F.col("_tile").alias("_left"), F.col("_nodes").alias("_ln"), F.col("_bits").alias("_lb"))
     pairs = meet.join(left, ["_home", "_left"]).join(tiles, ["_cell", "_tile"]).select("_ln", "_lb", "_nodes", "_bits", F.expr("_home = _cell and _left = _tile").alias("_same"))
+    if scale is not None:  # few large tiles: their pairs are dealt out evenly, as each takes long for its few bytes
+        pairs = pairs.repartition(1 + meet.count() // PAIRS)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
