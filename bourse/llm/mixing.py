@@ -111,7 +111,7 @@ def whole_copies(classes: DataFrame, cap: int, rounds: int = 4) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int = 3, id: str = "doc_id", text: str = "text", source: str = "source", key: Column | None = None) -> DataFrame:
-    """One row per input row: `id`, size, source_size, target, copies, taken (= copies * size), and rate.
+    """One row per input row: `id`, size, source_size, target, taken (= copies * size), copies, and rate.
 
     A null text has size 0, as an empty one; documents of size 0 get one copy, which takes no words. A null source is a
     source of its own. Which of a source's equally long documents get the odd copies is decided by a hash of the id
@@ -149,5 +149,5 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), cap: int
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.expr("_k div _n") + odd.cast("long")).cast("long")
     return placed.select(
         F.col("_id").alias(id), F.col("_size").alias("size"), F.col("_all").alias("source_size"), F.col("_goal").alias("target"),
-        copies.alias("copies"), (copies * F.col("_size")).alias("taken"), F.coalesce("_r", F.lit(1.0)).alias("rate"),
+        (copies * F.col("_size")).alias("taken"), copies.alias("copies"), F.coalesce("_r", F.lit(1.0)).alias("rate"),
     )

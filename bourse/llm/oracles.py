@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries whose results SQL can express, written apart from the operators."""
 
 from bourse.llm.license_scan import STATEMENTS
-from bourse.llm.quality import BASE, CURRENT, mask_of
+from bourse.llm.quality import BASE, CURRENT, RULES, UNSPACED, mask_of
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,6 +64,8 @@ SELECT f.doc_id, f.path, coalesce(o.license, n.license) AS license, coalesce(o.s
 FROM files f LEFT JOIN own o USING (path) LEFT JOIN near n USING (path)
 """
 
+_SOLE = " ".join(f"WHEN {1 << r.bit} THEN '{r.name}'" for r in RULES if r.name in CURRENT.rules)
+_UNSPACED = "[" + "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in UNSPACED) + "]"
 QUALITY = rf"""
 WITH cut AS (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words,
@@ -78,16 +80,21 @@ covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest
 measured AS (
   SELECT c.doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words,
-         len(lines) AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) AS n_capitals
+         len(lines) AS n_lines, len(regexp_extract_all(coalesce(text, ''), '[A-Z]')) AS n_capitals,
+         len(regexp_extract_all(coalesce(text, ''), '{_UNSPACED}')) AS n_unspaced
   FROM cut c LEFT JOIN covered v USING (doc_id)
 ),
 judged AS (
   SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
            + CASE WHEN word_chars < 2 * n_words OR word_chars > 12 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_symbols > 10 * n_words THEN 8 ELSE 0 END
-           + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_capitals > 50 * word_chars THEN 32 ELSE 0 END)::BIGINT AS failed
+           + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_capitals > 50 * word_chars THEN 32 ELSE 0 END
+           + CASE WHEN word_chars < 2 * n_words OR (word_chars > 12 * n_words AND 2 * n_unspaced <= word_chars) THEN 64 ELSE 0 END)::BIGINT AS failed
   FROM measured
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {mask_of(BASE)} <> 0 AS base_failed, failed & {mask_of(CURRENT)} = 0 AS kept, failed FROM judged
+),
+sole AS (SELECT *, CASE failed & {mask_of(CURRENT)} {_SOLE} END AS only_rule FROM judged)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {mask_of(BASE)} <> 0 AS base_failed, failed & {mask_of(CURRENT)} = 0 AS kept, failed, only_rule,
+       CASE WHEN only_rule IS NOT NULL THEN count(*) OVER (PARTITION BY only_rule) END AS n_only_rule
+FROM sole
 """
 
 PHRASES = r"""

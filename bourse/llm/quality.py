@@ -19,7 +19,10 @@ from bourse.llm.shared import quoted, with_own
 # Tasks get these functions by value, so they need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_unspaced")
+# First and last code points of scripts that put no spaces between words (Thai and Lao, Burmese, Khmer, and
+# the Han, kana and related blocks, those beyond the basic plane last).
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 
 
 @dataclass(frozen=True)
@@ -44,9 +47,15 @@ RULES = (
     Rule("symbols", 3, lambda: 100 * F.col("n_symbols") > 10 * F.col("n_words")),
     Rule("repeated_lines", 4, lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
     Rule("shouting", 5, lambda: 100 * F.col("n_capitals") > 50 * F.col("word_chars")),
+    # As word_length, but long "words" count against a text only where at most half of it is of scripts without spaces.
+    Rule("spaced_word_length", 6, lambda: (F.col("word_chars") < 2 * F.col("n_words")) | ((F.col("word_chars") > 12 * F.col("n_words")) & (2 * F.col("n_unspaced") <= F.col("word_chars")))),
 )
 BASE = Policy("base", frozenset({"few_words", "repeated_windows"}))
-POLICIES = (BASE, Policy("2", BASE.rules | {"symbols", "word_length", "repeated_lines", "shouting"}))
+POLICIES = (
+    BASE,
+    Policy("2", BASE.rules | {"symbols", "word_length", "repeated_lines", "shouting"}),
+    Policy("3", BASE.rules | {"symbols", "spaced_word_length", "repeated_lines", "shouting"}),
+)
 CURRENT = POLICIES[-1]
 
 
@@ -87,6 +96,14 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     return int((np.cumsum(marks[:-1]) > 0).sum())
 
 
+def unspaced(text: str) -> int:
+    """Characters of scripts without spaces between words."""
+    if text.isascii() or max(text) < chr(UNSPACED[0][0]):
+        return 0
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return int(sum(np.count_nonzero((points >= a) & (points <= b)) for a, b in UNSPACED))
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """MEASURES of one whole text; null has no words. Bytes are used: splitting them splits at the six ASCII spaces only."""
     if not text:
@@ -97,7 +114,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     lines = [line for line in data.split(b"\n") if line.strip()]
     return (
         len(words), len(text) - spaces, sum(map(data.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))), len(lines) - len(set(lines)),
-        repeated_words(words), len(lines), len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")),
+        repeated_words(words), len(lines), len(data) - len(data.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")), unspaced(text),
     )
 
 
@@ -143,21 +160,18 @@ def ablations(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: t
     return each.groupBy("version", "rule").agg(total(hit != 0).alias("rejected"), total(hit.bitwiseAND(F.col("bit")) != 0).alias("failed"), total(hit == F.col("bit")).alias("only_this"))
 
 
+def alone(policy: Policy = CURRENT, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The rule that alone rejects a row of the ledger under the policy, so that without it the row would stay; else null."""
+    hit = F.col("failed").bitwiseAND(F.lit(mask_of(policy, rules)).cast("long"))
+    return F.coalesce(*[F.when(hit == F.lit(1 << r.bit).cast("long"), F.lit(r.name)) for r in rules if r.name in policy.rules])
+
+
 def keep_good(docs: DataFrame, policy: Policy = CURRENT, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input rows that the policy keeps, with all their columns. Rows are measured where they lie; nothing is shuffled."""
-    at, mask = docs.columns.index(text), mask_of(policy)
-    places = [f"_{k}" for k in range(len(docs.columns))]  # names of any kind travel as places
-
-    def widened(batches):
-        for batch in batches:
-            rows = [measure(t.as_py()) for t in batch.column(at)]
-            own = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*places, *MEASURES])
-
-    kinds = [f"{p} {f.dataType.simpleString()}" for p, f in zip(places, docs.schema, strict=True)]
-    wide = docs.toDF(*places).mapInArrow(widened, ", ".join(kinds + [f"{m} bigint" for m in MEASURES]))
-    failed = F.lit(0).cast("long")
-    for r in RULES:
-        if r.name in policy.rules:
-            failed = failed.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return wide.where(failed.bitwiseAND(F.lit(mask).cast("long")) == 0).select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns, strict=True)])
+    """The input rows that the policy keeps, with all their columns: the ledger's rows carry them, its bits decide.
+
+    Rows are measured where they lie; nothing is shuffled. Names of any kind travel as places.
+    """
+    places = F.struct(*[quoted(c).alias(f"_{k}") for k, c in enumerate(docs.columns)])
+    book = ledger(docs.select(places.alias("_doc"), quoted(text).alias("_body")), id="_doc", text="_body")
+    good = verdicts(book, {"_kept": mask_of(policy)}).where("_kept")
+    return good.select(*[F.col(f"_doc._{k}").alias(c) for k, c in enumerate(docs.columns)])

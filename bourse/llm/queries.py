@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bourse.llm import exact_dedup, language, license_scan, line_dedup, mixing, neural_lm, phrases, piece_bpe, quality, simhash, token_counts, token_store, vector_codes
-from bourse.llm.shared import new_path, quoted
+from bourse.llm.shared import new_path, quoted, stored
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,9 +60,12 @@ def context_lengths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    book = quality.ledger(_documents(spark, folder))
-    judged = quality.verdicts(book, {"base_passed": quality.mask_of(quality.BASE), "kept": quality.mask_of(quality.CURRENT)})
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept", "failed")
+    """The ledger is written once; verdicts and ablations are read from it."""
+    book = stored(quality.ledger(_documents(spark, folder)), "quality-ledger")
+    judged = quality.verdicts(book, {"base_passed": quality.mask_of(quality.BASE), "kept": quality.mask_of(quality.CURRENT)}).withColumn("only_rule", quality.alone())
+    dropped = quality.ablations(book, (quality.CURRENT,)).select(F.col("rule").alias("only_rule"), F.col("only_this").alias("n_only_rule"))
+    measured = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.join(F.broadcast(dropped), "only_rule", "left").select(*measured, (~F.col("base_passed")).alias("base_failed"), "kept", "failed", "only_rule", "n_only_rule")  # a row per rule
 
 
 def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +76,7 @@ def simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
 def exact_groups(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder)
     digest = F.sha2(F.coalesce(quoted("text"), F.lit("")), 256)
-    return exact_dedup.exact_dedup(docs, carry={"text_sha256": digest})
+    return exact_dedup.exact_dedup(docs, carry={"text_sha256": digest}, digest="text_sha256")
 
 
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:

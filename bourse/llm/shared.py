@@ -12,14 +12,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 @cache
-def _own_folder(app: str) -> str:
-    return tempfile.mkdtemp(prefix=f"llm-{app}-")
+def _own_folder(app: str) -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix=f"llm-{app}-", ignore_cleanup_errors=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one in spark.checkpoint.dir, else the context's, else (in tests) an own one."""
+    """The folder that driver and executors share: the one in spark.checkpoint.dir, else the context's, else (in local sessions) an own one."""
     context = spark.sparkContext
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _own_folder(context.applicationId)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or _own_folder(context.applicationId).name
 
 
 def new_path(spark: SparkSession, name: str) -> str:
