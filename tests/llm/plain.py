@@ -141,3 +141,74 @@ def held_out(doc_id: int) -> bool:
 def lengths(counts: list[int]) -> list[tuple]:
     found = Counter(counts)
     return sorted((n, c, sum(x > n for x in counts), sum(min(x, n) for x in counts)) for n, c in found.items())
+
+
+def phrase_table(rows: list[tuple], minimum: int, longest: int, first: int, share: int = 50) -> set[tuple]:
+    """(lang, rank, phrase, a, l, r, n, score) of rows (text, lang), every phrase counted."""
+    found: dict[str, Counter] = defaultdict(Counter)
+    totals: Counter = Counter()
+    for text, lang in rows:
+        lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(words)
+            for k in range(1, longest + 1):
+                found[lang or "und"].update(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+    out = set()
+    for lang, f in found.items():
+        candidates = {p: a for p, a in f.items() if len(p) > 1 and a >= minimum}
+        inside = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+        scored = []
+        for p, a in candidates.items():
+            if any(len(q) > len(p) and 100 * b >= share * a and inside(p, q) for q, b in candidates.items()):
+                continue
+            score, _, left, right = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            scored.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (s, a, p, left, right) in enumerate(sorted(scored)[:first], 1):
+            out.add((lang, rank, p.decode(), -a, left, right, totals[lang], -s))
+    return out
+
+
+def vector_codes(rows: list[tuple], parts: int, entries: int, rounds: int, scale: int = 256) -> tuple[list[tuple], str]:
+    """((id, code, error, label_error), ...) and the digest, in Python's integers and all distances."""
+    sound = [(i, label, v) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    sound.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))  # repeated ids: by components, before they are rounded
+    kept = [(i, label, [math.floor(scale * x) for x in v]) for i, label, v in sound]
+    width = len(kept[0][2]) // parts
+    seeds = kept[:entries]
+    cut = lambda v, p: v[p * width : (p + 1) * width]
+    books = [[cut(s[2], p) for s in seeds] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+    near = lambda v, p: min((far(cut(v, p), e), k) for k, e in enumerate(books[p]))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, _, v in kept:
+            for p in range(parts):
+                groups[p, near(v, p)[1]].append(cut(v, p))
+        for (p, k), members in groups.items():
+            books[p][k] = [sum(c) // len(members) for c in zip(*members, strict=True)]
+    coded = [(i, label, [near(v, p) for p in range(parts)]) for i, label, v in kept]
+    sums = Counter()
+    for _, label, found in coded:
+        sums[label] += sum(d for d, _ in found)
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return [(i, "".join(f"{k:02x}" for _, k in found), sum(d for d, _ in found), sums[label]) for i, label, found in coded], digest
+
+
+def lower_words(text: str | None) -> list[str]:
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def base_scores(rows: list[tuple], is_held) -> list[tuple]:
+    """(id, held out, tokens, known tokens, training tokens, base score) of rows (id, text)."""
+    c: Counter = Counter()
+    for i, text in rows:
+        if not is_held(i):
+            c.update(lower_words(text))
+            c[None] += 1
+    n, v = sum(c.values()), len(c)
+    out = []
+    for i, text in rows:
+        tokens = [*lower_words(text), None]
+        out.append((i, is_held(i), len(tokens), sum(c[t] > 0 for t in tokens), n, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)))
+    return out

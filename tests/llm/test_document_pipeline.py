@@ -34,9 +34,7 @@ def test_stages_against_plain_loops(spark, docs):
 
     near = stored(stages["simhash_near_dedup"](spark, cleaned, ""), "t")
     rows = cleaned.collect()
-    prints = [simhash.fingerprint(simhash.shingle_hashes(r["text"], 5), 4) for r in rows]
-    whole = [sum((x & (2**64 - 1)) << 64 * w for w, x in enumerate(p)) for p in prints]
-    group = plain.linked_groups(whole, corpus_pipeline.RADIUS)
+    group = _jaccard_groups([set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in rows])
     kept = Counter(group[[(r.doc_id, r["text"]) for r in rows].index((k.doc_id, k["text"]))] for k in near.collect())
     assert set(kept) == set(group) and set(kept.values()) == {1} and near.columns == docs.columns
 
@@ -54,6 +52,75 @@ def test_stages_against_plain_loops(spark, docs):
     assert Counter((r.doc_id, tuple(r.ids)) for r in out.collect()) == Counter((r.doc_id, tuple(sp.encode(r["text"] or "", add_eos=True))) for r in mixed.collect())
 
 
+def _jaccard_groups(sets):
+    """Index of the group of each set, all pairs of Jaccard 0.8 or more being joined; empty sets are alike to each other."""
+    low = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if low[i] != low[j] and 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = min(low[i], low[j]), max(low[i], low[j])
+                low = [a if x == b else x for x in low]
+    return low
+
+
+def test_near_stage_finds_what_a_jaccard_join_finds(spark):
+    """On the driver's documents: every pair of Jaccard 0.8 or more is joined, and no other."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no driver tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("_want", F.lit(1)).withColumn("_Id", F.lit("x"))
+    rows = docs.select("doc_id", "text").collect()
+    sets = [set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in rows]
+    holders = {}
+    for k, s in enumerate(sets):
+        for h in s or {None}:
+            holders.setdefault(h, []).append(k)
+    low = list(range(len(rows)))
+
+    def top(k):
+        while low[k] != k:
+            k = low[k]
+        return k
+
+    common = Counter((a, b) for own in holders.values() for i, a in enumerate(own) for b in own[i + 1 :])
+    for (a, b), n in common.items():
+        if 9 * n >= 4 * (len(sets[a]) + len(sets[b])) and top(a) != top(b):
+            low[max(top(a), top(b))] = min(top(a), top(b))
+    want = sorted(min(rows[j].doc_id for j in range(len(rows)) if top(j) == k) for k in {top(j) for j in range(len(rows))})
+    assert sorted(r.component_id for r in near_copies.near_keepers(docs).collect()) == want and len(want) < len(rows)
+
+
+def test_stages_on_workers_without_the_package(tmp_path):
+    """Every stage in a session whose workers can't import the package: another folder, no path to it."""
+    import subprocess
+
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {os.path.dirname(corpus_pipeline.__file__)!r})\n"
+        "import corpus_pipeline\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "words = ' '.join(f'w{k}' for k in range(60))\n"
+        "docs = spark.createDataFrame([(k, words + ('' if k % 2 else ' z') + f' {k // 2}' * 3, 'en', 's', 9) for k in range(12)], 'doc_id long, text string, lang string, source string, n_chars long')\n"
+        "for name, stage in corpus_pipeline.STAGES:\n"
+        "    docs = corpus_pipeline.stored(stage(spark, docs, ''), name)\n"
+        "    print(name, docs.count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split("\n")) > 5
+
+
+def test_quality_keeps_scripts_without_spaces(spark):
+    zh = "這是一個關於城市歷史的長句子沒有空格但是內容完全正常"
+    many = " ".join(zh[k % 7 :] + str(k) for k in range(30))
+    rows = spark.createDataFrame([(1, many), (2, " ".join("x" * 40 + str(k) for k in range(30)))], "doc_id long, text string")
+    assert [r.doc_id for r in quality.keep_good(rows).collect()] == [1]
+    assert quality.unspaced("กข漢字かなabc") == 6 and quality.unspaced("Straße") == 0
+
+
 def test_near_copies_meet_and_unlike_texts_do_not():
     import random
 
