@@ -37,47 +37,45 @@ PACK = 1 << 20  # bytes of ids after which a pack is closed; a longer document h
 DICTIONARY = 1 << 16  # bytes of the dictionary at most
 SAMPLE_DOCS, SAMPLE_BYTES = 1000, 1 << 14  # documents that train the dictionary, about, and the longest text among them
 LEVEL = 3
+# The pattern by which the public word tokenizer cuts.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NOT_PLAIN = re.compile("[^!-\u024f\u2010-\u2027\u2030-\u205e]").search
 
 
-def plain_pieces(path: str):
-    """A function that cuts a plain chunk into the pieces that the tokenizer's model gets, or None where its parts are others than these.
-
-    Plain: printable characters below U+0250 and general punctuation, which are in composed form and whose classes are
-    settled. There normalising is lower-casing, and the pieces are the pattern's matches, as bytes in the printable alphabet.
-    """
+def is_letters_and_marks(path: str) -> bool:
+    """Whether the tokenizer composes and lower-cases texts, cuts them by LETTERS, and gives the pieces' bytes to its model in the printable alphabet."""
     import json
 
-    import regex
-
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     normal = (spec.get("normalizer") or {}).get("normalizers", [])
     cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    known = [n["type"] for n in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"}
-    if not known or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["use_regex"] or cuts[1]["add_prefix_space"]:
-        return None
-    find = regex.compile(cuts[0]["pattern"]["Regex"]).findall
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from U+0100 on
-    hidden = [x for x in range(256) if x not in set(shown)]
-    alphabet = {x: x for x in shown} | {x: 256 + k for k, x in enumerate(hidden)}
+    if [n["type"] for n in normal] != ["NFC", "Replace", "Lowercase"] or normal[1]["pattern"] != {"Regex": r"\s+"}:
+        return False
+    return [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and cuts[0]["pattern"] == {"Regex": LETTERS} and not (cuts[1]["use_regex"] or cuts[1]["add_prefix_space"])
 
-    def pieces(chunk: str) -> list[str]:
-        lowered = chunk.lower()
-        found = [lowered] if lowered.isalpha() else find(lowered)
-        return found if lowered.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(alphabet) for p in found]
 
-    return pieces
+class Remembered(dict):
+    """A table that asks `make` for what it lacks, and keeps the answer."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.make(key)
+        return found
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that drops white space, so that what stands between spaces encodes alone; each such chunk once while remembered.
 
-    New chunks of plain characters are cut as the tokenizer cuts them, and each new piece goes to its model once; other
-    chunks, and those with an added token, go through the library's whole encoder.
+    Of a tokenizer as `is_letters_and_marks` says, plain chunks are cut as it cuts them and each piece goes to its model
+    once; other chunks, and those with an added token, go through the library's whole encoder. Plain are printable
+    characters below U+0250 and general punctuation: they are in composed form and their classes are settled.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -85,43 +83,39 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.octets = [i.to_bytes(self.width, "little") for i in range(self.whole.get_vocab_size())]
-        self.cut = plain_pieces(path)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.find = regex.compile(LETTERS).findall
+        self.plain = is_letters_and_marks(path)
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from U+0100 on
+        self.alphabet = {x: x for x in shown} | {x: 256 + k for k, x in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks, self.pieces = Remembered(self.chunk), Remembered(self.piece)
+        self.chunks[""] = b""
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def learn(self, new: list[str]) -> None:
-        joined, odd = "".join(new), set()
-        if self.cut is None:
-            odd = set(new)
-        elif not joined.isprintable() or NOT_PLAIN(joined) or any(a in joined for a in self.added):
-            odd = {c for c in new if not c.isprintable() or NOT_PLAIN(c) or any(a in c for a in self.added)}
-        chunks, known, cut = self.chunks, self.pieces, self.cut
-        for c in new:
-            if c not in odd:
-                try:
-                    chunks[c] = b"".join([known[p] for p in cut(c)])
-                except KeyError:
-                    chunks[c] = b"".join([known[p] if p in known else self.learn_piece(p) for p in cut(c)])
-        for c in odd:
-            chunks[c] = self.packed(self.whole.encode(c, add_special_tokens=False).ids)
-
-    def learn_piece(self, piece: str) -> bytes:
-        found = self.pieces[piece] = b"".join([self.octets[t.id] for t in self.whole.model.tokenize(piece)])
-        return found
+    def chunk(self, c: str) -> bytes:
+        if not self.plain or not c.isprintable() or NOT_PLAIN(c) or any(a in c for a in self.added):
+            return self.packed(self.whole.encode(c, add_special_tokens=False).ids)
+        lowered = c.lower()
+        if lowered.isalpha():
+            return self.pieces[lowered]
+        if lowered[:-1].isalpha() and lowered[-1] in ".,;:!?":
+            return self.pieces[lowered[:-1]] + self.pieces[lowered[-1]]
+        return b"".join([self.pieces[p] for p in self.find(lowered)])
+
+    def piece(self, p: str) -> bytes:
+        shown = p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([self.octets[t.id] for t in self.whole.model.tokenize(shown)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The serialised ids of each text; no text gives none."""
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
         if len(self.chunks) > KEPT:
-            self.chunks, self.pieces = {"": b""}, {}
-        self.chunks.setdefault("", b"")
-        new = list(set().union(*cut).difference(self.chunks))
-        for k in range(0, len(new), 1 << 14):
-            self.learn(new[k : k + (1 << 14)])
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+            self.forget()
+        found = self.chunks.__getitem__
+        return [b"".join(map(found, t.replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 def gulps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str | None]]]:
