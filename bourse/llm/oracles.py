@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries whose results SQL can express, written apart from the operators."""
 
-from bourse.llm.license_scan import STATEMENTS
+from bourse.llm.license_scan import ANCHORS, MET, SHORT, SIZES, TEMPLATES, Templates, step_of
 from bourse.llm.quality import BASE, CURRENT, RULES, UNSPACED, mask_of
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -32,23 +32,36 @@ SELECT s.doc_id, CASE WHEN r.n IS NULL THEN s.text ELSE coalesce(l.body, '') END
 FROM split s LEFT JOIN left_over l USING (doc_id) LEFT JOIN removed r USING (doc_id)
 """
 
-_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in STATEMENTS)
+_KNOWN = Templates()
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, (n, t) in enumerate(TEMPLATES))
+_LADDER = f"WHEN len(ws) <= {SHORT} THEN len(ws) " + " ".join(f"WHEN {5 * s // 6} >= len(ws) THEN {s}" for s in SIZES)
+_ANCHORS = ", ".join(f"'{w}'" for w in ANCHORS)
+_CUTS = " UNION ALL ".join(f"SELECT path, {s} AS size, k AS pos, ws[k * {step_of(s)} + 1 : k * {step_of(s)} + {s}] AS ws FROM (SELECT path, ws, unnest(range(0, ceil(greatest(len(ws) - {s}, 0) / {step_of(s)})::BIGINT + 1)) AS k FROM held)" for s in _KNOWN.sizes)
 LICENCES = rf"""
-WITH templates(license, body) AS (VALUES {_TEMPLATES}),
-tw AS (SELECT license, w, count(*) AS n FROM (SELECT license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS w FROM templates) GROUP BY ALL),
+WITH templates(id, license, body) AS (VALUES {_TEMPLATES}),
+tl AS (SELECT id, license, regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*') AS ws FROM templates),
+ts AS (SELECT id, license, ws, CASE {_LADDER} ELSE {SIZES[-1]} END AS tsize FROM tl),
+tw AS (SELECT id, license, tsize, w, count(*) AS n FROM (SELECT id, license, tsize, unnest(ws) AS w FROM ts) GROUP BY ALL),
 idf AS (SELECT w, ln((1 + (SELECT count(*) FROM templates)) / (1 + count(*))) + 1 AS idf FROM tw GROUP BY w),
 unseen AS (SELECT ln((1 + count(*)) / 2) + 1 AS idf FROM templates),
-tv AS (SELECT license, w, n * idf AS x FROM tw JOIN idf USING (w)),
-unit AS (SELECT license, w, x / sqrt(sum(x * x) OVER (PARTITION BY license)) AS u FROM tv),
+tv AS (SELECT id, license, tsize, w, (1 + ln(n)) * idf AS x FROM tw JOIN idf USING (w)),
+unit AS (SELECT id, license, tsize, w, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS u FROM tv),
 files AS (
   SELECT doc_id, text, source || '/' || regexp_replace(left(doc_id::VARCHAR, length(doc_id::VARCHAR) - 1), '(.)', '\1/', 'g') || doc_id::VARCHAR AS path FROM documents
 ),
-lines AS (SELECT path, unnest(range(0, len(ls))) AS pos, unnest(ls) AS line FROM (SELECT path, string_split(coalesce(text, ''), chr(10)) AS ls FROM files)),
-lw AS (SELECT path, pos, w, count(*) AS n FROM (SELECT path, pos, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:\.[0-9]+)*')) AS w FROM lines) GROUP BY ALL),
-lv AS (SELECT path, pos, w, n * coalesce(i.idf, u.idf) AS x FROM lw LEFT JOIN idf i USING (w), unseen u),
-norm AS (SELECT path, pos, sqrt(sum(x * x)) AS norm FROM lv GROUP BY ALL),
+texts AS (SELECT path, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+(?:\.[0-9]+)*') AS ws FROM files),
+held AS (SELECT * FROM texts WHERE list_has_any(ws, [{_ANCHORS}])),
+units AS (
+  SELECT path, 0 AS size, k AS pos, regexp_extract_all(ls[k + 1], '[a-z0-9]+(?:\.[0-9]+)*') AS ws FROM (SELECT path, ls, unnest(range(0, len(ls))) AS k FROM (SELECT path, string_split(low, chr(10)) AS ls FROM held))
+  UNION ALL SELECT path, -1, 0, ws FROM held UNION ALL {_CUTS}
+),
+anchored AS (SELECT path, size, pos, unnest(ws) AS w FROM units WHERE list_has_any(ws, [{_ANCHORS}])),
+lw AS (SELECT path, size, pos, w, count(*) AS n FROM anchored GROUP BY ALL),
+lv AS (SELECT path, size, pos, w, (1 + ln(n)) * coalesce(i.idf, u.idf) AS x FROM lw LEFT JOIN idf i USING (w), unseen u),
+norm AS (SELECT path, size, pos, sqrt(sum(x * x)) AS norm FROM lv GROUP BY ALL),
 scored AS (
-  SELECT path, pos, license, round(sum(x * u) / any_value(norm), 6) AS score FROM lv JOIN unit USING (w) JOIN norm USING (path, pos) GROUP BY ALL HAVING round(sum(x * u) / any_value(norm), 6) >= 0.6
+  SELECT path, size, pos, id, license, round(sum(x * u) / any_value(norm), 6) AS score FROM lv JOIN unit USING (w) JOIN norm USING (path, size, pos)
+  WHERE size <= 0 OR size = tsize GROUP BY ALL HAVING round(sum(x * u) / any_value(norm), 6) >= {_KNOWN.threshold} AND count(*) >= {MET}
 ),
 own AS (SELECT path, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
 granted AS (

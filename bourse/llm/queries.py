@@ -38,7 +38,8 @@ def document_path() -> F.Column:
 
 
 def licence_tree(spark: SparkSession, folder: str) -> DataFrame:
-    return license_scan.license_scan(_documents(spark, folder).withColumn("path", document_path()))
+    """Documents have no names, so each is compared as a whole too, as a licence file would be."""
+    return license_scan.license_scan(_documents(spark, folder).withColumn("path", document_path()), whole=".*")
 
 
 def sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:

@@ -212,3 +212,54 @@ def base_scores(rows: list[tuple], is_held) -> list[tuple]:
         tokens = [*lower_words(text), None]
         out.append((i, is_held(i), len(tokens), sum(c[t] > 0 for t in tokens), n, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens)))
     return out
+
+
+def letter_trigrams(text: str | None, buckets: int) -> Counter:
+    """Hashed trigrams around each letter of the lower-cased text, character by character."""
+    padded = f"\n{(text or '').lower()}\n"
+    signs = [ord(c) if c.isalpha() else 32 for c in padded]
+    out: Counter = Counter()
+    for k in range(1, len(padded) - 1):
+        if padded[k].isalpha():
+            h = (signs[k - 1] * 0x9E3779B1 + signs[k] * 0x85EBCA77 + signs[k + 1] * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            out[(h >> 16) % buckets] += 1
+    return out
+
+
+def language_model(rows: list[tuple], buckets: int, prior: float) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their trigram probabilities from rows (text, lang)."""
+    sums: dict[str, Counter] = defaultdict(Counter)
+    for text, lang in rows:
+        if lang is not None:
+            sums[lang].update(letter_trigrams(text, buckets))
+    names = sorted(n for n in sums if sums[n])
+    table = np.array([[sums[n][b] + prior for b in range(buckets)] for n in names])
+    return names, table / table.sum(axis=1, keepdims=True)
+
+
+def _fitted(p: np.ndarray, n: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+    share = np.full(len(p), 1 / len(p))
+    for _ in range(steps):
+        part = share[:, None] * p
+        share = (part / part.sum(axis=0) * n).sum(axis=1) / n.sum()
+    return share, float((n * np.log(share @ p)).sum())
+
+
+def language_mixture(text: str | None, names: list[str], table: np.ndarray, steps: int) -> tuple[str, float]:
+    """The language of the largest proportion in the set of highest penalised likelihood; every set size is fitted in full."""
+    found = letter_trigrams(text, table.shape[1])
+    if not found or not names:
+        return "und", 0.0
+    at, n = np.array(list(found)), np.array(list(found.values()), float)
+    p = table[:, at]
+    penalty = 0.5 * math.log(n.sum() + 1)
+    single = (n * np.log(p)).sum(axis=1)
+    best = (float(single.max()), names[int(single.argmax())], 1.0)
+    order = np.argsort(-_fitted(p, n, steps)[0], kind="stable")
+    for k in range(2, len(names) + 1):
+        some = np.sort(order[:k])
+        share, likely = _fitted(p[some], n, steps)
+        if likely - (k - 1) * penalty > best[0]:
+            best = (likely - (k - 1) * penalty, names[int(some[share.argmax()])], float(share.max()))
+    return best[1], best[2]
