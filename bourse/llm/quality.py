@@ -118,11 +118,27 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(t.as_py()) for t in batch.column(1)]
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(MEASURES))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_id", *MEASURES])
+def measured(rows: DataFrame, text: str, keep_text: bool) -> DataFrame:
+    """rows with the measurements of their column `text`, which stays or goes. Rows are measured where they lie."""
+    at = rows.columns.index(text)
+    kept = [k for k in range(len(rows.columns)) if keep_text or k != at]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(t.as_py()) for t in batch.column(at)]
+            own = [pa.array([r[k] for r in found], pa.int64()) for k in range(len(MEASURES))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], *own], names=[*[batch.schema.names[k] for k in kept], *MEASURES])
+
+    kinds = [f"{rows.columns[k]} {rows.schema[k].dataType.simpleString()}" for k in kept]
+    return rows.mapInArrow(task, ", ".join(kinds + [f"{m} bigint" for m in MEASURES]))
+
+
+def failures(rules: tuple[Rule, ...] = RULES) -> Column:
+    """A bit for each rule that measured rows fail."""
+    failed = F.lit(0).cast("long")
+    for r in rules:
+        failed = failed.bitwiseOR(F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
+    return failed
 
 
 def ledger(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -131,14 +147,8 @@ def ledger(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: tuple
     Null and empty texts have no words and fail what such a text fails. Repeated rows are measured each. Other columns
     are not passed on, so clashing names do no harm. Empty in, empty out.
     """
-    kind = docs.schema[id].dataType.simpleString()
-    rows = docs.select(quoted(id).alias("_id"), quoted(text).alias("_text"))
-    found = rows.mapInArrow(_measured, f"_id {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES))
-    bits = [F.when(r.fails(), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long") for r in rules]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    return found.select(F.col("_id").alias(id), *MEASURES, failed.alias("failed"))
+    found = measured(docs.select(quoted(id).alias("_id"), quoted(text).alias("_text")), "_text", keep_text=False)
+    return found.select(F.col("_id").alias(id), *MEASURES, failures(rules).alias("failed"))
 
 
 def verdicts(book: DataFrame, policies: Mapping[str, int]) -> DataFrame:
@@ -169,9 +179,9 @@ def alone(policy: Policy = CURRENT, rules: tuple[Rule, ...] = RULES) -> Column:
 def keep_good(docs: DataFrame, policy: Policy = CURRENT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows that the policy keeps, with all their columns: the ledger's rows carry them, its bits decide.
 
-    Rows are measured where they lie; nothing is shuffled. Names of any kind travel as places.
+    Nothing is shuffled. Names of any kind travel as places.
     """
-    places = F.struct(*[quoted(c).alias(f"_{k}") for k, c in enumerate(docs.columns)])
-    book = ledger(docs.select(places.alias("_doc"), quoted(text).alias("_body")), id="_doc", text="_body")
-    good = verdicts(book, {"_kept": mask_of(policy)}).where("_kept")
-    return good.select(*[F.col(f"_doc._{k}").alias(c) for k, c in enumerate(docs.columns)])
+    places = [f"_{k}" for k in range(len(docs.columns))]
+    rows = measured(docs.toDF(*places), places[docs.columns.index(text)], keep_text=True)
+    good = verdicts(rows.select(*places, failures().alias("failed")), {"_kept": mask_of(policy)}).where("_kept")
+    return good.select(*[F.col(p).alias(c) for p, c in zip(places, docs.columns, strict=True)])
