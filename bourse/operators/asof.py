@@ -20,33 +20,36 @@ def _edge(backward: bool):
 
 def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time: str, values, lag_days: int = 0,
               tolerance_days: int | None = None, direction: str = "backward", strict: bool = False,
-              prefix: str = "", slice_unit: str = "month") -> DataFrame:
+              prefix: str = "", slice_unit: str = "month", tie=()) -> DataFrame:
     """Attach to each left row the latest right row with `right_time + lag <= left_time` (or the
     earliest at or after it, going forward). `strict` excludes equal times. All left rows are kept;
-    the matched time comes back as `<prefix>matched`."""
+    the matched time comes back as `<prefix>matched`. Of right rows of one time the last by the columns
+    `tie` counts going backward, the first going forward; without `tie` by the values themselves."""
     by = [by] if isinstance(by, str) else list(by)
     if direction == "nearest":
-        return _nearest(left, right, by, left_time, right_time, values, lag_days, tolerance_days, prefix, slice_unit)
+        return _nearest(left, right, by, left_time, right_time, values, lag_days, tolerance_days, prefix, slice_unit, tie)
     back = direction == "backward"
     toward = _edge(back)
     available = F.date_add(right_time, lag_days) if lag_days else F.col(right_time)
     # On equal times the right row must come first to match, or last to be left out.
     right_first = not strict
     fact = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)], available.alias("t"))
-    rights = right.where(available.isNotNull()).select(*by, available.alias("_t"), fact.alias("_v"))
+    ties = [c for c in (tie or values) if right.schema[c].dataType.typeName() not in ("map", "variant")]
+    place = F.struct(available.alias("t"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(ties)])
+    rights = right.where(available.isNotNull()).select(*by, available.alias("_t"), fact.alias("_v"), place.alias("_p"))
     rights = rights.withColumn("_slice", F.date_trunc(slice_unit, "_t"))
     kept = F.struct(*[F.col(f"`{c}`") for c in left.columns])
     lefts = left.select(*by, F.col(left_time).alias("_t"), kept.alias("_l")).withColumn("_slice", F.date_trunc(slice_unit, "_t"))
 
-    ends = rights.groupBy(*by, "_slice").agg((F.max_by if back else F.min_by)("_v", "_t").alias("_end"))
+    ends = rights.groupBy(*by, "_slice").agg((F.max_by if back else F.min_by)("_v", "_p").alias("_end"))
     order = Window.partitionBy(*by).orderBy(toward("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     slices = lefts.select(*by, "_slice").distinct().withColumn("_end", F.lit(None).cast(ends.schema["_end"].dataType))
     carry = ends.unionByName(slices).groupBy(*by, "_slice").agg(F.first("_end", ignorenulls=True).alias("_end"))
     carry = carry.select(*by, "_slice", F.last("_end", ignorenulls=True).over(order).alias("_carry"))
 
     both = lefts.select(*by, "_slice", "_t", "_l", F.lit(1 if right_first else 0).alias("_side")).unionByName(
-        rights.select(*by, "_slice", "_t", "_v", F.lit(0 if right_first else 1).alias("_side")), allowMissingColumns=True)
-    inside = Window.partitionBy(*by, "_slice").orderBy(toward("_t"), F.asc("_side"))
+        rights.select(*by, "_slice", "_t", "_v", "_p", F.lit(0 if right_first else 1).alias("_side")), allowMissingColumns=True)
+    inside = Window.partitionBy(*by, "_slice").orderBy(toward("_t"), F.asc("_side"), toward("_p"))
     found = both.withColumn("_in", F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     found = found.where(F.col("_l").isNotNull()).join(carry, [*by, "_slice"], "left")
     found = found.withColumn("_hit", F.coalesce("_in", "_carry"))
@@ -57,10 +60,10 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time:
                         F.col("_hit")["t"].alias(f"{prefix}matched"))
 
 
-def _nearest(left, right, by, left_time, right_time, values, lag_days, tolerance, prefix, unit) -> DataFrame:
+def _nearest(left, right, by, left_time, right_time, values, lag_days, tolerance, prefix, unit, tie) -> DataFrame:
     """The closer of the two neighbours; on a tie the earlier one."""
-    one = asof_join(left, right, by, left_time, right_time, values, lag_days, tolerance, "backward", False, "_b_", unit)
-    two = asof_join(one, right, by, left_time, right_time, values, lag_days, tolerance, "forward", False, "_f_", unit)
+    one = asof_join(left, right, by, left_time, right_time, values, lag_days, tolerance, "backward", False, "_b_", unit, tie)
+    two = asof_join(one, right, by, left_time, right_time, values, lag_days, tolerance, "forward", False, "_f_", unit, tie)
     before = F.datediff(left_time, "_b_matched")
     after = F.datediff("_f_matched", left_time)
     earlier = F.col("_b_matched").isNotNull() & (F.col("_f_matched").isNull() | (before <= after))

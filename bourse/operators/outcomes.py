@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bourse.functions.frames import clamp, col, ratio
 from bourse.operators.prefix import ntiles, running_totals, worst_drawdown
+from bourse.session import written
 
 DECIDED = ("WIN", "LOSS", "STOP_LOSS")
 
@@ -152,8 +153,10 @@ def decile_table(df: DataFrame, score: str, value: str, tie: str, n: int = 10) -
 
 def weighted_roc(df: DataFrame, keys, p: str, max_points: int, min_n: int = 1) -> DataFrame:
     """Tie-aware area and curve from outcomes folded to one row per probability, thinned to max_points."""
-    # One folded row per probability, so the third sum counts distinct probabilities.
-    rows = running_totals(df, keys, p, {"w": F.count_if(is_("WIN")), "l": F.count_if(is_("LOSS")), "v": F.max(F.lit(1))})
+    # One folded row per probability, so the third sum counts distinct probabilities. The fold and its running sums are
+    # read several times, so each is written once.
+    folded = written(df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count_if(is_("WIN")).alias("w"), F.count_if(is_("LOSS")).alias("l")), "roc-fold")
+    rows = written(running_totals(folded, keys, p, {"w": F.sum("w"), "l": F.sum("l"), "v": F.max(F.lit(1))}), "roc-sums")
     keep = (F.col("w_total") > 0) & (F.col("l_total") > 0) & (F.col("w_total") + F.col("l_total") >= min_n)
     rows = rows.where(keep).withColumns({"n": F.col("w_total") + F.col("l_total"), "_points": F.col("v_total"), "_i": F.col("v_total") - F.col("v_before")})
     rank = F.col("w_before") + F.col("l_before") + (F.col("w") + F.col("l") + 1) / 2

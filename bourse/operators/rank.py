@@ -168,6 +168,25 @@ def shadow_arms(engines: DataFrame, weights: dict) -> DataFrame:
     return rows.groupBy("arm", "date", "symbol").agg(ratio(F.sum(F.col("weight") * F.col("score")), F.sum("weight")).alias("score"), F.count("*").alias("coverage"))
 
 
+def control_arms(scores: DataFrame, vol: DataFrame, share: float = 0.2, factor: float = 0.7, seed: int = 0) -> DataFrame:
+    """(arm, date, symbol, score) of two controls to (date, symbol, score): `volatility_veto` and `random_control`.
+
+    The veto multiplies the scores of a session's most volatile names, those whose percent rank of `vol` (average over
+    ties) is above 1 - share, by `factor`; names without a volatility keep theirs. The control deals a session's scores
+    out again to its names, in the order of a hash of seed, date and name, so that only the choice of names is lost.
+    """
+    day = Window.partitionBy("date")
+    rows = scores.join(vol, ["date", "symbol"], "left")
+    known = F.count("vol").over(day)
+    place = F.rank().over(day.orderBy(F.asc_nulls_last("vol"))) + (F.count("*").over(Window.partitionBy("date", "vol")) - 1) / 2
+    veto = rows.select(F.lit("volatility_veto").alias("arm"), "date", "symbol", F.when(F.col("vol").isNotNull() & (place / known > 1 - share), F.col("score") * factor).otherwise(F.col("score")).alias("score"))
+    dealt = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("date").cast("string"), "symbol"))
+    drawn = scores.select("date", F.row_number().over(day.orderBy(dealt, "symbol")).alias("_n"), "score")
+    names = scores.select("date", "symbol", F.row_number().over(day.orderBy("symbol")).alias("_n"))
+    control = names.join(drawn, ["date", "_n"]).select(F.lit("random_control").alias("arm"), "date", "symbol", "score")
+    return veto.unionByName(control)
+
+
 def confluence_score(df: DataFrame) -> DataFrame:
     """Screener weight times a presence multiplier, trend, volume, own momentum and fundamentals.
 

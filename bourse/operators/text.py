@@ -57,6 +57,7 @@ CATEGORIES = {
 }
 GENERIC = ("india", "power", "energy", "finance", "financial", "industries", "motors", "steel", "cement", "bank", "life", "general", "national", "infrastructure", "capital", "technologies",
            "technology", "enterprises", "international", "global", "products", "chemicals", "textiles", "holdings", "services", "auto", "paper")
+NAMES = 100_000  # aliases that are broadcast at most; more are joined
 LEGAL_SUFFIX = r"(?i)\b(limited|ltd|private|pvt|corporation|corp|incorporated|inc|company|the)\b"
 
 
@@ -72,19 +73,33 @@ def build_alias_index(names: DataFrame, generic=GENERIC) -> DataFrame:
     return out.where(F.length("alias") >= 2).distinct()
 
 
-def tag_entities(docs: DataFrame, aliases: DataFrame, text: str = "text", doc: str = "doc_id", most: int = 5) -> DataFrame:
-    """Symbols whose alias appears as whole tokens, longest alias first, one hit per symbol, at most `most`.
+def _tagged_in_place(docs: DataFrame, first: DataFrame, text: str, doc: str, longest: int) -> DataFrame:
+    """(doc, symbol, alias) with the aliases broadcast, as their number is bounded: every token carries the few that follow it, no text is shuffled."""
+    words = F.split(norm(text), " ")
+    starts = F.transform(words, lambda w, k: F.struct(w.alias("_first"), F.concat(F.array_join(F.slice(words, k + 1, F.lit(longest)), " "), F.lit(" ")).alias("_after")))
+    tokens = docs.select(doc, F.explode(starts).alias("_s")).select(doc, "_s.*")
+    return tokens.join(F.broadcast(first), "_first").where(F.startswith("_after", F.concat("alias", F.lit(" ")))).select(doc, "symbol", "alias")
 
-    A document gives its distinct tokens, which join the aliases of any length on their first one. An alias of one
-    token is then found; a longer one is looked for in the text of those documents that hold its first token.
-    """
-    first = aliases.withColumn("_first", F.substring_index("alias", " ", 1))
+
+def _tagged_by_join(docs: DataFrame, first: DataFrame, text: str, doc: str) -> DataFrame:
+    """(doc, symbol, alias) for any number of aliases: distinct tokens meet them, then the texts of documents that hold the first token of a longer one."""
     tokens = docs.select(doc, F.explode(F.array_distinct(F.split(norm(text), " "))).alias("_first"))
     met = tokens.join(first, "_first").select(doc, "symbol", "alias")
     long = F.contains(F.col("alias"), F.lit(" "))
     padded = docs.select(doc, F.concat(F.lit(" "), norm(text), F.lit(" ")).alias("_padded"))
     whole = met.where(long).join(padded, doc).where(F.contains("_padded", F.concat(F.lit(" "), "alias", F.lit(" ")))).select(doc, "symbol", "alias")
-    best = met.where(~long).unionByName(whole).groupBy(doc, "symbol").agg(F.max(F.length("alias")).alias("_len"))
+    return met.where(~long).unionByName(whole)
+
+
+def tag_entities(docs: DataFrame, aliases: DataFrame, text: str = "text", doc: str = "doc_id", most: int = 5) -> DataFrame:
+    """Symbols whose alias appears as whole tokens, longest alias first, one hit per symbol, at most `most`.
+
+    Tokens meet the aliases of any length on their first one. Up to NAMES aliases go to the documents; more are joined.
+    """
+    first = aliases.withColumn("_first", F.substring_index("alias", " ", 1))
+    size, longest = first.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("alias", " "))), F.lit(1))).first()
+    found = _tagged_in_place(docs, first, text, doc, longest) if size <= NAMES else _tagged_by_join(docs, first, text, doc)
+    best = found.groupBy(doc, "symbol").agg(F.max(F.length("alias")).alias("_len"))
     place = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc("_len"), F.asc("symbol")))
     return best.withColumn("rank", place).where(F.col("rank") <= most).select(doc, "symbol", "rank")
 

@@ -295,6 +295,16 @@ def _(t):
     return band_join(gaps, actions(t), "symbol", "date", "ex_date", 5)
 
 
+@query("C9_gaps_of_last_years", uses="trades bars_raw", doubles="gap factor", sql=ACTIONS + f"""
+, g AS (SELECT symbol, date, close / {prev('close')} - 1 AS gap FROM bars_raw), s AS (SELECT min(date) AS d FROM bars_raw)
+SELECT g.symbol, g.date, gap, ex_date, factor FROM g JOIN act ON act.symbol = g.symbol AND abs(date_diff('day', ex_date, g.date)) <= 5, s WHERE abs(gap) > 0.35 AND g.date >= s.d""")
+def _(t):
+    """The first date that counts is taken from the table: here its first, so no gap is left out."""
+    since = t.bars_raw.agg(F.min("date")).scalar()
+    gaps = t.bars_raw.select("symbol", "date", ind.change().alias("gap")).where((F.abs("gap") > 0.35) & (F.col("date") >= since))
+    return band_join(gaps, actions(t), "symbol", "date", "ex_date", 5)
+
+
 @query("C10_coverage_check", uses="bars_s", doubles="coverage", sql="""
 , e AS (SELECT count(*) AS e FROM supplier) SELECT date, any_value(e) AS expected, count(*) AS present, count(*) / any_value(e) AS coverage, CASE WHEN count(*) < any_value(e) THEN 'warn' ELSE 'pass' END AS status FROM bars_s, e GROUP BY 1""")
 def _(t):
@@ -331,6 +341,18 @@ def _(t):
     return q.verdict_report({"lineitem": t.lineitem, "orders": t.orders}, checks)
 
 
+@query("C14_report_history", sql="""
+SELECT 1 AS run, 'line-discount' AS check_id, 'critical' AS severity, count(*) FILTER (WHERE l_discount > 0.04) AS bad, count(*) AS total, 'fail' AS status FROM lineitem
+UNION ALL SELECT 2, 'line-discount', 'critical', count(*) FILTER (WHERE l_discount > 0.05), count(*), 'fail' FROM lineitem UNION ALL SELECT 2, 'order-price', 'minor', count(*) FILTER (WHERE o_totalprice <= 0), count(*), 'pass' FROM orders""")
+def _(t):
+    """A run appended to the history of the one before, whose retired check goes."""
+    count = lambda table, cond: lambda tables: tables[table].agg(F.count_if(cond).alias("bad"), F.count("*").alias("total"))
+    tables = {"lineitem": t.lineitem, "orders": t.orders}
+    before = q.verdict_report(tables, {"line-discount": (count("lineitem", F.col("l_discount") > 0.04), "critical"), "retired": (count("lineitem", F.col("l_tax") > 0.07), "minor")})
+    now = q.verdict_report(tables, {"line-discount": (count("lineitem", F.col("l_discount") > 0.05), "critical"), "order-price": (count("orders", F.col("o_totalprice") <= 0), "minor")})
+    return q.report_history(before.select(F.lit(1).alias("run"), "*"), now.select(F.lit(2).alias("run"), "*"))
+
+
 @query("C15_flat_copy_share", uses="bars_s", doubles="flat_share", sql="SELECT date, count(*) AS rows, avg(CASE WHEN open = high AND high = low AND low = close THEN 1.0 ELSE 0 END) AS flat_share FROM bars_s GROUP BY 1")
 def _(t):
     return q.flat_copy_share(t.bars_s, ["date"])

@@ -514,6 +514,18 @@ def _(t):
     return rank.shadow_arms(engines(t), WEIGHTS)
 
 
+@query("K37_control_arms", uses="bars_s sessions_m", doubles="score", sql=ENG + f"""
+, w AS (SELECT * FROM (VALUES ('momentum', 0.5), ('volume', 0.3), ('flat', 0.2)) v(engine, weight)), sc AS (SELECT date, symbol, sum(weight * score) / sum(weight) AS score FROM en JOIN w ON w.engine = en.engine GROUP BY 1, 2),
+lr AS (SELECT symbol, date, ln(close / {prev('close')}) AS lr FROM bars_s), vo AS (SELECT symbol, date, {rolled('stddev_samp(lr)', 'lr', 12, 8)} AS vol FROM lr),
+r AS (SELECT sc.*, vol, (rank() OVER (PARTITION BY sc.date ORDER BY vol NULLS LAST) + (count(*) OVER (PARTITION BY sc.date, vol) - 1) / 2.0) / count(vol) OVER (PARTITION BY sc.date) AS p FROM sc LEFT JOIN vo ON vo.symbol = sc.symbol AND vo.date = sc.date),
+a AS (SELECT date, score, row_number() OVER (PARTITION BY date ORDER BY md5('7:' || CAST(date AS VARCHAR) || ':' || symbol), symbol) AS n FROM sc), b AS (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY symbol) AS n FROM sc)
+SELECT 'volatility_veto' AS arm, date, symbol, CASE WHEN vol IS NOT NULL AND p > 1 - 0.2 THEN score * 0.7 ELSE score END AS score FROM r UNION ALL SELECT 'random_control', b.date, b.symbol, a.score FROM b JOIN a ON a.date = b.date AND a.n = b.n""")
+def _(t):
+    scores = rank.shadow_arms(engines(t), WEIGHTS).where("arm = 'published'").select("date", "symbol", "score")
+    vol = t.bars_s.withColumn("_lr", ind.log_change()).select("date", "symbol", roll(F.stddev_samp, "_lr", ind.per_symbol(), 12, 8).alias("vol"))
+    return rank.control_arms(scores, vol, seed=7)
+
+
 @query("K38_layer_ablation", uses="bars_s sessions_m", doubles="mean_ic gain", sql=EV + f"""
 , l AS (SELECT date, symbol, fwd_1, 'base' AS layer, 0 AS step, ret_5 AS score FROM ep UNION ALL SELECT date, symbol, fwd_1, 'quality', 1, ret_5 * close_loc FROM ep UNION ALL SELECT date, symbol, fwd_1, 'veto', 2, CASE WHEN vol < 0.08 THEN ret_5 * close_loc END FROM ep),
 r AS (SELECT layer, step, date, {avg_rank('score', 'layer, date')} AS a, {avg_rank('fwd_1', 'layer, date')} AS b FROM l WHERE score IS NOT NULL AND fwd_1 IS NOT NULL), i AS (SELECT layer, step, date, corr(a, b) AS ic FROM r GROUP BY ALL HAVING count(*) >= 10),

@@ -271,6 +271,17 @@ def _(t):
     return idn.symbol_chain(t.customer.where((k % 50 < 40) & (F.col("c_nationkey") != 3)).select(F.concat(F.lit("C"), k).alias("old"), F.concat(F.lit("C"), k + 7).alias("new")))
 
 
+@query("I6_whole_chains", sql="""
+, r AS (SELECT 'C' || c_custkey AS old, CASE WHEN c_custkey % 50 >= 43 THEN 'R' || c_custkey ELSE 'C' || (c_custkey + 7) END AS new FROM customer),
+c AS (WITH RECURSIVE w AS (SELECT old, new AS current, 1 AS hops FROM r UNION ALL SELECT w.old, r.new, hops + 1 FROM w JOIN r ON r.old = w.current) SELECT old, arg_max(current, hops) AS current, max(hops) AS hops FROM w GROUP BY 1)
+SELECT current, old, hops FROM c""")
+def _(t):
+    """All former names of each current one, over all customers; chains end where a link leaves their letter."""
+    k = F.col("c_custkey")
+    new = F.when(k % 50 >= 43, F.concat(F.lit("R"), k.cast("string"))).otherwise(F.concat(F.lit("C"), (k + 7).cast("string")))
+    return idn.predecessors(t.customer.select(F.concat(F.lit("C"), k.cast("string")).alias("old"), new.alias("new")))
+
+
 @query("I6_chain_faults", sql="""
 , r AS (SELECT DISTINCT 'C' || c_custkey AS old, CASE WHEN c_custkey % 30 = 0 THEN 'C' || (c_custkey - 29) ELSE 'C' || (c_custkey + 1) END AS new FROM customer WHERE c_custkey % 60 > 30 OR c_custkey % 30 <> 0
   UNION SELECT 'C' || c_custkey, 'D' || c_custkey FROM customer WHERE c_custkey % 60 = 35),
