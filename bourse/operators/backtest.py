@@ -43,6 +43,45 @@ def feature_factors(columns) -> dict[str, Callable[[], Column]]:
     return plain | {f"feature_{c}_inverted": (lambda c=c: -F.col(c)) for c in columns}
 
 
+# The literature and platform factors over a wide panel. Which column each reads, and with which sign.
+AS_IT_IS = {
+    "momentum_21d": "r21", "momentum_63d": "r63", "momentum_12_1": "r12_1", "high_vol": "vol21", "delivery_pct": "deliv_pct", "near_52w_high": "pct_of_52w_high", "value_earnings_yield": "earnings_yield",
+    "value_book_to_price": "book_to_price", "insider_net": "insider_net", "earnings_beat_yoy": "earnings_category_yoy", "earnings_beat_qoq": "earnings_category_qoq", "win_probability": "win_probability",
+    "screener_overbought": "rsi14", "screener_near_52w_low": "prox_52w_low", "gap_up": "gap_pct", "delivery_spike": "deliv_spike", "delivery_trend": "deliv_trend", "ticket_size": "ticket_ratio",
+    "vendor_composite": "vendor_composite", "screener_breadth": "screener_breadth", "external_score": "external_score",
+}
+INVERTED = {
+    "reversal_5d": "r5", "reversal_21d": "r21", "low_vol": "vol21", "low_idio_vol": "idio_vol", "low_beta": "beta", "low_max_ret": "max_ret_21d", "screener_oversold": "rsi14",
+    "screener_below_lower_bb": "bb_pos", "gap_down": "gap_pct",
+}
+SUMS_OF_Z = {
+    "reversal_x_delivery": ("deliv_pct", "-r5", "-vol21"), "momentum_ex_lottery": ("r12_1", "-max_ret_21d", "-vol21"), "value_composite": ("earnings_yield", "book_to_price"),
+    "value_x_momentum": ("earnings_yield", "book_to_price", "r12_1"),
+    "mean_reversion_14": ("-stoch_d", "-williams_r", "-stoch_k", "-cci", "-di_plus", "-dist_sma20_pct", "-vwap_dist_pct", "-volume_ratio_20d", "-obv_slope", "-atr_pct", "-volume_ratio_5d", "-macd_hist", "-mtf_alignment_score", "-bb_width"),
+}
+WITHIN_SECTOR = {"value_book_to_price_sn": ("book_to_price",), "value_earnings_yield_sn": ("earnings_yield",), "value_composite_sn": ("earnings_yield", "book_to_price"), "momentum_12_1_sn": ("r12_1",)}
+SECTOR_MAPPED = {"value_book_to_price_secmapped": "book_to_price"}
+
+
+def wide_factors(columns, min_sector: int = 5) -> dict[str, Callable[[], Column]]:
+    """The library's factors that a panel with these columns can score, by name; higher is more attractive to hold.
+
+    Sums add standard scores over the date; within a sector a standard score needs `min_sector` names, and names without
+    a sector have none.
+    """
+    held = set(columns)
+
+    def summed(parts, score) -> Callable[[], Column]:
+        return lambda: sum((-score(c[1:]) if c.startswith("-") else score(c) for c in parts), F.lit(0.0))
+
+    every: dict[str, tuple[set, Callable[[], Column]]] = {n: ({c}, lambda c=c: F.col(c)) for n, c in AS_IT_IS.items()}
+    every |= {n: ({c}, lambda c=c: -F.col(c)) for n, c in INVERTED.items()}
+    every |= {n: ({c.lstrip("-") for c in parts}, summed(parts, zscore)) for n, parts in SUMS_OF_Z.items()}
+    every |= {n: ({*parts, "sector"}, summed(parts, lambda c: F.when(F.col("sector").isNotNull(), sector_zscore(c, min_n=min_sector)))) for n, parts in WITHIN_SECTOR.items()}
+    every |= {n: ({c, "sector"}, lambda c=c: F.when(F.col("sector").isNotNull(), F.col(c))) for n, c in SECTOR_MAPPED.items()}
+    return {n: score for n, (needs, score) in every.items() if needs <= held}
+
+
 def factor_panel(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     """The columns the library reads, with the next open and eligibility."""
     w = per_symbol()
@@ -54,10 +93,11 @@ def factor_panel(bars: DataFrame, sectors: DataFrame) -> DataFrame:
     }).withColumn("vol", roll(F.stddev_samp, "_lr", w, 12, 8)).drop("_lr")
 
 
-def factor_scores(panel: DataFrame, names=None) -> DataFrame:
+def factor_scores(panel: DataFrame, names=None, factors: dict[str, Callable[[], Column]] | None = None) -> DataFrame:
     """Every factor's score per row in long form: (date, symbol, factor, score)."""
-    chosen = list(names or FACTORS)
-    scored = panel.select("date", "symbol", "next_open", *[FACTORS[f]().alias(f"f_{f}") for f in chosen])
+    factors = FACTORS if factors is None else factors
+    chosen = list(names or factors)
+    scored = panel.select("date", "symbol", "next_open", *[factors[f]().alias(f"f_{f}") for f in chosen])
     each = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"f_{f}").alias("score")) for f in chosen])
     return scored.select("date", "symbol", "next_open", F.explode(each).alias("_e")).select("date", "symbol", "next_open", "_e.factor", "_e.score").where("score IS NOT NULL")
 

@@ -41,6 +41,38 @@ def _(t):
     return bt.factor_scores(panel(t))
 
 
+# A wide panel in which columns of the monthly one stand in for the vendor fields that the library reads.
+STAND_INS = {
+    "r5": "ret_5", "r21": "ret_1", "r63": "ret_5 + ret_1", "r12_1": "ret_5 - ret_1", "vol21": "vol", "deliv_pct": "close_loc", "idio_vol": "vol * vol_ratio", "beta": "vol_ratio", "max_ret_21d": "greatest(ret_1, ret_5)",
+    "pct_of_52w_high": "pct_of_high", "earnings_yield": "1 / close", "book_to_price": "n / close", "insider_net": "turnover - volume", "earnings_category_yoy": "sign(ret_5)", "earnings_category_qoq": "sign(ret_1)", "win_probability": "1 / (1 + exp(-ret_1))",
+    "rsi14": "100 * close_loc", "prox_52w_low": "1 - pct_of_high", "bb_pos": "close_loc - 0.5", "gap_pct": "100 * gap", "deliv_spike": "vol_ratio - 1", "deliv_trend": "vol_ratio * close_loc", "ticket_ratio": "volume / n", "vendor_composite": "round(2 * close_loc)",
+    "screener_breadth": "n * 1.0", "external_score": "50 + 10 * ret_1", "stoch_d": "close_loc", "williams_r": "close_loc - 1", "stoch_k": "close_loc * 2", "cci": "ret_5 * 3", "di_plus": "abs(ret_1)", "dist_sma20_pct": "ret_1 * 2", "vwap_dist_pct": "gap",
+    "volume_ratio_20d": "vol_ratio", "obv_slope": "ret_1 * volume", "atr_pct": "vol * 2", "volume_ratio_5d": "vol_ratio * 2", "macd_hist": "ret_5 - ret_1", "mtf_alignment_score": "sign(ret_1) + sign(ret_5)", "bb_width": "vol * 4",
+}
+_z = "CASE WHEN coalesce(stddev_samp({c}) OVER d, 0) = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER d) / stddev_samp({c}) OVER d END".format
+_s = "CASE WHEN sector IS NOT NULL AND count({c}) OVER s >= 5 THEN ({c} - avg({c}) OVER s) / nullif(stddev_samp({c}) OVER s, 0) END".format
+WIDE = {
+    "momentum_21d": "r21", "momentum_63d": "r63", "momentum_12_1": "r12_1", "reversal_5d": "-r5", "reversal_21d": "-r21", "low_vol": "-vol21", "high_vol": "vol21", "delivery_pct": "deliv_pct",
+    "reversal_x_delivery": f"{_z(c='deliv_pct')} - {_z(c='r5')} - {_z(c='vol21')}", "low_idio_vol": "-idio_vol", "low_beta": "-beta", "low_max_ret": "-max_ret_21d", "near_52w_high": "pct_of_52w_high",
+    "momentum_ex_lottery": f"{_z(c='r12_1')} - {_z(c='max_ret_21d')} - {_z(c='vol21')}", "value_earnings_yield": "earnings_yield", "value_book_to_price": "book_to_price", "value_composite": f"{_z(c='earnings_yield')} + {_z(c='book_to_price')}",
+    "value_x_momentum": f"{_z(c='earnings_yield')} + {_z(c='book_to_price')} + {_z(c='r12_1')}", "insider_net": "insider_net", "earnings_beat_yoy": "earnings_category_yoy", "earnings_beat_qoq": "earnings_category_qoq", "win_probability": "win_probability",
+    "mean_reversion_14": "-(" + " + ".join(_z(c=c) for c in "stoch_d williams_r stoch_k cci di_plus dist_sma20_pct vwap_dist_pct volume_ratio_20d obv_slope atr_pct volume_ratio_5d macd_hist mtf_alignment_score bb_width".split()) + ")",
+    "screener_overbought": "rsi14", "screener_oversold": "-rsi14", "screener_near_52w_low": "prox_52w_low", "screener_below_lower_bb": "-bb_pos", "gap_down": "-gap_pct", "gap_up": "gap_pct", "delivery_spike": "deliv_spike", "delivery_trend": "deliv_trend",
+    "ticket_size": "ticket_ratio", "vendor_composite": "vendor_composite", "value_book_to_price_secmapped": "CASE WHEN sector IS NOT NULL THEN book_to_price END", "value_book_to_price_sn": _s(c="book_to_price"), "value_earnings_yield_sn": _s(c="earnings_yield"),
+    "value_composite_sn": f"{_s(c='earnings_yield')} + {_s(c='book_to_price')}", "momentum_12_1_sn": _s(c="r12_1"), "screener_breadth": "screener_breadth", "external_score": "external_score",
+}
+
+
+@query("K9_wide_library", uses="bars_s", doubles="score", sql=PANEL + f"""
+, wd AS (SELECT date, symbol, CASE WHEN sec = 4 THEN NULL ELSE sec END AS sector, {", ".join(f"{e} AS {c}" for c, e in STAND_INS.items())} FROM fp),
+wf AS (SELECT date, symbol, {", ".join(f"CAST({e} AS DOUBLE) AS f_{n}" for n, e in WIDE.items())} FROM wd WINDOW d AS (PARTITION BY date), s AS (PARTITION BY date, sector))
+SELECT date, symbol, factor[3:] AS factor, score FROM (UNPIVOT wf ON COLUMNS('^f_') INTO NAME factor VALUE score)""")
+def _(t):
+    """All forty literal factors of the library in one pass."""
+    wide = panel(t).withColumn("sector", F.when(F.col("sector") != "4", F.col("sector"))).selectExpr("date", "symbol", "next_open", "sector", *[f"{e} AS {c}" for c, e in STAND_INS.items()])
+    return bt.factor_scores(wide, factors=bt.wide_factors(wide.columns)).select("date", "symbol", "factor", "score")
+
+
 PERIODS = """
 , el AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS no FROM (SELECT DISTINCT date FROM fp WHERE eligible)),
 gr AS (SELECT date, CAST(no / 3 AS BIGINT) AS period, lead(date) OVER (ORDER BY no) AS exit_date FROM el WHERE no % 3 = 0),
