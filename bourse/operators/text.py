@@ -74,10 +74,10 @@ def build_alias_index(names: DataFrame, generic=GENERIC) -> DataFrame:
 
 
 def _tagged_in_place(docs: DataFrame, first: DataFrame, text: str, doc: str, longest: int) -> DataFrame:
-    """(doc, symbol, alias) with the aliases broadcast, as their number is bounded: every token carries the few that follow it, no text is shuffled."""
-    words = F.split(norm(text), " ")
-    starts = F.transform(words, lambda w, k: F.struct(w.alias("_first"), F.concat(F.array_join(F.slice(words, k + 1, F.lit(longest)), " "), F.lit(" ")).alias("_after")))
-    tokens = docs.select(doc, F.explode(starts).alias("_s")).select(doc, "_s.*")
+    """(doc, symbol, alias) with the aliases broadcast, as their number is bounded: each distinct token with the few that follow it meets them, no text is shuffled."""
+    # The words are bound to a lambda variable: as a column they would be cut from the text again for every token.
+    runs = F.transform(F.array(F.split(norm(text), " ")), lambda words: F.transform(words, lambda w, k: F.concat(F.array_join(F.slice(words, k + 1, F.lit(longest)), " "), F.lit(" "))))
+    tokens = docs.select(doc, F.explode(F.array_distinct(runs[0])).alias("_after")).withColumn("_first", F.substring_index("_after", " ", 1))
     return tokens.join(F.broadcast(first), "_first").where(F.startswith("_after", F.concat("alias", F.lit(" ")))).select(doc, "symbol", "alias")
 
 
