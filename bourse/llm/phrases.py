@@ -7,8 +7,8 @@ and a further pass counts what that opens, until a pass brings nothing new. A ph
 parts, so nothing frequent is missed, whatever the sample held.
 
 Proposals grow with the corpus, so passes get them as a Bloom filter of bounded size; what it admits wrongly is counted
-like the rest and changes no result. Passes count 61-bit keys of phrases: each task folds the keys of millions of
-words, ships them in blocks by key range, and the ranges are added up. Keys only select: the phrases whose key is
+like the rest and changes no result. Passes count 61-bit keys of phrases: each task folds the keys of a million
+phrases, ships them in blocks by key range, and the ranges are added up. Keys only select: the phrases whose key is
 frequent are then counted again as the words themselves, and those counts decide.
 """
 
@@ -29,9 +29,9 @@ from bourse.llm.shared import body, quoted, stored
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
-GULP = 1 << 22  # characters of one language that are cut into words at a time
-SLICE = 1 << 20  # words that are numbered at a time
-FLUSH = 1 << 22  # keys that are folded before they are shipped
+GULP = 1 << 20  # characters of one language that are cut into words at a time
+SLICE = 1 << 18  # words that are numbered at a time
+FLUSH = 1 << 20  # keys that are folded before they are shipped
 RANGE = 1 << 24  # bytes of text for each range of keys, about
 FILTER = 28  # the Bloom filter has at most 2 to this many bits
 SAMPLE, SAMPLE_MINIMUM = 8, 2  # one document in SAMPLE proposes what it holds SAMPLE_MINIMUM times or more
@@ -149,7 +149,11 @@ def frequent_keys(texts: DataFrame, ranges: int, minimum: int, longest: int, kno
         waiting, size = [], 0
 
         def shipped() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(waiting), return_counts=True)
+            every = np.concatenate(waiting)
+            waiting.clear()
+            every.sort()
+            starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            keys, n = every[starts], np.diff(np.append(starts, len(every)))
             home = (keys >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
             cuts = np.searchsorted(home, np.arange(ranges + 1, dtype=np.uint64))
             full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
@@ -160,9 +164,9 @@ def frequent_keys(texts: DataFrame, ranges: int, minimum: int, longest: int, kno
             for keys in part.opened(*filters):
                 waiting.append(keys)
                 size += len(keys)
-            if size >= FLUSH:
-                yield shipped()
-                waiting, size = [], 0
+                if size >= FLUSH:
+                    yield shipped()
+                    size = 0
         if size:
             yield shipped()
 
