@@ -37,8 +37,9 @@ WIDTH, NOISE, BATCH = 32, 64, 4096  # of the vectors; noise outputs and tokens p
 START = 4_000_000  # tokens of the bounded sample on which the common start is trained
 START_RATE, RATE, SEEN = 0.1, 0.02, 30.0  # learning rates there and over all texts, and what a row's steps are damped by at first
 TABLE, SPELLED = 1 << 18, 64  # most words whose counts go to all tasks, and the longest such word in bytes
-KEPT = 1 << 19  # words that a task counts before it ships them
-GULP = 1 << 22  # characters that are cut into words at a time
+KEPT = 1 << 18  # words that a task counts before it ships them
+GULP = 1 << 22  # characters whose tokens are shuffled together in training
+CUT = 1 << 20  # characters that are cut into words at a time
 SEGMENTS = 64  # parts in which models are averaged
 
 
@@ -46,15 +47,15 @@ def words_of(texts: list[str]) -> list[list[bytes]]:
     return [t.encode().lower().split() for t in texts]
 
 
-def gulps(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[list, list[str]]]:
-    """Rows' first columns and their texts (column `at`), about GULP characters at a time; a longer text stands alone."""
+def gulps(batches: Iterator[pa.RecordBatch], at: int, most: int = CUT) -> Iterator[tuple[list, list[str]]]:
+    """Rows' first columns and their texts (column `at`), about `most` characters at a time; a longer text stands alone."""
     rows, texts, size = [], [], 0
     for batch in batches:
         for k, text in enumerate(batch.column(at)):
             rows.append((batch, k))
             texts.append(text.as_py())
             size += len(texts[-1])
-            if size >= GULP:
+            if size >= most:
                 yield rows, texts
                 rows, texts, size = [], [], 0
     if rows:
@@ -164,7 +165,13 @@ class Model:
         a = (self.inner * self.place[0]) @ self.outer.T + self.bias
         b = (self.inner * self.place[1]) @ self.outer.T
         top_a, top_b = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        z = np.log(np.exp(a - top_a) @ np.exp(b - top_b).T + np.float32(1e-30)) + top_a + top_b.T
+        left, right = a - top_a, b - top_b  # each table takes 16 MB in every worker: no copies
+        z = np.exp(left, out=left) @ np.exp(right, out=right).T
+        del left, right
+        z += np.float32(1e-30)
+        np.log(z, out=z)
+        z += top_a
+        z += top_b.T
         return a, b, z
 
 
@@ -246,6 +253,20 @@ class Encoder:
         return flat, tokens, ends
 
 
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, ends) as in `stream`, for many texts: the words of about CUT characters are held at a time."""
+        parts, ends, at = [np.zeros(2, np.int64)], [], 0
+        first, size = 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= CUT or k == len(texts):
+                _, some, stops = self.stream(texts[first:k])
+                parts.append(some[2:])
+                ends.append(stops + at)
+                at, first, size = at + len(some) - 2, k, 0
+        return np.concatenate(parts), np.concatenate(ends)
+
+
 def contexts(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, t): the output before, the one before that, and the output; before a text's first word stand two ends."""
     x, y, t = tokens[1:-1], tokens[:-2].copy(), tokens[2:]
@@ -262,8 +283,8 @@ def _models(texts: DataFrame, v: Vocabulary, start: np.ndarray, rate: float, mos
         part = TaskContext.get().partitionId()
         encoder, own, weight = Encoder(v), Model(start.copy()), 0
         trainer = Trainer(own, noise_of(v), rate, part)
-        for _, some in gulps(batches, 0):
-            _, tokens, ends = encoder.stream(some)
+        for _, some in gulps(batches, 0, GULP):
+            tokens, ends = encoder.tokens(some)
             trainer.steps(*contexts(tokens, ends))
             weight += len(tokens) - 2
             if most is not None and weight >= most:
