@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE, ASKED = 4096, 1024  # vectors and queries of a tile
 AT_ONCE = 256  # queries whose similarities to a tile are held at a time
-SALTS = 8  # keys over which the postings of a term are dealt
+SALTS = 8  # keys over which the rows of a group are dealt
+COUNTED = 1024  # documents whose terms are counted at a time
+SHARD, BLOCK = 16384, 50_000  # documents of a shard and queries of a block, about
 
 
 def tiles(rows: DataFrame, id: str, vector: str, size: int, by=(), at_most: int | None = None) -> DataFrame:
@@ -155,49 +158,89 @@ def _terms(text) -> F.Column:
     return F.filter(F.split(norm(text), " "), lambda t: t != "")
 
 
+def _postings(batches: Iterator[pa.RecordBatch], weights: list[float], mean: float, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    """(doc, len, terms of each field) to (term, doc, impact), a row per term of a document; rows of one term lie together."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, COUNTED):
+            some = batch.slice(at, COUNTED)
+            each = [some.column(2 + f) for f in range(len(weights))]
+            said = pa.chunked_array([e.flatten() for e in each], pa.string()).combine_chunks().dictionary_encode()
+            row = np.concatenate([pc.list_parent_indices(e).to_numpy() for e in each])
+            w = np.concatenate([np.full(len(e.flatten()), x) for e, x in zip(each, weights, strict=True)])
+            key, place = np.unique(said.indices.to_numpy().astype(np.int64) * COUNTED + row, return_inverse=True)
+            tf, row = np.bincount(place, w, len(key)), key % COUNTED
+            length = some.column(1).to_numpy()[row]
+            impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+            yield pa.RecordBatch.from_arrays([said.dictionary.take(pa.array(key // COUNTED)), some.column(0).take(pa.array(row)), pa.array(impact)], names=["term", "doc", "impact"])
+
+
 def write_text_index(docs: DataFrame, folder: str, fields: dict, doc: str, best: int = 100, k1: float = 1.2, b: float = 0.75) -> None:
     """An inverted index of weighted fields: postings by term with their impacts, a table of terms, the scoring constants.
 
-    An impact is what a posting adds to a BM25 score before the term's rarity weighs in. A term's row has the number of
-    its documents, its largest impact, and its `best` largest ones, from which searches bound what they can skip.
+    An impact is what a posting adds to a BM25 score before the term's rarity weighs in. Every task counts the terms of
+    its documents and writes a segment of its own, so no posting is shuffled; a search asks for `best` documents at most.
     """
     spark = docs.sparkSession
-    weighed = lambda f, w: F.transform(_terms(f), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    each = [weighed(f, w) for f, w in fields.items()]
-    said = docs.select(F.col(doc).alias("doc"), F.concat(*[F.coalesce(e, F.array().cast("array<struct<term:string,w:double>>")) for e in each]).alias("_t"))
-    said = said.withColumn("len", F.greatest(F.size("_t"), F.lit(1)))
+    terms = [F.coalesce(_terms(f), F.array().cast("array<string>")).alias(f"_t{i}") for i, f in enumerate(fields)]
+    size = F.greatest(sum((F.size(f"_t{i}") for i in range(len(fields))), F.lit(0)), F.lit(1)).alias("len")
+    said = docs.select(F.col(doc).alias("doc"), *terms).select("doc", size, *[f"_t{i}" for i in range(len(fields))])
     said.agg(F.count("*").alias("docs"), F.avg("len").alias("mean")).withColumns({"k1": F.lit(k1), "b": F.lit(b), "best": F.lit(best)}).coalesce(1).write.parquet(f"{folder}/constants")
-    mean = spark.read.parquet(f"{folder}/constants").select("mean").scalar()
-    counted = said.select("doc", "len", F.explode("_t").alias("_t")).groupBy("doc", "_t.term").agg(F.sum("_t.w").alias("tf"), F.first("len").alias("len"))
-    impact = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / mean))
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
-    counted.select("term", salt.alias("salt"), "doc", impact.alias("impact")).repartitionByRange("term", "salt").sortWithinPartitions("term", "salt").write.parquet(f"{folder}/postings")
-    postings = spark.read.parquet(f"{folder}/postings")
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("impact")))
-    top = postings.select("term", "impact").withColumn("_p", place).where(F.col("_p") <= best).groupBy("term").agg(F.sort_array(F.collect_list("impact"), False).alias("top"))
-    postings.groupBy("term").agg(F.count("*").alias("df")).join(top, "term").write.parquet(f"{folder}/terms")
+    mean, weights = spark.read.parquet(f"{folder}/constants").first().mean, [float(w) for w in fields.values()]
+    kind = docs.schema[doc].dataType.simpleString()
+    said.mapInArrow(lambda batches: _postings(batches, weights, mean, k1, b), f"term string, doc {kind}, impact double").write.parquet(f"{folder}/postings")
+    spark.read.parquet(f"{folder}/postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
+
+
+def _best_of(postings: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """(term, doc, impact) of a shard and (qid, term, idf) of a block of queries to (qid, doc, score), the k best per query."""
+    out = [pa.table({"qid": asked["qid"].slice(0, 0), "doc": postings["doc"].slice(0, 0), "score": pa.array([], pa.float64())})]
+    if not (postings.num_rows and asked.num_rows):
+        return out[0]
+    coded = postings["doc"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))  # documents in order, so that ties go to the first column
+    column, names = place[coded.indices.to_numpy()], coded.dictionary.take(pa.array(order))
+    held = postings["term"].combine_chunks().dictionary_encode()
+    code = held.indices.to_numpy()
+    by = np.argsort(code, kind="stable")
+    column, impact = column[by], postings["impact"].to_numpy()[by]
+    starts = np.searchsorted(code[by], np.arange(len(held.dictionary) + 1))
+    asked = asked.sort_by([("qid", "ascending"), ("term", "ascending")])
+    term = pc.index_in(asked["term"], held.dictionary).to_numpy(zero_copy_only=False)
+    idf, queries = asked["idf"].to_numpy(), asked["qid"].combine_chunks().dictionary_encode()
+    line, known = queries.indices.to_numpy(), np.flatnonzero(term == term)
+    scores = np.zeros((min(AT_ONCE, len(queries.dictionary)), len(names)))
+    for first in range(0, len(queries.dictionary), len(scores)):
+        scores[:] = 0.0
+        for i in known[slice(*np.searchsorted(line[known], [first, first + len(scores)]))]:
+            part = slice(starts[int(term[i])], starts[int(term[i]) + 1])
+            scores[line[i] - first, column[part]] += idf[i] * impact[part]  # a document holds a term once
+        s = np.round(scores, 9)
+        q, d = np.nonzero(best_columns(s, k) & (s > 0))
+        out.append(pa.table({"qid": queries.dictionary.take(pa.array(q + first)), "doc": names.take(pa.array(d)), "score": pa.array(s[q, d])}))
+    return pa.concat_tables(out)
 
 
 def search_text_index(spark: SparkSession, folder: str, queries: DataFrame, k: int) -> DataFrame:
     """(qid, doc, score, rank): the k best documents by BM25 for each query of (qid, term), any number of queries; exact.
 
-    If k documents hold a term with some impact, the k-th best score is at least what that term gives them. Terms whose
-    bounds together stay below the best such score need not be looked up for candidates: only documents that hold one
-    of the other terms are scored, so the long postings of common words are read for those documents alone.
+    Documents are dealt into shards by a hash, and a block of queries meets the postings of a shard that hold its terms.
+    A pair of them adds up all its scores and leaves at most k documents per query, so what is shuffled are postings and
+    queries, never pairs of query and document.
     """
     c = spark.read.parquet(f"{folder}/constants").first()
     if k > c.best:
         raise ValueError(f"the index bounds searches for at most {c.best} documents")
     postings, terms = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/terms")
+    shards = 1 + c.docs // SHARD
+    blocks = 1 + queries.select("qid").distinct().count() // BLOCK
     idf = F.log(1 + (F.lit(c.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = queries.distinct().join(terms, "term").select("qid", "term", idf.alias("idf"), (idf * F.col("top")[0]).alias("most"), F.coalesce(idf * F.get("top", F.lit(k - 1)), F.lit(0.0)).alias("sure"))
-    query = Window.partitionBy("qid")  # the terms of one query
-    rising = query.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    asked = asked.withColumns({"_sure": F.max("sure").over(query), "_upto": F.sum("most").over(rising)})
-    asked = asked.select("qid", "term", "idf", (F.col("_upto") >= F.col("_sure") - 1e-6).alias("needed")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    candidates = asked.where("needed").join(postings, ["term", "salt"]).select("qid", "doc").distinct()
-    hits = asked.join(postings, ["term", "salt"]).select("qid", "doc", "needed", (F.col("idf") * F.col("impact")).alias("s"))
-    others = hits.where("not needed").join(candidates, ["qid", "doc"], "left_semi")
-    scored = hits.where("needed").union(others).groupBy("qid", "doc").agg(F.round(F.sum("s"), 9).alias("score")).where("score > 0")
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.distinct().join(terms, "term").select("qid", "term", idf.alias("idf"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("_block"))
+    met = postings.join(asked.select("term").distinct(), "term", "left_semi").withColumn("_shard", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int"))
+    left, right = met.withColumn("_block", number(blocks)), asked.withColumn("_shard", number(shards))
+    kinds = f"qid {queries.schema['qid'].dataType.simpleString()}, doc {postings.schema['doc'].dataType.simpleString()}, score double"
+    scored = left.groupBy("_shard", "_block").cogroup(right.groupBy("_shard", "_block")).applyInArrow(lambda p, q: _best_of(p, q, k), kinds)
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc")))
     return scored.withColumn("rank", place).where(F.col("rank") <= k)
