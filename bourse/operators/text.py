@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from bourse.functions.frames import col, ratio
 from bourse.functions.scalar import content_id, norm
 from bourse.operators.search import vector_topk  # noqa: F401  (a part of this module's interface)
+from bourse.session import written
 
 # The lexicons and patterns of the news classifier.
 BULLISH = [
@@ -201,12 +202,14 @@ def build_documents(master: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def keyword_search(docs: DataFrame, query, fields: dict, doc: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Field-weighted BM25 ranking of documents for a list of terms."""
-    tokens = {f: F.filter(F.split(norm(f), " "), lambda t: t != "") for f in fields}
-    rows = docs.select(doc, *[t.alias(f"_{f}") for f, t in tokens.items()])
-    count = lambda f, q: F.size(F.filter(f"_{f}", lambda t: t == q))
-    length = F.greatest(sum((F.size(f"_{f}") for f in fields), F.lit(0)), F.lit(1))
-    tf = {f"_tf{i}": sum((count(f, q) * w for f, w in fields.items()), F.lit(0.0)) for i, q in enumerate(query)}
-    rows = rows.select(doc, length.alias("_len"), *[e.alias(n) for n, e in tf.items()])
+    of = lambda words, q: F.size(F.filter(words, lambda t: t == q))
+    counts = lambda words: F.struct(F.size(words).alias("n"), *[of(words, q).alias(f"c{i}") for i, q in enumerate(query)])
+    # The words are bound by an array of one, so a text is cut once however often they are counted.
+    cut = {f: F.transform(F.array(F.filter(F.split(norm(f), " "), lambda t: t != "")), counts)[0] for f in fields}
+    rows = docs.select(doc, *[c.alias(f"_{f}") for f, c in cut.items()])
+    length = F.greatest(sum((F.col(f"_{f}.n") for f in fields), F.lit(0)), F.lit(1))
+    tf = {f"_tf{i}": sum((F.col(f"_{f}.c{i}") * w for f, w in fields.items()), F.lit(0.0)) for i in range(len(query))}
+    rows = written(rows.select(doc, length.alias("_len"), *[e.alias(n) for n, e in tf.items()]), "term-counts")  # a few numbers a document, read twice
     facts = rows.agg(F.struct(F.count("*").alias("n"), F.avg("_len").alias("len"), *[F.count_if(F.col(n) > 0).alias(n) for n in tf]).alias("s"))
     rows = rows.withColumn("_s", facts.scalar())
     s = F.col("_s")
