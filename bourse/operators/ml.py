@@ -58,10 +58,10 @@ def held_out_auc(scored: DataFrame, label: str, score: str = "score") -> DataFra
 
 def train_ranker_ensemble(df: DataFrame, features, target: str, folds: DataFrame, half_life: float) -> DataFrame:
     """Boosted and ridge members weighted towards recent sessions, combined as the mean of rank-gauss scores."""
-    latest = F.max("idx").over(Window.partitionBy("fold"))
     rows = vectors(df.where(F.col(target).isNotNull()), features)
 
     def weighted(train):
+        latest = train.agg(F.max("idx")).scalar()  # the rows of one fold
         return train.withColumn("_w", F.pow(F.lit(0.5), (latest - F.col("idx")) / half_life))
 
     members = {
