@@ -190,9 +190,10 @@ def combo_search(rows: DataFrame, flags, max_size: int, ret: str, cost: float, m
 
 def provider_consistency(scores: DataFrame, low: float = 0.4, high: float = 0.6) -> DataFrame:
     """Rank correlation, agreement and divergence of every two providers' scores (a few providers)."""
-    ranked = scores.withColumn("_p", percentile_rank("score", "provider", "date"))
-    a, b = ranked.select("date", "symbol", F.col("provider").alias("a"), F.col("_p").alias("x")), ranked.select("date", "symbol", F.col("provider").alias("b"), F.col("_p").alias("y"))
-    pairs = a.join(b, ["date", "symbol"]).where("a < b")
+    ranked = scores.withColumn("_p", percentile_rank("score", "provider", "date")).where("date IS NOT NULL AND symbol IS NOT NULL")
+    given = ranked.groupBy("date", "symbol").agg(F.collect_list(F.struct("provider", "_p")).alias("_g"))
+    pairs = given.withColumn("_a", F.explode("_g")).withColumn("_b", F.explode("_g")).where("_a.provider < _b.provider")
+    pairs = pairs.select(F.col("_a.provider").alias("a"), F.col("_b.provider").alias("b"), F.col("_a._p").alias("x"), F.col("_b._p").alias("y"))
     same = ((F.col("x") >= high) & (F.col("y") >= high)) | ((F.col("x") <= low) & (F.col("y") <= low))
     apart = ((F.col("x") >= high) & (F.col("y") <= low)) | ((F.col("x") <= low) & (F.col("y") >= high))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), finite(F.corr("x", "y")).alias("rank_corr"), F.avg(same.cast("double")).alias("agreement"), F.avg(apart.cast("double")).alias("divergence"))
