@@ -27,7 +27,9 @@ def edge_verdict(panel: DataFrame, scores, horizons, min_names: int = 10, min_sy
     rows = rows.withColumn("regime", F.explode(F.array(F.col("regime"), F.lit("ALL"))))
     keys = ["score_name", "horizon", "regime"]
     ic = per_date_ic(rows, "score", "fwd", min_names, 3, keys).groupBy(*keys).agg(F.avg("ic").alias("rank_ic"))
-    beat = rows.withColumn("_y", (F.col("fwd") > F.percentile("fwd", F.lit(0.5)).over(peers(*keys, "date"))).cast("int"))
+    # A return is above its session's median if at least half of the returns are smaller.
+    day = peers(*keys, "date")
+    beat = rows.select(*keys, "score", (2 * (F.rank().over(day.orderBy("fwd")) - 1) >= F.count("*").over(day)).cast("int").alias("_y"))
     auc = auc_by_rank(beat, keys, "score", "_y").select(*keys, "n", F.col("auc").alias("hit_auc"))
     dates = rows.select(*keys, "date").distinct().groupBy(*keys).agg(F.count("*").alias("dates"))
     names = rows.select(*keys, "symbol").distinct().groupBy(*keys).agg(F.count("*").alias("symbols"))

@@ -14,10 +14,12 @@ def per_date_ic(panel: DataFrame, score: str, fwd: str, min_names: int = 10, min
     """Spearman correlation of score and forward return per session, with average-tie ranks."""
     by = (*keys, "date")
     rows = panel.where(F.col(score).isNotNull() & F.col(fwd).isNotNull())
-    ranked = rows.select(*by, F.col(score).alias("_raw"), average_rank(score, *by).alias("_s"), average_rank(fwd, *by).alias("_f"))
+    # Scores are counted by their last dense rank: the rows are sorted for the ranks anyway.
+    place = [F.dense_rank().over(peers(*by).orderBy(F.asc_nulls_last(score))).alias("_d")] if min_scores else []
+    ranked = rows.select(*by, average_rank(score, *by).alias("_s"), average_rank(fwd, *by).alias("_f"), *place)
     out = ranked.groupBy(*by).agg(
         finite(F.corr("_s", "_f")).alias("ic"), F.count("*").alias("names"),
-        *([F.count_distinct("_raw").alias("_distinct")] if min_scores else []),
+        *([F.max("_d").alias("_distinct")] if min_scores else []),
     )
     keep = (F.col("names") >= min_names) & F.col("ic").isNotNull()
     if min_scores:
