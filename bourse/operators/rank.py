@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from bourse.functions import normal
 from bourse.functions.frames import clamp, ratio
+from bourse.operators.evaluation import to_long
 from bourse.operators.indicators import W_START
 from bourse.operators.spans import pair_correlation
-from bourse.operators.xsection import average_rank, neutral_percentile, peers, winsorize
+from bourse.operators.xsection import average_rank, peers, winsorize
 
 
 def lookup(key, table: dict, default: float) -> Column:
@@ -106,16 +107,26 @@ def correlation_clusters(returns: DataFrame, book: DataFrame, threshold: float,
 
 
 def composite_factors(df: DataFrame) -> DataFrame:
-    """Quality, momentum, value and risk percentiles per session and their weighted composite."""
-    pct = lambda c, up=True: neutral_percentile(c, ascending=up)
-    rows = df.withColumns({"_mom": F.col("ret_12m") - F.col("ret_1m"), "_ey": F.when(F.col("pe") > 0, 1 / F.col("pe")), "_pb": F.when(F.col("pb") > 0, F.col("pb"))})
-    rows = rows.withColumns({
-        "quality": (pct("piotroski") + pct("roe") + pct("debt", False)) / 3, "momentum": pct("_mom"),
-        "value": F.when((F.col("pe") <= 0) | (F.col("pb") <= 0), 0.0).otherwise((pct("_ey") + pct("_pb", False)) / 2),
-        "risk": (pct("sharpe") + pct("beta", False)) / 2,
+    """Quality, momentum, value and risk percentiles per session and their weighted composite, per date and symbol of a panel.
+
+    The factors are ranked as rows of (factor, session), one sort for all of them: a sort for each would hold a session's
+    rows in one task as often as there are factors. A row without any factor keeps its place by `_loss`.
+    """
+    pct = lambda c: F.coalesce(F.max(F.when(F.col("factor") == c, F.col("_p"))), F.lit(50.0))
+    falling = ("debt", "_pb", "beta")  # lower is better
+    rows = df.withColumns({
+        "_mom": F.col("ret_12m") - F.col("ret_1m"), "_ey": F.when(F.col("pe") > 0, 1 / F.col("pe")), "_pb": F.when(F.col("pb") > 0, F.col("pb")),
+        "_loss": F.coalesce((F.col("pe") <= 0) | (F.col("pb") <= 0), F.lit(False)),
     })
+    long = to_long(rows, ["date", "symbol"], ["piotroski", "roe", "debt", "_mom", "_ey", "_pb", "sharpe", "beta", "_loss"], "factor", "x").where("x IS NOT NULL")
+    n, place = F.count("*").over(peers("factor", "date")), average_rank("x", "factor", "date")
+    long = long.withColumn("_p", F.when(F.col("factor") == "_loss", F.col("x")).otherwise(100 * (F.when(F.col("factor").isin(*falling), n + 1 - place).otherwise(place) / n)))
+    out = long.groupBy("date", "symbol").agg(
+        ((pct("piotroski") + pct("roe") + pct("debt")) / 3).alias("quality"), pct("_mom").alias("momentum"),
+        F.when(pct("_loss") > 0, 0.0).otherwise((pct("_ey") + pct("_pb")) / 2).alias("value"), ((pct("sharpe") + pct("beta")) / 2).alias("risk"),
+    )
     # Weights of the composite; the macro part is neutral where no macro score exists.
-    return rows.withColumn("composite", 0.25 * F.col("quality") + 0.30 * F.col("momentum") + 0.20 * F.col("value") + 0.15 * F.col("risk") + 0.10 * 50.0).drop("_mom", "_ey", "_pb")
+    return out.withColumn("composite", 0.25 * F.col("quality") + 0.30 * F.col("momentum") + 0.20 * F.col("value") + 0.15 * F.col("risk") + 0.10 * 50.0)
 
 
 def grouped_composite(df: DataFrame, groups: dict, signs: dict | None = None, pct: float = 0.01) -> DataFrame:
