@@ -7,6 +7,7 @@ from bourse.operators import indicators as ind
 from bourse.plans.measure_queries import fwd_sql
 from bourse.plans.registry import query
 from bourse.plans.sqltext import P, frame, over, prev, rolled
+from bourse.session import written
 
 
 @query("L10_forward_return_open", uses="bars_s sessions_m", doubles="fwd", sql=fwd_sql(3, "bars_s") + "SELECT symbol, date, fwd, stopped FROM panel")
@@ -45,7 +46,7 @@ NO_BARS = "FROM e WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.symbol = e.symbol
 
 def trades(t, horizon: int = 5):
     """One trade per monthly bar: long or short by print count, levels around the close."""
-    bars = ind.atr(calendar.session_index(t.bars_m, t.sessions_m))
+    bars = written(ind.atr(calendar.session_index(t.bars_m, t.sessions_m)), "trade-bars")  # read as entries and as paths
     short = F.col("n") % 2 == 1
     entries = bars.select(
         "symbol", F.col("date").alias("entry_date"), "idx", F.col("close").alias("entry"),
