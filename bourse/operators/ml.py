@@ -25,7 +25,7 @@ def vectors(df: DataFrame, features) -> DataFrame:
 def out_of_fold(df: DataFrame, folds: DataFrame, fit, out: str = "score") -> DataFrame:
     """Scores of each test block from a model fitted on the rows before it; the folds are a handful."""
     numbers = [r.fold for r in folds.select("fold").orderBy("fold").collect()]
-    rows = written(fold_rows(df, folds), "folds")
+    rows = written(fold_rows(df, folds), "folds", by=("fold", "part"))  # a fit reads the files of its fold and part only
     scored = None
     for n in numbers:
         train, test = (rows.where((F.col("fold") == n) & (F.col("part") == p)) for p in ("TRAIN", "TEST"))
@@ -142,7 +142,7 @@ def conformal_interval(residuals: DataFrame, preds: DataFrame, residual: str, pr
 
 def train_excursion_regressors(df: DataFrame, features, split: Column) -> DataFrame:
     """Predicted favourable and adverse moves for rows after a time split, and the levels they imply."""
-    rows = vectors(df, features)
+    rows = written(vectors(df, features), "excursions")  # a fit reads its rows several times
     test = rows.where(~split)
     for side in ("mfe_pct", "mae_pct"):
         model = GBTRegressor(featuresCol="_x", labelCol=side, predictionCol=f"pred_{side}", maxDepth=3, maxIter=6, seed=7).fit(rows.where(split))

@@ -21,7 +21,8 @@ def folds(t):
 
 @query("ML1_train_classifier_purged")
 def _(t):
-    return ml.held_out_auc(ml.train_classifier_purged(panel(t), FEATURES, "y", folds(t)), "y")
+    rows = panel(t).select("symbol", "date", "idx", "y", *FEATURES)
+    return ml.held_out_auc(ml.train_classifier_purged(rows, FEATURES, "y", folds(t)), "y")
 
 
 @query("ML2_train_ranker_ensemble")

@@ -26,10 +26,13 @@ def local_session(cores: str = "8", app: str = "bourse") -> SparkSession:
     return spark
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """A table that is read more than once: written to the shared folder and read back, so nothing has to be released."""
+def written(df: DataFrame, name: str, by=()) -> DataFrame:
+    """A table that is read more than once: written to the shared folder and read back, so nothing has to be released.
+
+    Its files are cut by the columns `by`, of a handful of values each.
+    """
     path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
