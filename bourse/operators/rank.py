@@ -121,7 +121,8 @@ def composite_factors(df: DataFrame) -> DataFrame:
     long = to_long(rows, ["date", "symbol"], ["piotroski", "roe", "debt", "_mom", "_ey", "_pb", "sharpe", "beta", "_loss"], "factor", "x").where("x IS NOT NULL")
     n, place = F.count("*").over(peers("factor", "date")), average_rank("x", "factor", "date")
     long = long.withColumn("_p", F.when(F.col("factor") == "_loss", F.col("x")).otherwise(100 * (F.when(F.col("factor").isin(*falling), n + 1 - place).otherwise(place) / n)))
-    out = long.groupBy("date", "symbol").agg(
+    # Dealt first: a task of the ranking meets nearly each date and symbol once, so its own grouping would hold all of its rows again.
+    out = long.select("date", "symbol", "factor", "_p").repartition("date", "symbol").groupBy("date", "symbol").agg(
         ((pct("piotroski") + pct("roe") + pct("debt")) / 3).alias("quality"), pct("_mom").alias("momentum"),
         F.when(pct("_loss") > 0, 0.0).otherwise((pct("_ey") + pct("_pb")) / 2).alias("value"), ((pct("sharpe") + pct("beta")) / 2).alias("risk"),
     )
