@@ -15,12 +15,12 @@ words are looked up by a join.
 
 import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +43,13 @@ CUT = 1 << 20  # characters that are cut into words at a time
 SEGMENTS = 64  # parts in which models are averaged
 
 
-def words_of(texts: list[str]) -> list[list[bytes]]:
-    return [t.encode().lower().split() for t in texts]
+def words_of(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(words, lengths): the lower-cased words of all texts in order, each distinct one held once, and how many each text has."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.string())))
+    cut = pc.ascii_split_whitespace(bare)
+    lengths = np.where(pc.binary_length(bare).to_numpy() > 0, pc.list_value_length(cut).to_numpy(), 0)
+    words = cut.flatten()  # an empty text gives one empty word
+    return words.filter(pc.greater(pc.binary_length(words), 0)).dictionary_encode(), lengths.astype(np.int64)
 
 
 def gulps(batches: Iterator[pa.RecordBatch], at: int, most: int = CUT) -> Iterator[tuple[list, list[str]]]:
@@ -58,6 +63,7 @@ def gulps(batches: Iterator[pa.RecordBatch], at: int, most: int = CUT) -> Iterat
             if size >= most:
                 yield rows, texts
                 rows, texts, size = [], [], 0
+                pa.default_memory_pool().release_unused()
     if rows:
         yield rows, texts
 
@@ -65,21 +71,26 @@ def gulps(batches: Iterator[pa.RecordBatch], at: int, most: int = CUT) -> Iterat
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over all of `_text`; tasks fold what they meet first."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def shipped() -> Iterator[pa.RecordBatch]:
-            words = list(held)
-            for k in range(0, len(words), 1 << 16):
-                some = words[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()).cast(pa.string()), pa.array([held[w] for w in some], pa.int64())], names=["word", "c"])
+    def folded(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        sums = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"])
+        return sums.rename_columns(["word", "c"]).to_batches(max_chunksize=1 << 16)
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for _, some in gulps(batches, 0):
-            held.update(w for words in words_of(some) for w in words)
-            if len(held) > KEPT:
-                yield from shipped()
-                held.clear()
-        yield from shipped()
+            words, _ = words_of(some)
+            c = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+            held.append(pa.RecordBatch.from_arrays([words.dictionary, pa.array(c, pa.int64())], names=["word", "c"]))
+            size += len(c)
+            if size > 2 * KEPT:
+                held = folded(held)
+                size = sum(map(len, held))
+                if size > KEPT:
+                    yield from held
+                    held, size = [], 0
+        if held:
+            yield from folded(held)
 
     return stored(texts.select("_text").mapInArrow(task, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "word-counts")
 
@@ -162,17 +173,22 @@ class Model:
 
     def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a, b, z): ln P(output t after x, and y before x) = a[x, t] + b[y, t] - z[x, y]. Sums over all outputs are products of matrices."""
-        a = (self.inner * self.place[0]) @ self.outer.T + self.bias
-        b = (self.inner * self.place[1]) @ self.outer.T
+        a, b = self.terms()
         top_a, top_b = a.max(axis=1, keepdims=True), b.max(axis=1, keepdims=True)
-        left, right = a - top_a, b - top_b  # each table takes 16 MB in every worker: no copies
-        z = np.exp(left, out=left) @ np.exp(right, out=right).T
-        del left, right
+        a -= top_a
+        b -= top_b
+        z = np.exp(a, out=a) @ np.exp(b, out=b).T
+        del a, b  # each table takes 16 MB in every worker: no copies
         z += np.float32(1e-30)
         np.log(z, out=z)
         z += top_a
         z += top_b.T
-        return a, b, z
+        return *self.terms(), z
+
+    def terms(self) -> tuple[np.ndarray, np.ndarray]:
+        a = (self.inner * self.place[0]) @ self.outer.T
+        a += self.bias
+        return a, (self.inner * self.place[1]) @ self.outer.T
 
 
 def noise_of(v: Vocabulary) -> np.ndarray:
@@ -181,15 +197,10 @@ def noise_of(v: Vocabulary) -> np.ndarray:
     return mass / mass.sum()
 
 
-def _climb(rows: np.ndarray, seen: np.ndarray, ids: np.ndarray, steps: np.ndarray, rate: float) -> None:
-    """Add the summed steps to the rows they belong to, scaled by what each row has moved before (one scale per row)."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-    summed = np.add.reduceat(steps[order], starts, axis=0)
-    at = ids[starts]
-    seen[at] += (summed * summed).mean(axis=1)
-    rows[at] += rate * summed / np.sqrt(seen[at] + 1e-6)[:, None]
+def _climb(rows: np.ndarray, seen: np.ndarray, summed: np.ndarray, rate: float) -> None:
+    """Add each row's summed steps (zeros move nothing), scaled by what the row has moved before (one scale per row)."""
+    seen += np.einsum("ij,ij->i", summed, summed) / WIDTH
+    rows += summed * (rate / np.sqrt(seen + 1e-6))[:, None]
 
 
 class Trainer:
@@ -200,6 +211,11 @@ class Trainer:
         self.upto = np.cumsum(noise)
         self.odds = np.log(NOISE * noise).astype(np.float32)
         self.seen = [np.full(OUTPUTS, SEEN, np.float32) for _ in range(3)] + [np.full(2, SEEN, np.float32)]
+        self.places = np.arange(OUTPUTS * WIDTH).reshape(OUTPUTS, WIDTH)
+
+    def summed(self, ids: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """The sums of the steps of each output, in one pass without a sort."""
+        return np.bincount(self.places.take(ids, axis=0).ravel(), steps.ravel(), OUTPUTS * WIDTH).astype(np.float32).reshape(OUTPUTS, WIDTH)
 
     def steps(self, x: np.ndarray, y: np.ndarray, t: np.ndarray) -> None:
         order = self.rng.permutation(len(t))
@@ -210,48 +226,59 @@ class Trainer:
     def step(self, x: np.ndarray, y: np.ndarray, t: np.ndarray) -> None:
         m = self.model
         n = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), OUTPUTS - 1)
-        rx, ry, qt, qn = m.inner[x], m.inner[y], m.outer[t], m.outer[n]
+        rx, ry, qt, qn = (rows.take(ids, axis=0) for rows, ids in ((m.inner, x), (m.inner, y), (m.outer, t), (m.outer, n)))
         p = rx * m.place[0] + ry * m.place[1]
         true = 1 / (1 + np.exp(np.einsum("ij,ij->i", p, qt) + m.bias[t] - self.odds[t]))  # how far from certain
-        false = -1 / (1 + np.exp(self.odds[n] - m.bias[n] - p @ qn.T))
-        up = true[:, None] * qt + false @ qn
-        _climb(m.outer, self.seen[0], np.concatenate([t, n]), np.concatenate([true[:, None] * p, false.T @ p]), self.rate)
-        _climb(m.inner, self.seen[1], np.concatenate([x, y]), np.concatenate([up * m.place[0], up * m.place[1]]), self.rate)
-        pull = np.bincount(t, true, OUTPUTS) + np.bincount(n, false.sum(axis=0), OUTPUTS)
+        false = p @ qn.T
+        np.subtract(self.odds[n] - m.bias[n], false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.divide(-1, false, out=false)
+        up = true[:, None] * qt
+        up += false @ qn
+        _climb(m.outer, self.seen[0], self.summed(np.concatenate([t, n]), np.concatenate([true[:, None] * p, false.T @ p])), self.rate)
+        wide = up.astype(np.float64)
+        _climb(m.inner, self.seen[1], self.summed(x, wide) * m.place[0] + self.summed(y, wide) * m.place[1], self.rate)
+        pull = np.bincount(t, true, OUTPUTS) + np.bincount(n, np.ones(len(t), np.float32) @ false, OUTPUTS)
         self.seen[2] += (pull * pull).astype(np.float32)
         m.bias += (self.rate * pull / np.sqrt(self.seen[2])).astype(np.float32)
         for k, r in enumerate((rx, ry)):
-            turn = (up * r).sum(axis=0)
+            turn = np.einsum("ij,ij->j", up, r)
             self.seen[3][k] += (turn * turn).mean()
             m.place[k] += self.rate * turn / np.sqrt(self.seen[3][k])
 
 
 class Encoder:
-    """Outputs of the words of many texts; what a word's output is is remembered."""
+    """Outputs of the words of many texts; distinct words and endings are looked up once for all their places."""
 
     def __init__(self, v: Vocabulary):
-        self.v, self.known = v, {}
-
-    def outputs(self, words: list[bytes]) -> np.ndarray:
-        known, output = self.known, self.v.output
-        if len(known) > KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = output(w)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.frequent, self.endings = pa.array([w.decode() for w in v.frequent], pa.string()), pa.array(list(v.endings), pa.string())
+        self.own, self.ended = np.fromiter(v.frequent.values(), np.int64), np.fromiter(v.endings.values(), np.int64)
+
+    def outputs(self, words: pa.Array) -> np.ndarray:
+        """As `Vocabulary.output` has it, word by word."""
+        found = pc.fill_null(pc.index_in(words, self.frequent), -1).to_numpy()
+        out = np.zeros(len(words), np.int64)
+        out[found >= 0] = self.own[found[found >= 0]]
+        tails = pc.utf8_slice_codeunits(words.filter(pa.array(found < 0)), -TAIL).dictionary_encode()
+        ending = pc.fill_null(pc.index_in(tails.dictionary, self.endings), -1).to_numpy()
+        places = np.zeros(len(ending), np.int64)
+        places[ending >= 0] = self.ended[ending[ending >= 0]]
+        rest = tails.dictionary.filter(pa.array(ending < 0)).cast(pa.binary()).to_pylist()
+        places[ending < 0] = [1 + FREQUENT + ENDINGS + zlib.crc32(tail) % OVERFLOW for tail in rest]
+        out[found < 0] = places[tails.indices.to_numpy()]
+        return out
 
-    def stream(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def stream(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
         """(words, tokens, ends): the outputs of all texts, each after an end and with its own end; ends[k] is where text k ends. The stream begins with two ends."""
-        cut = words_of(texts)
-        flat = [w for words in cut for w in words]
-        ends = np.cumsum([len(words) + 1 for words in cut]) + 1
-        tokens = np.zeros(2 + len(flat) + len(cut), np.int64)
+        words, lengths = words_of(texts)
+        ends = np.cumsum(lengths + 1) + 1
+        tokens = np.zeros(2 + len(words) + len(texts), np.int64)
         inside = np.ones(len(tokens), bool)
         inside[:2] = False
         inside[ends] = False
-        tokens[inside] = self.outputs(flat)
-        return flat, tokens, ends
-
+        tokens[inside] = self.outputs(words.dictionary)[words.indices.to_numpy()]
+        return words, tokens, ends
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, ends) as in `stream`, for many texts: the words of about CUT characters are held at a time."""
@@ -276,7 +303,7 @@ def contexts(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def _models(texts: DataFrame, v: Vocabulary, start: np.ndarray, rate: float, most: int | None = None) -> DataFrame:
     """(_segment, _part, _weight, _values): the model of each task after its texts, or after about `most` tokens, in segments, and its tokens."""
-    held = texts.sparkSession.sparkContext.broadcast((v, start))
+    held = texts.sparkSession.sparkContext.broadcast((replace(v, counts={}), start))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, start = held.value
@@ -325,11 +352,13 @@ def trained(texts: DataFrame, v: Vocabulary) -> np.ndarray:
 
 def _partial_scores(texts: DataFrame, v: Vocabulary, model: np.ndarray) -> DataFrame:
     """Per row: tokens, known ones, sums over what tasks know, and the other words with their counts in the text."""
-    held = texts.sparkSession.sparkContext.broadcast((v, model))
+    # The words' counts travel as columns: as a dictionary they take many times that in every worker.
+    counted = pa.array([w.decode() for w in v.counts], pa.string()), np.append(np.fromiter(v.counts.values(), np.int64), 0)
+    held = texts.sparkSession.sparkContext.broadcast((replace(v, counts={}), counted, model))
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in ("_id", "_held"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, flat = held.value
+        v, (counted, times), flat = held.value
         encoder = Encoder(v)
         a, b, z = Model(flat).scores()
         within = v.within()
@@ -337,24 +366,22 @@ def _partial_scores(texts: DataFrame, v: Vocabulary, model: np.ndarray) -> DataF
         for rows, some in gulps(batches, 2):
             words, tokens, ends = encoder.stream(some)
             x, y, t = contexts(tokens, ends)
-            score = (a[x, t].astype(np.float64) + b[y, t] - z[x, y]) / np.log(10) - within[t]
-            vocab = list(dict.fromkeys(words))
-            number = dict(zip(vocab, range(len(vocab)), strict=True))
+            score = (a.take(x * OUTPUTS + t).astype(np.float64) + b.take(y * OUTPUTS + t) - z.take(x * OUTPUTS + y)) / np.log(10) - within[t]
+            vocab = words.dictionary
             ids = np.full(len(t), -1)
             is_word = np.ones(len(t), bool)
             is_word[ends - 2] = False
-            ids[is_word] = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-            c = np.fromiter((v.counts.get(w, 0) for w in vocab), np.int64, len(vocab))
+            ids[is_word] = words.indices.to_numpy()
+            c = times[pc.fill_null(pc.index_in(vocab, counted), len(counted)).to_numpy()]
             logs = np.append(np.where(c > 0, np.log10(c + 0.5), 0.0), end)  # the last place is the end's
-            inner = np.append(np.fromiter((w not in v.frequent for w in vocab), bool, len(vocab)), False)
             known = np.append(c > 0, v.tokens[0] > 0)
             starts = np.append(0, ends[:-1] - 1)
-            sums = [np.add.reduceat(s, starts) for s in (known[ids].astype(np.int64), logs[ids], score + np.where(inner[ids], logs[ids], 0.0))]
+            sums = [np.add.reduceat(s, starts) for s in (known[ids].astype(np.int64), logs[ids], score + np.where(t > FREQUENT, logs[ids], 0.0))]
             text = np.repeat(np.arange(len(ends)), np.diff(np.append(starts, len(t))))
             other = np.flatnonzero(is_word & ~known[ids])
             pairs, n = np.unique(text[other] * (len(vocab) + 1) + ids[other], return_counts=True)
             offsets = np.searchsorted(pairs, np.arange(len(ends) + 1) * (len(vocab) + 1))
-            named = pa.array([vocab[k] for k in (pairs % (len(vocab) + 1)).tolist()], pa.binary()).cast(pa.string())
+            named = vocab.take(pa.array(pairs % (len(vocab) + 1)))
             others = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([named, pa.array(n, pa.int64())], names=["word", "n"]))
             given = [pa.concat_arrays([batch.column(k).slice(r, 1) for batch, r in rows]) for k in (0, 1)]
             columns = [*given, pa.array(np.diff(np.append(starts, len(t)))), *[pa.array(s) for s in sums], others]
