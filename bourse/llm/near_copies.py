@@ -160,10 +160,11 @@ def near_keepers(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     wide = components(near_links(reps.select("_node", "_fp", "_n"), words, radius, 1, 16, tile, scale))
 
     # A component may hold a third of all sets: its size is looked up under salted keys, so that no task meets a whole one.
+    # Components of one block, nearly all, need no look-up: Spark sizes the table before it is salted and would broadcast a row per salt and component.
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")
     seen = stored(wide.join(reps, wide["node"] == reps["_node"]).select("node", F.col("root").alias("_root"), "_a", "_b", "_n", "_low", "_fp").withColumn("_salt", salt), "candidates")
-    totals = seen.groupBy("_root").agg(F.greatest(F.lit(1), F.ceil(F.sum("_n") / F.lit(block))).cast("int").alias("_blocks")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = seen.join(totals, ["_root", "_salt"]).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    totals = seen.groupBy("_root").agg(F.ceil(F.sum("_n") / F.lit(block)).cast("int").alias("_blocks")).where("_blocks > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = seen.join(totals, ["_root", "_salt"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
 
     lows = seen.select(F.col("_low").alias("_want")).distinct()
     sets = _sets(docs.join(lows, F.col("_id").eqNullSafe(F.col("_want")), "left_semi"), shingle).dropDuplicates(["_a", "_b"])

@@ -147,9 +147,10 @@ def near_links(reps: DataFrame, words: int, radius: int, segments: int, coarse:
         both = offsets + [[-x for x in o] for o in offsets if any(o)]
         offsets = [[0, *o] for o in offsets] + [[1, *o] for o in both]
     # A cell may hold a third of all fingerprints: its size is looked up under SALTS keys, so that no task meets a whole cell.
+    # Cells of one tile need no look-up, so there are at most SALTS rows for each tile's worth of fingerprints, and a broadcast of them stays small.
     cells = reps.withColumn("_cell", counts).withColumn("_salt", F.pmod(F.xxhash64("_node", F.lit(1)), F.lit(SALTS)).cast("int"))
-    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_in")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cut = cells.join(sizes, ["_cell", "_salt"]).withColumn("_tile", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_in") / F.lit(tile))).cast("int"))
+    sizes = cells.groupBy("_cell").agg(F.count("*").alias("_in")).where(F.col("_in") > tile).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cut = cells.join(sizes, ["_cell", "_salt"], "left").withColumn("_tile", F.pmod(F.xxhash64("_node"), F.coalesce(F.ceil(F.col("_in") / F.lit(tile)), F.lit(1))).cast("int"))
     tiles = stored(cut.groupBy("_cell", "_tile").agg(F.collect_list(F.struct("_node", "_fp")).alias("_has")).select("_cell", "_tile", F.col("_has._node").alias("_nodes"), F.flatten("_has._fp").alias("_bits")), "tiles")
 
     # Which tiles meet is settled on their names alone; their contents join afterwards.
